@@ -7,6 +7,7 @@ from weirflow.llm import (
     langid,
     line_dedup,
     minhash,
+    mixing,
     rlz_dedup,
     secrets,
     suffix_dedup,
@@ -15,6 +16,7 @@ from weirflow.llm import (
 )
 
 QUERIES = {
+    "op1_source_mixing": mixing.query,
     "op2_suffix_array_dedup": suffix_dedup.query,
     "op3_benchmark_decontamination": decontaminate.query,
     "op4_minhash_near_dedup": minhash.query,

@@ -29,10 +29,13 @@ WINDOW, _GRAM = 13, 5
 #: Bytes of benchmark text up to which every executor gets the whole index.
 INDEX_BYTES = 32 << 20
 
-_OUT = (
-    "doc_id long, n_words long, n_hit long, items array<string>,"
-    " spans array<struct<start:long,end:long>>"
-)
+_OUT = {
+    "n_words": "long",
+    "n_hit": "long",
+    "items": "array<string>",
+    "spans": "array<struct<start:long,end:long>>",
+    "cleaned": "string",
+}
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -128,8 +131,8 @@ def _row_spans(hit: np.ndarray) -> list[dict]:
 
 
 def _judge(data, offsets, index_of) -> Iterator[tuple]:
-    """``(n_words, n_hit, items, spans)`` of each row; ``index_of(low, high)`` gives blocks' indexes."""
-    for low, high, hashes, _, _, first in words(data, offsets, ALNUM_LOWER):
+    """The new columns of each row; ``index_of(low, high)`` gives the indexes of row blocks."""
+    for low, high, hashes, begins, stops, first in words(data, offsets, ALNUM_LOWER):
         for block_low, block_high, index in index_of(low, high):
             a, b = first[block_low - low], first[block_high - low]
             h, f = hashes[a:b], first[block_low - low : block_high - low + 1] - a
@@ -148,20 +151,28 @@ def _judge(data, offsets, index_of) -> Iterator[tuple]:
             for i in range(block_high - block_low):
                 n_hit = int(total[f[i + 1]] - total[f[i]])
                 spans = _row_spans(hit[f[i] : f[i + 1]]) if n_hit else []
-                yield int(f[i + 1] - f[i]), n_hit, sorted(names.get(i, ())), spans
-
-
-def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                cleaned = None
+                if n_hit:
+                    row = block_low + i
+                    at, pieces = int(offsets[row]), []
+                    for span in spans:
+                        pieces.append(data[at : begins[a + f[i] + span["start"]]].tobytes())
+                        at = int(stops[a + f[i] + span["end"] - 1])
+                    pieces.append(data[at : offsets[row + 1]].tobytes())
+                    cleaned = b"".join(pieces).decode()
+                yield int(f[i + 1] - f[i]), n_hit, sorted(names.get(i, ())), spans, cleaned
+
+
+def _batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_OUT)
+    types = [pa.int64(), pa.int64(), pa.list_(pa.string()), _SPANS, pa.string()]
+    carried = [c for c in batch.schema.names if c not in ("text", "met")]
     return pa.RecordBatch.from_arrays(
         [
-            ids,
-            pa.array(columns[0], pa.int64()),
-            pa.array(columns[1], pa.int64()),
-            pa.array(columns[2], pa.list_(pa.string())),
-            pa.array(columns[3], _SPANS),
+            *(batch.column(c) for c in carried),
+            *(pa.array(c, t) for c, t in zip(columns, types, strict=True)),
         ],
-        ["doc_id", "n_words", "n_hit", "items", "spans"],
+        [*carried, *_OUT],
     )
 
 
@@ -171,7 +182,7 @@ def _with_whole_index(broadcast):
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             rows = _judge(data, offsets, lambda low, high: [(low, high, index)])
-            yield _batch(batch.column("doc_id"), list(rows))
+            yield _batch(batch, list(rows))
 
     return scan
 
@@ -186,7 +197,7 @@ def _with_own_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 own = [(x["item_id"], x["item_text"]) for x in items[i] or ()]
                 yield i, i + 1, Index(own) if own else None
 
-        yield _batch(batch.column("doc_id"), list(_judge(data, offsets, each)))
+        yield _batch(batch, list(_judge(data, offsets, each)))
 
 
 def _fingerprints(key: str, lengths: tuple[int, ...], whole: bool):
@@ -228,19 +239,26 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.diff(first))], ["n"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_BYTES) -> DataFrame:
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_BYTES, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Benchmark windows in documents.
 
     Args:
-        docs: ``doc_id`` and ``text``; other columns are ignored.
+        docs: ``doc_id`` and ``text``; of the other columns those in ``carry`` are passed on.
         benchmark: ``item_id`` and ``text``; rows without an id or words match
             nothing, repeated rows count once.
 
-    Returns ``doc_id, n_words, n_hit, items array<string>`` (sorted) and ``spans``
-    (hit word ranges) for each row of ``docs``. A null text has no words.
+    Returns ``doc_id, n_words, n_hit, items array<string>`` (sorted), ``spans`` (hit
+    word ranges) and ``cleaned`` (the text without them; null if there are none)
+    for each row of ``docs``. A null text has no words.
     """
     spark = prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry
+    )
+    kept = {f.name: f.dataType.simpleString() for f in docs.schema if f.name != "text"}
+    out = ", ".join(f"`{name}` {kind}" for name, kind in (kept | _OUT).items())
     items = (
         benchmark.where("item_id is not null and text is not null")
         .select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -249,7 +267,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_BYTES)
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
     if size <= limit:
         index = Index([tuple(r) for r in items.collect()])
-        return docs.mapInArrow(_with_whole_index(spark.sparkContext.broadcast(index)), _OUT)
+        return docs.mapInArrow(_with_whole_index(spark.sparkContext.broadcast(index)), out)
     counts = items.select("text").mapInArrow(_word_counts, "n long").where(f"n between 1 and {WINDOW - 1}")
     lengths = tuple(sorted(r[0] for r in counts.distinct().collect()))
     ours = docs.where("doc_id is not null").mapInArrow(
@@ -264,7 +282,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limit: int = INDEX_BYTES)
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("item_id", "item_text")).alias("met"))
     )
-    return docs.join(met, "doc_id", "left").mapInArrow(_with_own_items, _OUT)
+    return docs.join(met, "doc_id", "left").mapInArrow(_with_own_items, out)
 
 
 #: A document is contaminated if hits are a twentieth of its words or more.
