@@ -19,62 +19,65 @@ from pyspark.sql import functions as F
 K = 5
 #: Vectors of a candidate block and of a query block.
 BLOCK, QUERIES = 4096, 2048
-_DEPTH = 32
+#: Depth of the first reading, and queries whose scores are one product.
+_DEPTH, _TOGETHER = 64, 256
 
 
 class Lists:
-    """Sorted lists of a block; vectors are integers, kept as floats where those are exact."""
+    """A block's vectors and, for each dimension, every vector's place in the sorted list."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        largest = float(np.abs(self.vectors).max(initial=0))
-        self._exact = largest * largest * max(1, self.vectors.shape[1]) < 2.0**52
-        if self._exact:
-            self.vectors = self.vectors.astype(np.float64)
-        self.order = np.argsort(self.vectors, axis=0, kind="stable")
-
-    def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The ``k`` best ``(score, id)``, ties to smaller ids, without id ``own``."""
-        n = len(self.ids)
-        if self._exact and float(np.abs(query).max(initial=0)) * float(
-            np.abs(self.vectors).max(initial=0)
-        ) * len(query) < 2.0**52:
-            query, vectors = query.astype(np.float64), self.vectors
-        else:
-            query, vectors = query.astype(object), self.vectors.astype(object)
-        used = np.flatnonzero(query != 0)
-        down = query[used] > 0
-        seen = np.zeros(n, bool)
-        best: list[tuple[int, int]] = []
-        depth, step = 0, _DEPTH
-        while depth < n:
-            reach = min(n, depth + step)
-            lists = self.order[:, used]
-            met = np.concatenate(
-                [lists[n - reach : n - depth, down].ravel(), lists[depth:reach, ~down].ravel()]
-            )
-            fresh = np.zeros(n, bool)
-            if len(used):
-                fresh[met] = True
-                fresh &= ~seen
-            else:
-                fresh[depth:reach] = True
-            seen |= fresh
-            rows = np.flatnonzero(fresh)
-            if len(rows):
-                scores = vectors[rows] @ query
-                if len(rows) > k + 1:  # rows are in id order, so a stable sort keeps small ids
-                    rows_by = np.argsort(-scores, kind="stable")[: k + 1]
-                    rows, scores = rows[rows_by], scores[rows_by]
-                best += [(int(s), int(self.ids[r])) for s, r in zip(scores, rows, strict=True) if self.ids[r] != own]
-                best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-            depth, step = reach, step * 2
-            edge = np.where(down, n - depth, depth - 1)
-            bound = query[used] @ vectors[lists[edge, np.arange(len(used))], used] if len(used) else 0
-            if len(best) == k and bound < best[-1][0]:
-                break
-        return best
+        by = np.argsort(self.vectors, axis=0, kind="stable")
+        n = len(ids)
+        self.ascending = np.take_along_axis(self.vectors, by, axis=0)
+        self.place = np.empty((vectors.shape[1], n), np.int32)
+        np.put_along_axis(self.place, by.T, np.arange(n, dtype=np.int32)[None, :], axis=1)
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For each query the ``k`` best ``(score, id)``, ties to smaller ids, without its own id."""
+        largest = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).max(initial=0))
+        kind = np.float64 if largest * queries.shape[1] < 2.0**52 else object  # exact either way
+        vectors, queries = self.vectors.astype(kind), queries.astype(kind)
+        ascending = self.ascending.astype(kind)
+        n, dims = self.vectors.shape
+        # The depth at which a query's lists meet each vector first, whichever end they are read from.
+        met = np.full((len(queries), n), n, np.int32)
+        for d in range(dims):
+            up, down = queries[:, d] < 0, queries[:, d] > 0
+            met[up] = np.minimum(met[up], self.place[d])
+            met[down] = np.minimum(met[down], n - 1 - self.place[d])
+        met[(queries == 0).all(axis=1)] = 0
+        met[own[:, None] == self.ids] = n + 1
+        out: list[list[tuple[int, int]]] = [[] for _ in queries]
+        active, depth = np.arange(len(queries)), min(n, _DEPTH)
+        score = np.zeros(met.shape, kind)
+        known = np.zeros(n, bool)
+        while len(active):
+            seen = met[active] < depth if depth < n else met[active] <= n
+            fresh = np.flatnonzero(seen.any(axis=0) & ~known)
+            score[:, fresh] = queries @ vectors[fresh].T  # one product for all queries of the set
+            known[fresh] = True
+            # What no list has shown yet cannot exceed this.
+            high, low = ascending[max(n - depth, 0)], ascending[min(depth, n) - 1]
+            q = queries[active]
+            bound = np.where(q > 0, q, 0) @ high + np.where(q < 0, q, 0) @ low
+            stay = []
+            for i, row in enumerate(active):
+                rows = np.flatnonzero(seen[i])
+                values = score[row, rows]
+                if len(rows) > k:
+                    least = np.sort(values)[-k] if kind is object else np.partition(values, -k)[-k]
+                    good = values >= least
+                    rows, values = rows[good], values[good]
+                by = np.argsort(-values, kind="stable")[:k]  # rows are in id order: ties to smaller ids
+                if depth < n and (len(by) < k or bound[i] >= values[by[-1]]):
+                    stay.append(row)
+                else:
+                    out[row] = [(int(values[j]), int(self.ids[rows[j]])) for j in by]
+            active, depth = np.array(stay, np.int64), min(n, depth * 2)
+        return out
 
 
 def _search(k: int):
@@ -83,8 +86,11 @@ def _search(k: int):
         if len(queries) and len(block):
             block = block.drop_duplicates("vec_id")
             lists = Lists(block.vec_id.to_numpy(), np.stack(block.v.to_numpy()))
-            for own, vector in zip(queries.query_id, queries.q, strict=True):
-                rows += [(own, vec, score) for score, vec in lists.top(np.asarray(vector), own, k)]
+            for low in range(0, len(queries), _TOGETHER):
+                some = queries.iloc[low : low + _TOGETHER]
+                own = some.query_id.to_numpy()
+                tops = lists.top(np.stack(some.q.to_numpy()), own, k)
+                rows += [(q, vec, score) for q, top in zip(own, tops, strict=True) for score, vec in top]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return search
