@@ -15,12 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 
 from weirflow.llm.common import BLOCK_BYTES, spans
-from weirflow.llm.tokens import SPACED, U, grams, mix, row_ends, words
+from weirflow.llm.tokens import SPACED, U, grams, mix, power, row_ends, words
 
 _BITS = U(24)
 _LOW = U((1 << 24) - 1)
-_P = U(0x9E3779B97F4A7C15)
-_PI = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_MIXED_BYTES = mix(np.arange(256, dtype=np.uint64) + U(77))
 
 
 @dataclass(frozen=True)
@@ -130,16 +129,10 @@ class Prefix:
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
-        up = np.full(n + 1, _P, np.uint64)
-        up[0] = 1
-        down = np.full(n + 1, _PI, np.uint64)
-        down[0] = 1
-        self._down = np.cumprod(down, dtype=np.uint64)
+        self._down = power("down", n + 1)
         self._sum = np.zeros(n + 1, np.uint64)
-        np.cumsum(
-            mix(symbols.astype(np.uint64) + U(77)) * np.cumprod(up, dtype=np.uint64)[:n],
-            out=self._sum[1:], dtype=np.uint64,
-        )
+        mixed = _MIXED_BYTES[symbols] if symbols.dtype == np.uint8 else mix(symbols + U(77))
+        np.cumsum(mixed * power("up", n)[:n], out=self._sum[1:], dtype=np.uint64)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sum[end] - self._sum[start]) * self._down[start])

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of an Arrow batch: texts may be long, so few of them travel together.
 BATCH_ROWS = 400
 #: Bytes of text that the vectorised kernels take at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _roots: dict[str, str] = {}
 
@@ -64,6 +67,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
+    spark.range(1).collect()  # the session lets go of the last plan when another one has run
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return back
@@ -80,6 +84,24 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(stage):
+    """An Arrow generator that gives freed memory back to the system when a task ends.
+
+    Spark keeps idle Python workers; without this each would hold its peak.
+    """
+
+    @functools.wraps(stage)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from stage(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and each row's offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

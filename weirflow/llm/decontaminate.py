@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm.anchors import Unit, _pieces
-from weirflow.llm.common import prepare, text_buffer
+from weirflow.llm.common import lean, prepare, text_buffer
 from weirflow.llm.tokens import ALNUM_LOWER, grams, row_ends, words
 
 #: Words of a window, and of the grams that fingerprints hash.
@@ -177,6 +177,7 @@ def _batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _with_whole_index(broadcast):
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = broadcast.value
         for batch in batches:
@@ -187,6 +188,7 @@ def _with_whole_index(broadcast):
     return scan
 
 
+@lean
 def _with_own_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
@@ -203,6 +205,7 @@ def _with_own_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _fingerprints(key: str, lengths: tuple[int, ...], whole: bool):
     """Rows ``(key, print)``; runs of ``lengths`` words at every place, or of whole short rows."""
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
@@ -232,6 +235,7 @@ def _fingerprints(key: str, lengths: tuple[int, ...], whole: bool):
     return emit
 
 
+@lean
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))

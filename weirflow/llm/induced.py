@@ -23,8 +23,8 @@ import numpy as np
 
 #: Bytes that queues and a level sorted in memory may take.
 MEMORY = 192 << 20
-#: Entries of a block.
-BLOCK = 1 << 18
+#: Entries of a chunk in a queue at most, and chunks that are read together.
+BLOCK, _CHUNKS = 1 << 14, 64
 _FAR = np.uint8(255)
 
 
@@ -67,18 +67,25 @@ class Queues:
     def symbols(self) -> set[int]:
         return {s for s, chunks in self._chunks.items() if chunks}
 
+    def _joined(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
+        read = [self._read(c) for c in chunks]
+        if len(read) == 1:
+            return read[0]
+        return np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read])
+
     def blocks(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks in insertion order, also those pushed while reading."""
-        i = 0
-        while i < len(self._chunks.get(symbol, ())):
-            yield self._read(self._chunks[symbol][i])
-            i += 1
+        at = 0
+        while chunks := self._chunks.get(symbol, [])[at : at + _CHUNKS]:
+            yield self._joined(chunks)
+            at += len(chunks)
 
     def backwards(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks from the last one, reversed; prefixes refer to the entry read before (first: 0)."""
         later = np.zeros(1, np.uint8)
-        for chunk in reversed(self._chunks.get(symbol, [])):
-            place, prefix = self._read(chunk)
+        chunks = self._chunks.get(symbol, [])
+        for high in range(len(chunks), 0, -_CHUNKS):
+            place, prefix = self._joined(chunks[max(0, high - _CHUNKS) : high])
             yield place[::-1], np.concatenate([later, prefix[:0:-1]])
             later = prefix[:1]
 

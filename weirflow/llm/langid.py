@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import prepare, text_buffer
+from weirflow.llm.common import lean, prepare, text_buffer
 from weirflow.llm.tokens import _BASE, _INVERSE, SPACED_LOWER, U, mix, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -198,6 +198,7 @@ class Model:
     probability: np.ndarray
 
 
+@lean
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang in batch.column("lang").unique():
@@ -248,6 +249,7 @@ def train(labelled: DataFrame, vocabulary: str = VOCABULARY, per_language: int =
 
 
 def _predict(broadcast):
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = broadcast.value
         known: dict[int, int] = {}

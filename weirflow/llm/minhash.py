@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import materialise, prepare, text_buffer
+from weirflow.llm.common import lean, materialise, prepare, text_buffer
 from weirflow.llm.components import components
 from weirflow.llm.tokens import SPACED_LOWER, U, grams, mix, words
 
@@ -59,6 +59,7 @@ def _halves(shingles: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(2 * HALVES, dtype=np.uint64))
 
 
+@lean
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
@@ -83,6 +84,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@lean
 def _emit_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -101,6 +103,7 @@ def _emit_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _similar(threshold: int):
     """Confirms pairs on full sets; the last left or right set is kept for the next row."""
 
+    @lean
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple[int, np.ndarray]] = {}
         for batch in batches:

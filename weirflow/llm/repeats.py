@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.anchors import Prefix, Unit, pack, runs, unpack
-from weirflow.llm.common import forget, materialise, prepare, text_buffer
+from weirflow.llm.common import forget, lean, materialise, prepare, spans, text_buffer
 from weirflow.llm.tokens import SPACED, words
 
 #: Different segments of one leader beyond which its windows go by hash.
 CROWD = 256
 #: Bytes of segments that make a shard of the resolver.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
+#: Segments that a task remembers to have written.
+_WRITTEN = 400_000
 
 Resolver = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -39,6 +41,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _leaders(unit: Unit):
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
@@ -54,6 +57,7 @@ def _leaders(unit: Unit):
 
 
 def _places(unit: Unit):
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -67,57 +71,76 @@ def _places(unit: Unit):
     return place
 
 
-def _symbols(unit: Unit, data: np.ndarray, offsets: np.ndarray):
-    """Per row: its symbols and a function that gives the bytes of a symbol range."""
+def _blocks(unit: Unit, data: np.ndarray, offsets: np.ndarray):
+    """Blocks of rows: ``(low, high, symbols, first symbol of each row, cut)``.
+
+    ``cut(a, b)`` gives the bytes of a range of the block's symbols.
+    """
     if unit.kind == "bytes":
-        for i in range(len(offsets) - 1):
-            row = data[offsets[i] : offsets[i + 1]]
-            yield i, row, (lambda a, b, row=row: row[a:b].tobytes())
+        for low, high in spans(offsets):
+            block = data[offsets[low] : offsets[high]]
+            yield low, high, block, offsets[low:high] - offsets[low], lambda a, b, x=block: x[a:b].tobytes()
     else:
         for low, high, hashes, starts, ends, first in words(data, offsets, SPACED):
-            for i in range(low, high):
-                s, e = first[i - low], first[i - low + 1]
-                yield (
-                    i,
-                    hashes[s:e],
-                    lambda a, b, s=s, starts=starts, ends=ends: b" ".join(
-                        data[starts[s + a] : ends[s + b - 1]].tobytes().split()
-                    ),
-                )
+            yield (
+                low,
+                high,
+                hashes,
+                first[:-1],
+                lambda a, b, s=starts, e=ends: b" ".join(data[s[a] : e[b - 1]].tobytes().split()),
+            )
 
 
 def _segments(unit: Unit):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written: set[int] = set()  # a task writes the bytes of equal segments once
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             lists = batch.column("anchors")
             flat = lists.flatten()
             leads = flat.field("lead").to_numpy(zero_copy_only=False)
             places = flat.field("place").to_numpy(zero_copy_only=False)
-            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            rows = np.repeat(np.arange(len(counts)), counts)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            out: list[list] = [[], [], [], [], []]
-            for i, symbols, text_of in _symbols(unit, data, offsets):
-                low, high = int(bounds[i]), int(bounds[i + 1])
-                first, last, lead = unpack(places[low:high])
-                stop = last + unit.window
-                content = Prefix(symbols).hash(first, stop) + (lead - first).astype(np.uint64)
-                out[0].append(leads[low:high])
-                out[1].append(_signed(content))
-                out[2].append(np.full(high - low, ids[i], np.int64))
-                out[3].append(places[low:high])
-                out[4] += [text_of(a, b) for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.concatenate(x)) for x in out[:4]), pa.array(out[4], pa.binary())],
-                ["lead", "content", "doc_id", "place", "bytes"],
-            )
+            for low, high, symbols, base, cut in _blocks(unit, data, offsets):
+                here = slice(int(bounds[low]), int(bounds[high]))
+                if here.start == here.stop:
+                    continue
+                first, last, lead = unpack(places[here])
+                begin = first + base[rows[here] - low]
+                end = begin + (last - first) + unit.window
+                content = Prefix(symbols).hash(begin, end) + (lead - first).astype(np.uint64)
+                if len(written) > _WRITTEN:
+                    written.clear()
+                texts: list[bytes | None] = []
+                keys = (content ^ leads[here].view(np.uint64)).tolist()
+                for key, a, b in zip(keys, begin.tolist(), end.tolist(), strict=True):
+                    if key in written:
+                        texts.append(None)
+                    else:
+                        written.add(key)
+                        texts.append(cut(a, b))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(leads[here]),
+                        pa.array(_signed(content)),
+                        pa.array(ids[rows[here]]),
+                        pa.array(places[here]),
+                        pa.array(texts, pa.binary()),
+                    ],
+                    ["lead", "content", "doc_id", "place", "bytes"],
+                )
 
-    return cut
+    return cut_out
 
 
 def _windows(unit: Unit):
     """The windows of segments by 128-bit hash, for leaders with very many segments."""
 
+    @lean
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leads = batch.column("lead").to_numpy(zero_copy_only=False)
@@ -205,7 +228,7 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     lead_at = "shiftright(place, 16) + (place & 255)"
     kinds = segments.groupBy("lead", "content").agg(
         F.min(F.struct("doc_id", F.expr(lead_at).alias("at"), "place")).alias("m"),
-        F.first("bytes").alias("bytes"),
+        F.first("bytes", ignorenulls=True).alias("bytes"),
     )
     kinds = materialise(
         kinds.select("lead", "content", "m.doc_id", "m.place", "bytes"), "kinds"
@@ -262,9 +285,13 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     part = (
         f"transform(inner, x -> struct({start} + x.low as start, {start} + x.high - 1 + {window} as end))"
     )
-    return (
+    ranges = materialise(
         occurrences.select("doc_id", F.expr(f"if({later}, {whole}, {part})").alias("r"))
         .where("r is not null")
         .groupBy("doc_id")
-        .agg(F.flatten(F.collect_set("r")).alias("ranges"))
+        .agg(F.flatten(F.collect_set("r")).alias("ranges")),
+        "ranges",
     )
+    for table in (segments, kinds, windows):
+        forget(table)
+    return ranges

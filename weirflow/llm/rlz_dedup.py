@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import repeats
 from weirflow.llm.anchors import Unit, unpack
-from weirflow.llm.common import text_buffer
+from weirflow.llm.common import lean, text_buffer
 from weirflow.llm.suffix_dedup import merge
 from weirflow.llm.tokens import SPACED, words
 
@@ -63,10 +63,10 @@ class Reference:
 
     def holds(self, text: bytes, at: int, size: int) -> bool:
         wanted = text[at : at + size]
-        return any(
-            self._texts[number][place : place + size] == wanted
-            for number, place in self._index.get(text[at : at + self._gram], ())
-        )
+        for number, place in self._index.get(text[at : at + self._gram], ()):
+            if self._texts[number].startswith(wanted, place):
+                return True
+        return False
 
 
 def repeated_windows(text: bytes, reference: Reference, window: int) -> list[int]:
@@ -89,25 +89,29 @@ def repeated_windows(text: bytes, reference: Reference, window: int) -> list[int
 
 
 def _resolver(window: int, gram: int):
+    @lean
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [repeats.shard_rows(b) for b in batches if b.num_rows]
         if not rows:
             return
         leads, contents, docs, places = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        texts = [x for r in rows for x in r[4].to_pylist()]
+        symbols: list[bytes] = []
+        for row in rows:
+            data, offsets = text_buffer(row[4].cast(pa.string()))
+            for low, high, hashes, _, _, first in words(data, offsets, SPACED):
+                raw, bounds = hashes.tobytes(), (first * _SYMBOL).tolist()
+                symbols += [raw[bounds[i] : bounds[i + 1]] for i in range(high - low)]
         at = unpack(places)[2]
         out: list[list[int]] = [[], [], [], []]
         reference, current = Reference(gram), None
         for i in np.lexsort((at, docs, leads)).tolist():
-            data = np.frombuffer(texts[i], np.uint8)
-            symbols = next(words(data, np.array([0, len(data)]), SPACED))[2].tobytes()
             if leads[i] != current:
                 reference, current = Reference(gram), leads[i]
             else:
-                for low, high in merge((w, w + 1) for w in repeated_windows(symbols, reference, window)):
+                for low, high in merge((w, w + 1) for w in repeated_windows(symbols[i], reference, window)):
                     for column, x in zip(out, (leads[i], contents[i], low, high), strict=True):
                         column.append(int(x))
-            reference.add(symbols)
+            reference.add(symbols[i])
         if out[0]:
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(x, pa.int64()) for x in out[:2]), *(pa.array(x, pa.int32()) for x in out[2:])],
@@ -117,6 +121,7 @@ def _resolver(window: int, gram: int):
     return resolve
 
 
+@lean
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import repeats
 from weirflow.llm.anchors import Unit, unpack
-from weirflow.llm.common import text_buffer
+from weirflow.llm.common import lean, text_buffer
 from weirflow.llm.induced import MEMORY, induce
 
 #: Bytes of a string that may not repeat.
@@ -28,37 +28,43 @@ _GRAM = 20
 
 
 def repeated_windows(
-    text: np.ndarray, when: np.ndarray, window: int, memory: int = MEMORY
+    text: np.ndarray, whole: np.ndarray, docs: np.ndarray, at: np.ndarray, window: int, memory: int = MEMORY
 ) -> np.ndarray:
-    """Places of ``text`` whose window also stands at a place of smaller ``when``.
+    """Places of ``text`` whose window also stands at an earlier place.
 
-    ``text`` ends with its only 0; ``when`` orders the places among all documents.
+    Args:
+        text: symbols; the last one is the only 0.
+        whole: places where a window begins (not over a segment's end).
+        docs, at: a place's document and its place there, which order the places.
     """
     blocks: list[tuple[np.ndarray, np.ndarray]] = []
     last = np.zeros(0, np.int64)
+    chains = 0
 
     def emit(place: np.ndarray, prefix: np.ndarray, falling: bool) -> None:
-        nonlocal last
+        nonlocal last, chains
         same = prefix >= window
+        chain = np.cumsum(~same) + chains
+        if len(last) and same[0] and whole[last[0]]:
+            blocks.append((last, np.full(1, chains)))  # may stand there already, as the same place
+        chains = int(chain[-1])
         member = same.copy()
         member[:-1] |= same[1:]
-        if same[0]:
-            if not blocks or not len(blocks[-1][0]) or blocks[-1][0][-1] != last[0]:
-                blocks.append((last, np.zeros(1, bool)))
-        blocks.append((place[member], same[member]))
+        member &= whole[place]
+        blocks.append((place[member], chain[member]))
         last = place[-1:].copy()
 
     induce(text, window, emit, memory)
-    if not blocks:
-        return np.zeros(0, np.int64)
     place = np.concatenate([b[0] for b in blocks])
-    chain = np.cumsum(~np.concatenate([b[1] for b in blocks]))
-    order = np.lexsort((when[place], chain))
+    chain = np.concatenate([b[1] for b in blocks])
+    order = np.lexsort((at[place], docs[place], chain))
     place, chain = place[order], chain[order]
-    return place[1:][chain[1:] == chain[:-1]]
+    later = (chain[1:] == chain[:-1]) & (place[1:] != place[:-1])
+    return place[1:][later]
 
 
 def _resolver(window: int, memory: int):
+    @lean
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [repeats.shard_rows(b) for b in batches if b.num_rows]
         if not rows:
@@ -78,16 +84,12 @@ def _resolver(window: int, memory: int):
         segment = np.repeat(np.arange(n), np.diff(offsets))
         text[np.arange(len(data)) + segment] = data.astype(np.uint16) + 2
         starts = offsets[:-1] + np.arange(n)
-        first, _, lead = unpack(places)
-        of_place = np.repeat(np.arange(n), np.diff(offsets) + 1)
-        of_place = np.append(of_place, n - 1)
+        first = unpack(places)[0]
+        of_place = np.append(np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets) + 1), np.int32(n - 1))
         inner = np.arange(len(text)) - starts[of_place]
-        by_doc = np.lexsort((first[of_place] + inner, docs[of_place]))
-        when = np.empty(len(text), np.int64)
-        when[by_doc] = np.arange(len(text))
-        later = np.sort(repeated_windows(text, when, window, memory))
-        # equal strings that run over a segment's end are no windows
-        later = later[inner[later] + window <= np.diff(offsets)[of_place[later]]]
+        whole = inner + window <= np.diff(offsets)[of_place]
+        later = repeated_windows(text, whole, docs[of_place], inner + first[of_place], window, memory)
+        later = np.sort(later)
         if not len(later):
             return
         which = of_place[later]
@@ -108,6 +110,7 @@ def _resolver(window: int, memory: int):
     return resolve
 
 
+@lean
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))

@@ -47,7 +47,8 @@ ALNUM_LOWER = _codes(
 )
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
+    """Powers of the base (``up``) or of its inverse (``down``), ``n`` or more."""
     have = _powers.get(kind)
     if have is None or len(have) < n:
         base = _BASE if kind == "up" else _INVERSE
@@ -73,8 +74,8 @@ def _block_words(data: np.ndarray, bounds: np.ndarray, codes: np.ndarray):
     ends = np.flatnonzero(word & ~after) + 1
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _power("up", n)[:n], out=total[1:], dtype=np.uint64)
-    hashes = (total[ends] - total[starts]) * _power("down", n)[starts]
+    np.cumsum(values * power("up", n)[:n], out=total[1:], dtype=np.uint64)
+    hashes = (total[ends] - total[starts]) * power("down", n)[starts]
     return mix(hashes + (ends - starts).astype(np.uint64)), starts, ends
 
 
