@@ -1,4 +1,6 @@
 """Queries of the engine's own operators, each with its SQL counterpart."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weirflow.queries import routes, rows, tables
+
+QUERIES = routes.QUERIES | rows.QUERIES | tables.QUERIES
+ORACLES = routes.ORACLES | rows.ORACLES | tables.ORACLES
