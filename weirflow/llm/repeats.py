@@ -137,43 +137,98 @@ def _segments(unit: Unit):
     return cut_out
 
 
+def _two_hashes(symbols: np.ndarray) -> tuple[Prefix, Prefix]:
+    return Prefix(symbols), Prefix(symbols ^ symbols.dtype.type(0x5A))
+
+
+def _crowd_rows(unit: Unit, batch: pa.RecordBatch):
+    """Each row's symbols, and its first and last window and leader, from the segment's start."""
+    first, last, lead = unpack(batch.column("place").to_numpy(zero_copy_only=False))
+    for i, raw in enumerate(batch.column("bytes").to_pylist()):
+        data = np.frombuffer(raw, np.uint8)
+        if unit.kind == "words":
+            data = next(words(data, np.array([0, len(data)]), SPACED))[2]
+        yield i, data, int(last[i] - first[i]), int(lead[i] - first[i]), int(first[i])
+
+
+def _block_size(unit: Unit) -> int:
+    return max(2, unit.window // 6)
+
+
+def _cores(unit: Unit):
+    """What all windows of a block share, by 128-bit hash.
+
+    Blocks count windows by their distance from the leader, so equal windows
+    lie in equal blocks and hold equal cores.
+    """
+    size = _block_size(unit)
+
+    @lean
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[] for _ in range(4)]
+            for i, symbols, last, lead, _ in _crowd_rows(unit, batch):
+                block = np.arange(-lead // size, (last - lead) // size + 1)
+                begin, end = (block + 1) * size - 1 + lead, block * size + unit.window + lead
+                begin, end = np.maximum(begin, 0), np.minimum(end, len(symbols))
+                one, two = _two_hashes(symbols)
+                for column, x in zip(
+                    out,
+                    (np.full(len(block), i), block, one.hash(begin, end), two.hash(begin, end)),
+                    strict=True,
+                ):
+                    column.append(x)
+            if out[0]:
+                row, block, one, two = (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).take(pa.array(row)) for c in ("lead", "content")),
+                        pa.array(block.astype(np.int32)),
+                        pa.array(_signed(one)),
+                        pa.array(_signed(two)),
+                    ],
+                    ["lead", "content", "block", "c1", "c2"],
+                )
+
+    return split
+
+
 def _windows(unit: Unit):
-    """The windows of segments by 128-bit hash, for leaders with very many segments."""
+    """The windows in a row's ``blocks`` by 128-bit hash."""
+    size = _block_size(unit)
 
     @lean
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leads = batch.column("lead").to_numpy(zero_copy_only=False)
-            contents = batch.column("content").to_numpy(zero_copy_only=False)
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            first, _, lead = unpack(batch.column("place").to_numpy(zero_copy_only=False))
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for i, raw in enumerate(batch.column("bytes").to_pylist()):
-                data = np.frombuffer(raw, np.uint8)
-                if unit.kind == "bytes":
-                    symbols = data
-                else:
-                    symbols = next(words(data, np.array([0, len(data)]), SPACED))[2]
-                at = np.arange(len(symbols) - unit.window + 1)
-                hashed, mirror = Prefix(symbols), Prefix(symbols ^ symbols.dtype.type(0x5A))
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            blocks = batch.column("blocks").to_pylist()
+            for i, symbols, last, lead, first in _crowd_rows(unit, batch):
+                at = np.arange(last + 1)
+                at = at[np.isin((at - lead) // size, blocks[i])]
+                one, two = _two_hashes(symbols)
                 for column, x in zip(
                     out,
                     (
-                        _signed(hashed.hash(at, at + unit.window)),
-                        _signed(mirror.hash(at, at + unit.window)),
-                        at - (lead[i] - first[i]),
-                        np.full(len(at), docs[i]),
-                        at + first[i],
-                        np.full(len(at), leads[i]),
-                        np.full(len(at), contents[i]),
+                        np.full(len(at), i),
+                        one.hash(at, at + unit.window),
+                        two.hash(at, at + unit.window),
+                        at - lead,
+                        at + first,
                     ),
                     strict=True,
                 ):
                     column.append(x)
             if out[0]:
+                row, one, two, from_lead, at = (np.concatenate(x) for x in out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in out],
-                    ["w1", "w2", "from_lead", "doc_id", "at", "lead", "content"],
+                    [
+                        *(batch.column(c).take(pa.array(row)) for c in ("lead", "content", "doc_id")),
+                        pa.array(_signed(one)),
+                        pa.array(_signed(two)),
+                        pa.array(from_lead),
+                        pa.array(at),
+                    ],
+                    ["lead", "content", "doc_id", "w1", "w2", "from_lead", "at"],
                 )
 
     return split
@@ -205,13 +260,14 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long"), "text"
     )
-    repeated = (
+    repeated = materialise(
         texts.select("text")
         .mapInArrow(_leaders(unit), "lead long, n byte")
         .groupBy("lead")
         .agg(F.sum("n").alias("n"))
         .where("n > 1")
-        .select("lead")
+        .select("lead"),
+        "leads",
     )
     places = texts.mapInArrow(_places(unit), "lead long, doc_id long, place long")
     anchors = materialise(
@@ -225,6 +281,7 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
         "segments",
     )
     forget(anchors)
+    forget(repeated)
     lead_at = "shiftright(place, 16) + (place & 255)"
     kinds = segments.groupBy("lead", "content").agg(
         F.min(F.struct("doc_id", F.expr(lead_at).alias("at"), "place")).alias("m"),
@@ -247,28 +304,39 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
         .repartition(shards, "lead")
         .mapInArrow(resolver, "lead long, content long, low int, high int")
     )
-    windows = chosen.where(f"kinds > {CROWD}").select(*columns).mapInArrow(
-        _windows(unit),
-        "w1 long, w2 long, from_lead long, doc_id long, at long, lead long, content long",
-    )
-    windows = materialise(windows, "windows")
+    crowd = materialise(chosen.where(f"kinds > {CROWD}").select(*columns), "crowd")
+    cores = crowd.mapInArrow(_cores(unit), "lead long, content long, block int, c1 long, c2 long")
+    core = ["lead", "block", "c1", "c2"]
+    shared = cores.groupBy(*core).count().where("count > 1").select(*core)
+    alive = (
+        cores.join(shared, core).groupBy("lead", "content").agg(F.collect_set("block").alias("blocks"))
+    )
+    windows = materialise(
+        crowd.join(alive, ["lead", "content"]).mapInArrow(
+            _windows(unit),
+            "lead long, content long, doc_id long, w1 long, w2 long, from_lead long, at long",
+        ),
+        "windows",
+    )
     same = ["lead", "from_lead", "w1", "w2"]
     earliest = windows.groupBy(*same).agg(F.min(F.struct("doc_id", "at")).alias("e"))
+    firsts = kinds.select("lead", "content", F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place"))
     hashed = (
         windows.join(earliest, same)
         .where("e.doc_id != doc_id or e.at != at")
-        .select("lead", "content", "at")
-    )
-    firsts = kinds.select("lead", "content", F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place"))
-    hashed = hashed.join(firsts, ["lead", "content"]).selectExpr(
-        "lead", "content",
-        "cast(at - shiftright(first_place, 16) as int) as low",
-        "cast(at - shiftright(first_place, 16) + 1 as int) as high",
+        .groupBy("lead", "content")
+        .agg(F.collect_list("at").alias("ats"))
+        .join(firsts, ["lead", "content"])
+        .selectExpr(
+            "lead", "content",
+            "transform(ats, x -> struct(cast(x - shiftright(first_place, 16) as int) as low,"
+            " cast(x - shiftright(first_place, 16) + 1 as int) as high)) as inner",
+        )
     )
     inner = (
-        compared.unionByName(hashed)
-        .groupBy("lead", "content")
+        compared.groupBy("lead", "content")
         .agg(F.collect_set(F.struct("low", "high")).alias("inner"))
+        .unionByName(hashed)
     )
     known = firsts.join(inner, ["lead", "content"], "left")
     occurrences = segments.select("lead", "content", "doc_id", "place").join(
@@ -292,6 +360,6 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
         .agg(F.flatten(F.collect_set("r")).alias("ranges")),
         "ranges",
     )
-    for table in (segments, kinds, windows):
+    for table in (segments, kinds, crowd, windows):
         forget(table)
     return ranges
