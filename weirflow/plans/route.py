@@ -94,10 +94,12 @@ class CompiledRoute:
         name = f"s{len(slots)}"
         code = F.when(planned.error.isin("MissingPath", "MissingSlot"), "MISSING_KEY").otherwise("INTERNAL")
         fresh = F.struct(code.alias("code"), planned.error.alias("kind"), F.lit(phase.name).alias("phase"))
-        frame = frame.withColumn(
-            "error", F.coalesce("error", F.when(planned.error.isNotNull(), fresh.cast(ERROR)))
-        )
-        frame = frame.withColumn(name, F.when(F.col("error").isNull(), planned.slot))
+        error = F.coalesce("error", F.when(planned.error.isNotNull(), fresh.cast(ERROR)))
+        slot = F.when(F.col("error").isNull() & planned.error.isNull(), planned.slot)
+        # A generator of one row: the optimiser would otherwise copy a slot's whole
+        # expression into every later use, which grows exponentially with the phases.
+        made = F.inline(F.array(F.struct(slot.alias(name), error.alias("__error"))))
+        frame = frame.select("*", made).drop("error").withColumnRenamed("__error", "error")
         slots.append(name)
         return frame, self._actions(phase, planned, len(actions))
 
