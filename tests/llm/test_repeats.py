@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from weirflow.llm import repeats, rlz_dedup, suffix_dedup
+from weirflow.llm import rlz_dedup, suffix_dedup
 from weirflow.llm.induced import induce, suffix_order
 
 SCHEMA = "doc_id long, text string"
@@ -42,10 +42,9 @@ def corpus(seed, n=60):
 
 
 @pytest.mark.parametrize("crowd", [2, 256])
-def test_bytes(spark, monkeypatch, crowd):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
+def test_bytes(spark, crowd):
     docs = corpus(1)
-    got = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(docs, SCHEMA)).collect()
+    got = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(docs, SCHEMA), crowd=crowd).collect()
     want = brute([(d, (t or "").encode()) for d, t in docs], 100, bytes)
     assert len(got) == len(docs)
     texts = {d: (t or "").encode() for d, t in docs}
@@ -60,10 +59,9 @@ def test_bytes(spark, monkeypatch, crowd):
 
 
 @pytest.mark.parametrize("crowd", [2, 256])
-def test_words(spark, monkeypatch, crowd):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
+def test_words(spark, crowd):
     docs = corpus(2)
-    got = rlz_dedup.remove_repeated_passages(spark.createDataFrame(docs, SCHEMA)).collect()
+    got = rlz_dedup.remove_repeated_passages(spark.createDataFrame(docs, SCHEMA), crowd=crowd).collect()
     seqs = {d: (t or "").encode().split() for d, t in docs}
     want = brute(sorted(seqs.items()), 20, tuple)
     assert len(got) == len(docs)

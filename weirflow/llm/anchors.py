@@ -24,11 +24,16 @@ _MIXED_BYTES = mix(np.arange(256, dtype=np.uint64) + U(77))
 
 @dataclass(frozen=True)
 class Unit:
-    """What a window counts: ``bytes`` of the text or white-space ``words``."""
+    """What a window counts: ``bytes`` of the text or white-space ``words``.
+
+    ``crowd``: different segments of one leader beyond which they are not brought
+    together.
+    """
 
     kind: str
     window: int
     gram: int
+    crowd: int = 256
 
 
 @dataclass

@@ -6,7 +6,7 @@
    have started before.
 3. Leaders with several different segments need the windows themselves
    compared: a *resolver* does that shard by shard. A leader with more than
-   ``CROWD`` segments is never brought together: its windows are compared by
+   ``Unit.crowd`` segments is never brought together: its windows are compared by
    128-bit hash with a pre-aggregated minimum instead.
 4. The covered ranges of each document are gathered and handed to the texts.
 
@@ -26,8 +26,6 @@ from weirflow.llm.anchors import Prefix, Unit, pack, runs, unpack
 from weirflow.llm.common import forget, lean, materialise, prepare, spans, text_buffer
 from weirflow.llm.tokens import SPACED, words
 
-#: Different segments of one leader beyond which its windows go by hash.
-CROWD = 256
 #: Bytes of segments that make a shard of the resolver.
 SHARD_BYTES = 3 << 20
 #: Segments that a task remembers to have written.
@@ -294,17 +292,17 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
         F.count("*").alias("kinds"), F.sum(F.length("bytes")).alias("size")
     )
     several = crowds.where("kinds > 1")
-    size = several.where(f"kinds <= {CROWD}").agg(F.sum("size")).first()[0] or 0
+    size = several.where(f"kinds <= {unit.crowd}").agg(F.sum("size")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
     chosen = kinds.join(several.select("lead", "kinds"), "lead")
     columns = ["lead", "content", "doc_id", "place", "bytes"]
     compared = (
-        chosen.where(f"kinds <= {CROWD}")
+        chosen.where(f"kinds <= {unit.crowd}")
         .select(*columns)
         .repartition(shards, "lead")
         .mapInArrow(resolver, "lead long, content long, low int, high int")
     )
-    crowd = materialise(chosen.where(f"kinds > {CROWD}").select(*columns), "crowd")
+    crowd = materialise(chosen.where(f"kinds > {unit.crowd}").select(*columns), "crowd")
     cores = crowd.mapInArrow(_cores(unit), "lead long, content long, block int, c1 long, c2 long")
     core = ["lead", "block", "c1", "c2"]
     shared = cores.groupBy(*core).count().where("count > 1").select(*core)

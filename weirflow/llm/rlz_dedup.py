@@ -27,6 +27,8 @@ from weirflow.llm.tokens import SPACED, words
 WINDOW = 20
 _GRAM = 6
 _SYMBOL = 8
+#: Different segments of one leader that are one reference at most.
+CROWD = 256
 
 
 class Reference:
@@ -148,7 +150,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
     """Remove each word covered by a ``window``-word run that also starts earlier.
 
     Words stand between white space and are compared unchanged. Earlier means in
@@ -162,7 +164,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
     columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = repeats.covered(base, Unit("words", window, _GRAM), _resolver(window, _GRAM))
+    ranges = repeats.covered(base, Unit("words", window, _GRAM, crowd), _resolver(window, _GRAM))
     return base.join(ranges.hint("shuffle_hash"), "doc_id", "left").mapInArrow(
         _strip,
         "doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept string",

@@ -25,6 +25,8 @@ from weirflow.llm.induced import MEMORY, induce
 #: Bytes of a string that may not repeat.
 WINDOW = 100
 _GRAM = 20
+#: Different segments of one leader that are sorted together at most.
+CROWD = 1024
 
 
 def repeated_windows(
@@ -149,7 +151,7 @@ def merge(ranges) -> list[tuple[int, int]]:
 
 
 def remove_repeated_bytes(
-    docs: DataFrame, window: int = WINDOW, memory: int = MEMORY
+    docs: DataFrame, window: int = WINDOW, memory: int = MEMORY, crowd: int = CROWD
 ) -> DataFrame:
     """Remove each byte covered by a ``window``-byte string that also starts earlier.
 
@@ -162,7 +164,7 @@ def remove_repeated_bytes(
     and are each returned. Other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = repeats.covered(base, Unit("bytes", window, _GRAM), _resolver(window, memory))
+    ranges = repeats.covered(base, Unit("bytes", window, _GRAM, crowd), _resolver(window, memory))
     return base.join(ranges.hint("shuffle_hash"), "doc_id", "left").mapInArrow(
         _strip,
         "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary",
