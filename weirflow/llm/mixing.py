@@ -60,10 +60,9 @@ def train(docs: DataFrame, labels: DataFrame, per_domain: int = TRAIN_DOCS) -> P
     for domain, n in counts.items():
         bound = F.when(F.col("domain") == domain, int(min(1.0, per_domain / n) * (1 << 30)) + 1).otherwise(bound)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound)
-    sample = materialise(
-        docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id"),
-        "labelled",
-    )
+    # At most about per_domain rows of each domain, whatever the corpus: they can be broadcast.
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sample = materialise(texts.join(F.broadcast(chosen), "doc_id"), "labelled")
     if sample.select("domain").distinct().count() < 2:
         return None
     stages = [
