@@ -299,7 +299,7 @@ def _predict(broadcast):
                     pa.array(best, pa.string()),
                     pa.array(np.concatenate(share) if share else np.zeros(0)),
                 ],
-                [*(c for c in batch.schema.names if c != "text"), "guess", "share"],
+                [*(c for c in batch.schema.names if c != "text"), "__guess", "__share"],
             )
 
     return scan
@@ -337,17 +337,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spark = prepare(docs.sparkSession)
     if not model.languages:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     renamed = docs.select(F.col("text").cast("string").alias("text"), *(F.col(c) for c in kept))
-    renamed = renamed.withColumn("letters", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    renamed = renamed.withColumn("__letters", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema if f.name != "text")
     scored = renamed.mapInArrow(
-        _predict(spark.sparkContext.broadcast(model)), f"{fields}, guess string, share double"
+        _predict(spark.sparkContext.broadcast(model)), f"{fields}, __guess string, __share double"
     )
     return scored.select(
         *kept,
-        F.when(F.col("letters"), F.col("guess")).otherwise(F.lit("und")).alias("lang_pred"),
-        F.when(F.col("letters"), F.col("share")).otherwise(F.lit(0.0)).alias("score"),
+        F.when(F.col("__letters"), F.col("__guess")).otherwise(F.lit("und")).alias("lang_pred"),
+        F.when(F.col("__letters"), F.col("__share")).otherwise(F.lit(0.0)).alias("score"),
     )
 
 

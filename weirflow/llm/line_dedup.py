@@ -4,10 +4,9 @@ A suffix is a document from one of its lines on. Prefix doubling names the runs
 of 1, 2, 4, ... lines that suffixes begin with: the name of a run of twice the
 length is made of the names of its halves, and a suffix whose run occurs once
 leaves the race. Suffixes with one name are an interval of the suffix array
-whose common prefix has at least that many lines. From the longest runs down,
-each suffix then adds the halves that still keep it in an interval with an
-earlier suffix; the sum is its longest run that has started before. Maximal
-runs of enough characters are deleted.
+whose common prefix has at least that many lines; all but its earliest suffix
+are later copies. A longer common run is the union of two such runs that
+overlap, so the named lengths cover every maximal repeated run.
 
 Names are 128-bit hashes of pairs of names, not ordinals: the order of the
 intervals among each other decides nothing here, and a global numbering would
@@ -32,10 +31,10 @@ def _repeated(named: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``(doc, pos, size)``: the longest run from each line that starts earlier as well.
+    """``(doc, pos, size)``: runs of 1, 2, 4, ... lines that start earlier as well.
 
     ``docs(doc, text)``: without nulls, each document once or in equal rows. Only
-    runs that no run of the line before covers are returned.
+    runs that no other one covers are returned.
     """
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     named = lines.select(
@@ -55,34 +54,18 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
             break
         levels.append(level)
         size *= 2
-    reach = levels[0].select(
-        "doc", "pos", F.lit(0).alias("size"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")
-    )
-    for level in reversed(levels):
-        step = level.select("doc", F.col("pos").alias("next"), "a", "b")
-        tried = reach.withColumn("next", F.col("pos") + F.col("size")).join(step, ["doc", "next"])
-        tried = tried.select(
-            "doc", "pos", (F.col("size") + size).alias("size"),
-            F.xxhash64("x", "a").alias("x"), F.xxhash64("y", F.lit(5), "b").alias("y"),
-        )
-        same = ["size", "x", "y"]
-        first = tried.groupBy(*same).agg(F.min(F.struct("doc", "pos")).alias("first"))
-        longer = (
-            tried.join(first, same)
+    later = None
+    for number, level in enumerate(levels):
+        first = level.groupBy("a", "b").agg(F.min(F.struct("doc", "pos")).alias("first"))
+        copies = (
+            level.join(first, ["a", "b"])
             .where("first.doc != doc or first.pos != pos")
-            .select("doc", "pos", *(F.col(c).alias(f"new_{c}") for c in same))
-        )
-        reach = materialise(
-            reach.join(longer, ["doc", "pos"], "left").select(
-                "doc", "pos", *(F.coalesce(f"new_{c}", c).alias(c) for c in same)
-            ),
-            "reach",
+            .select("doc", "pos", F.lit(1 << number).alias("size"))
         )
-        size //= 2
-    before = Window.partitionBy("doc").orderBy("pos")
+        later = copies if later is None else later.union(copies)
+    before = Window.partitionBy("doc").orderBy("pos", F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        reach.where("size > 0")
-        .withColumn("covered", F.lag(F.col("pos") + F.col("size")).over(before))
+        later.withColumn("covered", F.max(F.col("pos") + F.col("size")).over(before))
         .where("covered is null or covered < pos + size")
         .select("doc", "pos", "size")
     )
@@ -91,10 +74,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def remove_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``kept`` (the text without later copies) and ``n_lines``, ``n_removed``.
 
-    Lines stand between line feeds. For each line the longest run of lines is
-    taken that also starts earlier (smaller doc_id, or same document before);
-    if its lines have ``min_chars`` characters together, they are deleted. Runs
-    never cross documents and are judged on the input.
+    Lines stand between line feeds. A run of 1, 2, 4, ... lines that also starts
+    earlier (smaller doc_id, or same document before) is deleted if its lines have
+    ``min_chars`` characters together. Runs never cross documents and are judged
+    on the input.
 
     A null text stays null and has no lines. A row without a doc_id keeps its
     text and is no copy's original. Repeated rows of a document count as one and
@@ -159,7 +142,8 @@ with l as (
 ), run as (
   select doc_id, low + s - 1 as i, n, md5(array_to_string(xs[s:s + n - 1], chr(10))) as k,
          len(array_to_string(xs[s:s + n - 1], '')) as chars
-  from start, unnest(range(1, len(xs) - s + 2)) as t(n)
+  from start, unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) as t(n)
+  where n <= len(xs) - s + 1
 ), later as (
   select *, row_number() over (partition by n, k order by doc_id, i) as r from run
 ), gone as (
