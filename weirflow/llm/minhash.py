@@ -5,12 +5,13 @@ Two collections of ``HALVES`` half keys, each of ``ROWS`` minhashes, give
 instead of 864. A half key that no other document has can make no table key, so
 most documents emit none.
 
-Equal shingle sets collapse to a class first. Within a table every document is
-held against the table's smallest one only; that and a distributed component
-search join almost everything. What is left in different components of one
-table is compared in full after two exact prunings: a document can link only if
-85 % of its shingles stand in other documents of those tables, and sizes must
-be near. Links are always confirmed on the full shingle sets.
+Equal shingle sets collapse to a class first. A document can link only if 85 % of
+its shingles stand in other candidates; the others leave, which loses no link.
+Within a table every document is held against the table's most central one only;
+that and a distributed component search join almost everything. What is left in
+different components of one table is pruned once more and compared where two
+documents share one of their rarest shingles, which every link does.
+Links are always confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import lean, materialise, prepare, text_buffer
@@ -152,6 +153,56 @@ def _tables(sketches: DataFrame) -> DataFrame:
     return keys
 
 
+def _able(texts: DataFrame, members: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """Members that can link with another one: enough of their shingles stand in others of them."""
+    shingles = texts.join(members, "doc_id", "left_semi").mapInArrow(
+        _emit_shingles, "doc_id long, shingle long"
+    )
+    common = shingles.groupBy("shingle").count().where("count > 1").select("shingle")
+    return materialise(
+        shingles.join(common, "shingle", "left_semi")
+        .groupBy("doc_id")
+        .count()
+        .join(sizes, "doc_id")
+        .where(f"100 * count >= {threshold} * n_shingles")
+        .select("doc_id"),
+        "able",
+    )
+
+
+def _prefixes(texts: DataFrame, members: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """``(key, doc_id)``: the rarest shingles of each member, one of which any link shares.
+
+    Two sets that overlap by 85 % of either share a shingle among the first
+    n - ceil(0.85 n) + 1 of each in a common order; here the rarest come first.
+    Shingles of one member only fill the front of that list without making pairs.
+    """
+    shingles = texts.join(members, "doc_id", "left_semi").mapInArrow(
+        _emit_shingles, "doc_id long, shingle long"
+    )
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shingles.join(common, "shingle")
+    held = Window.partitionBy("doc_id")
+    ranked = (
+        shared.withColumn("place", F.row_number().over(held.orderBy("n", "shingle")))
+        .withColumn("shared", F.count("*").over(held))
+        .join(sizes, "doc_id")
+    )
+    most = f"n_shingles - ceil({threshold} * n_shingles / 100.0) + 1 - (n_shingles - shared)"
+    return ranked.where(f"place <= {most}").select(F.col("shingle").alias("key"), "doc_id")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """``rows(key, doc_id, component)`` of the keys that more than one component has."""
+    several = (
+        rows.groupBy("key")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low != high")
+        .select("key")
+    )
+    return rows.join(several, "key")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Groups of documents that links of near-equal shingle sets connect.
 
@@ -179,9 +230,28 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         "classes",
     )
     keys = materialise(_tables(classes), "keys")
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    tables = materialise(keys.join(hubs.select("key", "hub"), "key"), "tables")
     sizes = classes.select("doc_id", "n_shingles")
+    shared = keys.groupBy("key").count().where("count > 1").select("key")
+    met = materialise(keys.join(shared, "key").select("doc_id").distinct(), "met")
+    held = base.where("doc_id is not null and text is not null").join(
+        met.hint("shuffle_hash"), "doc_id", "left_semi"
+    )
+    if sketches.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        held = held.dropDuplicates(["doc_id"])  # repeated rows; else the texts need no sort
+    texts = materialise(held, "texts")
+    able = met
+    for _ in range(2):
+        able = _able(texts, able, sizes, threshold)
+    keys = materialise(keys.join(able, "doc_id"), "keys")
+    # The hub of a table is its most central document, the one whose tables hold most others.
+    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = materialise(keys.join(counts, "key"), "rows")
+    central = rows.groupBy("doc_id").agg(F.sum("n").alias("score"))
+    ranked = rows.join(central, "doc_id")
+    hubs = ranked.groupBy("key").agg(
+        F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("hub")
+    )
+    tables = materialise(rows.select("key", "doc_id").join(hubs, "key"), "tables")
     near = f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"
 
     def sized(pairs: DataFrame) -> DataFrame:
@@ -192,13 +262,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             .select("a", "b")
         )
 
-    texts = materialise(
-        base.where("doc_id is not null and text is not null")
-        .join(tables.select("doc_id").distinct(), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"]),
-        "texts",
+    spokes = (
+        tables.where("doc_id != hub")
+        .selectExpr("least(hub, doc_id) as a", "greatest(hub, doc_id) as b")
+        .distinct()
     )
-    spokes = tables.where("doc_id != hub").selectExpr("hub as a", "doc_id as b").distinct()
     judged = materialise(_confirmed(sized(spokes), texts, threshold), "spokes")
     links = judged.where("linked").select("a", "b")
     found = materialise(components(links), "components")
@@ -207,34 +275,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     named = tables.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
-    mixed = (
-        named.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low != high")
-        .select("key")
-    )
-    mixed = materialise(named.join(mixed, "key"), "mixed")
-    members = mixed.select("doc_id").distinct()
-    for _ in range(3):
-        shingles = (
-            texts.join(members, "doc_id", "left_semi")
-            .mapInArrow(_emit_shingles, "doc_id long, shingle long")
-        )
-        common = shingles.groupBy("shingle").count().where("count > 1").select("shingle")
-        able = (
-            shingles.join(common, "shingle", "left_semi")
-            .groupBy("doc_id")
-            .count()
-            .join(sizes, "doc_id")
-            .where(f"100 * count >= {threshold} * n_shingles")
-            .select("doc_id")
-        )
-        members = materialise(able, "members")
-    left = mixed.join(members, "doc_id")
+    mixed = _mixed(named).select("doc_id", "component").distinct()
+    members = _able(texts, mixed.select("doc_id"), sizes, threshold)
+    rare = _prefixes(texts, members, sizes, threshold).join(mixed, "doc_id")
+    left = materialise(_mixed(rare), "left")
     tried = judged.select("a", "b")
     main = left.groupBy("key").agg(F.min("component").alias("main"))
     left = materialise(left.join(main, "key"), "left")
-    # Each pair of different components in a table has a side outside the table's main one.
+    # Each pair of different components under a key has a side outside the key's main one.
     outer = left.where("component != main").selectExpr("key", "doc_id as x", "component as cx", "main")
     pairs = (
         outer.join(left.selectExpr("key", "doc_id as y", "component as cy"), "key")
