@@ -10,12 +10,14 @@ its shingles stand in other candidates; the others leave, which loses no link.
 Within a table every document is held against the table's most central one only;
 that and a distributed component search join almost everything. What is left in
 different components of one table is pruned once more and compared where two
-documents share one of their rarest shingles, which every link does.
+documents share one of their rarest shingles; prefixes that follow both sizes
+hold one of every link.
 Links are always confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,10 @@ THRESHOLD = 85
 #: At 85 % similarity a pair shares no table with a probability of about 2 in 100,000.
 HALVES, ROWS = 12, 3
 _N = 2 * HALVES * ROWS
+#: Sizes within this factor share a level.
+STEP = 1.03
+#: Counts below 1 / (STEP - 1) have levels without a size; those stay empty.
+_LEVEL = f"cast(floor(ln(n_shingles) / ln({STEP}D) + 1e-9) as int)"
 _SEEDS = mix(np.arange(1, _N + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 _FACTORS = mix(_SEEDS + U(99)) | U(1)
 
@@ -171,36 +177,66 @@ def _able(texts: DataFrame, members: DataFrame, sizes: DataFrame, threshold: int
 
 
 def _prefixes(texts: DataFrame, members: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
-    """``(key, doc_id)``: the rarest shingles of each member, one of which any link shares.
-
-    Two sets that overlap by 85 % of either share a shingle among the first
-    n - ceil(0.85 n) + 1 of each in a common order; here the rarest come first.
-    Shingles of one member only fill the front of that list without making pairs.
+    """``(key, doc_id, component, level, other)``: shingles of which each link across components shares one.
+
+    Only shingles that several components have can lie in such a link's
+    intersection. A partner of size m shares at least ``threshold * (n + m) /
+    (100 + threshold)`` shingles, so with its ``shared`` such shingles in a common
+    order a document shares one of the first ``shared - least + 1``; here the
+    rarest come first. Sizes are told apart by level (powers of ``STEP``): a
+    document has one prefix for each level ``other`` that partners may have, and
+    pairs meet where the level of each is the other's ``other``.
     """
     shingles = texts.join(members, "doc_id", "left_semi").mapInArrow(
         _emit_shingles, "doc_id long, shingle long"
     )
-    common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    shared = shingles.join(common, "shingle")
-    held = Window.partitionBy("doc_id")
-    ranked = (
-        shared.withColumn("place", F.row_number().over(held.orderBy("n", "shingle")))
-        .withColumn("shared", F.count("*").over(held))
+    owned = materialise(shingles.join(members, "doc_id"), "owned")
+    common = (
+        owned.groupBy("shingle")
+        .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low != high")
+        .select("shingle", "n")
+    )
+    shared = materialise(owned.join(common, "shingle"), "shared")
+    reach = math.ceil(math.log(100 / threshold) / math.log(STEP)) + 1
+    asked = (
+        shared.groupBy("doc_id")
+        .agg(F.count("*").alias("shared"))
         .join(sizes, "doc_id")
+        .withColumn("level", F.expr(_LEVEL))
+        .withColumn("other", F.explode(F.expr(f"sequence(greatest(level - {reach}, 0), level + {reach})")))
+        .withColumn("smallest", F.expr(f"cast(ceil(pow({STEP}D, other) - 1e-6) as long)"))
+        .withColumn("least", F.expr(f"({threshold} * (n_shingles + smallest) + {99 + threshold}) div {100 + threshold}"))
+        .selectExpr("doc_id", "level", "other", "shared - least + 1 as most")
+        .where("most > 0")
+    )
+    asked = materialise(asked, "asked")
+    answered = asked.selectExpr("level as other", "other as level").distinct()
+    asked = asked.join(answered, ["level", "other"], "left_semi")
+    longest = asked.groupBy("doc_id").agg(F.max("most").alias("longest"))
+    held = Window.partitionBy("doc_id").orderBy("n", "shingle")
+    ranked = (
+        shared.join(longest, "doc_id")
+        .withColumn("place", F.row_number().over(held))
+        .where("place <= longest")
+        .select("doc_id", "component", F.col("shingle").alias("key"), "place")
+    )
+    return (
+        ranked.alias("r")
+        .join(asked.alias("a"), F.expr("r.doc_id = a.doc_id and r.place <= a.most"))
+        .selectExpr("key", "r.doc_id as doc_id", "component", "level", "other")
     )
-    most = f"n_shingles - ceil({threshold} * n_shingles / 100.0) + 1 - (n_shingles - shared)"
-    return ranked.where(f"place <= {most}").select(F.col("shingle").alias("key"), "doc_id")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """``rows(key, doc_id, component)`` of the keys that more than one component has."""
+def _mixed(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows(component, ...)`` of the groups by ``by`` that more than one component has."""
     several = (
-        rows.groupBy("key")
+        rows.groupBy(*by)
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low != high")
-        .select("key")
+        .select(*by)
     )
-    return rows.join(several, "key")
+    return rows.join(several, [*by])
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -275,17 +311,23 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     named = tables.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
-    mixed = _mixed(named).select("doc_id", "component").distinct()
+    mixed = _mixed(named, "key").select("doc_id", "component").distinct()
     members = _able(texts, mixed.select("doc_id"), sizes, threshold)
-    rare = _prefixes(texts, members, sizes, threshold).join(mixed, "doc_id")
-    left = materialise(_mixed(rare), "left")
+    rare = _prefixes(texts, mixed.join(members, "doc_id"), sizes, threshold)
+    rare = rare.withColumn("pair", F.expr("struct(least(level, other), greatest(level, other))"))
+    rare = materialise(rare.withColumn("key", F.xxhash64("key", "pair")).drop("pair"), "rare")
+    left = materialise(_mixed(rare, "key"), "left")
     tried = judged.select("a", "b")
-    main = left.groupBy("key").agg(F.min("component").alias("main"))
+    counts = left.groupBy("key", "component").count()
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     left = materialise(left.join(main, "key"), "left")
     # Each pair of different components under a key has a side outside the key's main one.
-    outer = left.where("component != main").selectExpr("key", "doc_id as x", "component as cx", "main")
+    outer = left.where("component != main").selectExpr(
+        "key", "doc_id as x", "component as cx", "main", "level as lx", "other as ox"
+    )
+    inner = left.selectExpr("key", "doc_id as y", "component as cy", "level as ox", "other as lx")
     pairs = (
-        outer.join(left.selectExpr("key", "doc_id as y", "component as cy"), "key")
+        outer.join(inner, ["key", "lx", "ox"])
         .where("cx != cy and (cy = main or x < y)")
         .selectExpr("least(x, y) as a", "greatest(x, y) as b")
         .distinct()
