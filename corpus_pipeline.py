@@ -15,8 +15,8 @@ from weirflow.llm.common import materialise
 
 #: Documents whose language is less certain than this are rejected.
 LEAST_SCORE = 0.5
-#: Documents that the mixture wants less often than this are left out.
-LEAST_RATE = 0.1
+#: Documents more likely toxic than this are left out.
+MOST_TOXIC = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +58,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the rate at which the mixture takes them; those it does not want go."""
+    """Documents with the rate at which the mixture takes them; toxic ones go.
+
+    Rates scale with the corpus's scarcest domain, so a document's own posterior
+    decides whether it stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rates = mixing.mix(docs, labels).where("doc_id is not null").dropDuplicates(["doc_id"])
     mixed = docs.join(rates.hint("shuffle_hash"), "doc_id", "left")
-    return mixed.withColumn("rate", F.coalesce("rate", F.lit(1.0))).where(F.col("rate") >= LEAST_RATE)
+    toxic = F.coalesce("p_toxic", F.lit(0.0)) > MOST_TOXIC
+    return mixed.withColumn("rate", F.coalesce("rate", F.lit(1.0))).where(~toxic)
 
 
 STAGES = [
