@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from weirflow.llm import decontaminate, langid, line_dedup, minhash, mixing
 from weirflow.llm.common import materialise
 
+#: Documents are near-duplicates from this similarity of their word shingles on, in percent.
+NEAR = 80
 #: Documents whose language is less certain than this are rejected.
 LEAST_SCORE = 0.5
 #: Documents more likely toxic than this are left out.
@@ -40,7 +42,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = minhash.near_duplicates(docs, NEAR).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -21,3 +21,25 @@ def test_mixing_stage_keeps_clean_documents(spark, tmp_path, n_toxic):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.source_mixing(spark, spark.createDataFrame(docs, DOC), str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == list(range(n_toxic, 4000))
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    """Families of near copies, most of their similarities between 75 and 90 %: links are from 80 % on."""
+    rng = random.Random(11)
+    docs = []
+    for family in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        docs.append((10 * family, " ".join(base)))
+        for copy in range(1, 4):
+            at = set(rng.sample(range(20, 280), rng.randint(3, 9)))
+            docs.append((10 * family + copy, " ".join(f"x{copy}" if i in at else w for i, w in enumerate(base))))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in docs)}
+    pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and a // 10 == b // 10}
+    assert sum(0.8 <= s < 0.85 for s in pairs.values()) >= 10 and sum(s < 0.8 for s in pairs.values()) >= 10
+    group = {d: d for d in sets}
+    for _ in sets:
+        for (a, b), s in pairs.items():
+            if s >= 0.8:
+                group[a] = group[b] = min(group[a], group[b])
+    out = corpus_pipeline.near_deduplication(spark, spark.createDataFrame(docs, DOC), "").collect()
+    assert {r.doc_id for r in out} == {d for d in sets if group[d] == d}

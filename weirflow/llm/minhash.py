@@ -1,12 +1,12 @@
 """MinHash near-dedup with tensored banding.
 
-Two collections of ``HALVES`` half keys, each of ``ROWS`` minhashes, give
-``HALVES ** 2`` table keys by pairing: 144 tables of 6 rows from 72 minhashes
-instead of 864. A half key that no other document has can make no table key, so
-most documents emit none.
+Two collections of half keys, each of ``ROWS`` minhashes, give the square of
+their number of table keys by pairing: at 85 % 144 tables of 6 rows from 72
+minhashes instead of 864. A half key that no other document has can make no
+table key, so most documents emit none.
 
-Equal shingle sets collapse to a class first. A document can link only if 85 % of
-its shingles stand in other candidates; the others leave, which loses no link.
+Equal shingle sets collapse to a class first. A document can link only if the
+threshold's share of its shingles stand in other candidates; the others leave, which loses no link.
 Within a table every document is held against the table's most central one only;
 that and a distributed component search join almost everything. What is left in
 different components of one table is pruned once more and compared where two
@@ -32,15 +32,20 @@ from weirflow.llm.tokens import SPACED_LOWER, U, grams, mix, words
 SHINGLE = 5
 #: Links: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-#: At 85 % similarity a pair shares no table with a probability of about 2 in 100,000.
-HALVES, ROWS = 12, 3
-_N = 2 * HALVES * ROWS
+#: Minhashes of a half key.
+ROWS = 3
+#: At the threshold a pair shares no half key of one collection with at most this probability, no table with twice that.
+MISS = 1.1e-5
 #: Sizes within this factor share a level.
 STEP = 1.03
 #: Counts below 1 / (STEP - 1) have levels without a size; those stay empty.
 _LEVEL = f"cast(floor(ln(n_shingles) / ln({STEP}D) + 1e-9) as int)"
-_SEEDS = mix(np.arange(1, _N + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-_FACTORS = mix(_SEEDS + U(99)) | U(1)
+
+
+def half_keys(threshold: int) -> int:
+    """Half keys of a collection that keep to ``MISS``: 12 at 85 %, 16 at 80 %."""
+    same = (threshold / 100) ** ROWS
+    return math.ceil(math.log(MISS) / math.log(1 - same)) if same < 1 else 1
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -55,40 +60,47 @@ def _sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
                 yield grams(hashes[s:e], e - s) + U(e - s) if e > s else np.zeros(0, np.uint64)
 
 
-def _halves(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(_N, U(0xFFFFFFFFFFFFFFFF))
+def _halves(shingles: np.ndarray, seeds: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    least = np.full(len(seeds), U(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(shingles), 4096):
         part = shingles[at : at + 4096, None]
-        np.minimum(least, ((part ^ _SEEDS) * _FACTORS).min(axis=0), out=least)
-    keys = np.zeros(2 * HALVES, np.uint64)
+        np.minimum(least, ((part ^ seeds) * factors).min(axis=0), out=least)
+    keys = np.zeros(len(seeds) // ROWS, np.uint64)
     for j in range(ROWS):
         keys = mix(keys + least[j :: ROWS])
-    return mix(keys + np.arange(2 * HALVES, dtype=np.uint64))
+    return mix(keys + np.arange(len(keys), dtype=np.uint64))
 
 
-@lean
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        size, one, two, halves = [], [], [], []
-        for s in _sets(data, offsets):
-            size.append(len(s))
-            one.append(int(mix(s + U(3)).sum(dtype=np.uint64)))
-            two.append(int(mix(s ^ U(0xABCDEF0123456789)).sum(dtype=np.uint64)))
-            halves.append(_halves(s) if len(s) else np.zeros(2 * HALVES, np.uint64))
-        flat = np.concatenate(halves).view(np.int64) if halves else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array(size, pa.int64()),
-                pa.array(np.array(one, np.uint64).view(np.int64)),
-                pa.array(np.array(two, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(size) + 1, dtype=np.int32) * 2 * HALVES), pa.array(flat)
-                ),
-            ],
-            ["doc_id", "n_shingles", "one", "two", "halves"],
-        )
+def _sketch(count: int):
+    """Sizes, hashes and ``2 * count`` half keys of the rows' shingle sets."""
+    seeds = mix(np.arange(1, 2 * count * ROWS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+    factors = mix(seeds + U(99)) | U(1)
+
+    @lean
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            size, one, two, halves = [], [], [], []
+            for s in _sets(data, offsets):
+                size.append(len(s))
+                one.append(int(mix(s + U(3)).sum(dtype=np.uint64)))
+                two.append(int(mix(s ^ U(0xABCDEF0123456789)).sum(dtype=np.uint64)))
+                halves.append(_halves(s, seeds, factors) if len(s) else np.zeros(2 * count, np.uint64))
+            flat = np.concatenate(halves).view(np.int64) if halves else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(size, pa.int64()),
+                    pa.array(np.array(one, np.uint64).view(np.int64)),
+                    pa.array(np.array(two, np.uint64).view(np.int64)),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(size) + 1, dtype=np.int32) * 2 * count), pa.array(flat)
+                    ),
+                ],
+                ["doc_id", "n_shingles", "one", "two", "halves"],
+            )
+
+    return sketch
 
 
 @lean
@@ -144,13 +156,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def _tables(sketches: DataFrame) -> DataFrame:
+def _tables(sketches: DataFrame, count: int) -> DataFrame:
     """``(doc_id, key)``: table keys that at least two classes have."""
     halves = sketches.select("doc_id", F.posexplode("halves").alias("place", "half"))
     shared = halves.groupBy("half").count().where("count > 1").select("half")
     live = halves.join(shared, "half").groupBy("doc_id").agg(
-        F.collect_set(F.when(F.col("place") < HALVES, F.col("half"))).alias("left"),
-        F.collect_set(F.when(F.col("place") >= HALVES, F.col("half"))).alias("right"),
+        F.collect_set(F.when(F.col("place") < count, F.col("half"))).alias("left"),
+        F.collect_set(F.when(F.col("place") >= count, F.col("half"))).alias("right"),
     )
     keys = live.select(
         "doc_id",
@@ -252,10 +264,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     are ignored.
     """
     spark = prepare(docs.sparkSession)
+    count = half_keys(threshold)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = materialise(
         base.mapInArrow(
-            _sketch, "doc_id long, n_shingles long, one long, two long, halves array<long>"
+            _sketch(count), "doc_id long, n_shingles long, one long, two long, halves array<long>"
         ),
         "sketches",
     )
@@ -265,7 +278,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         filled.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves")),
         "classes",
     )
-    keys = materialise(_tables(classes), "keys")
+    keys = materialise(_tables(classes, count), "keys")
     sizes = classes.select("doc_id", "n_shingles")
     shared = keys.groupBy("key").count().where("count > 1").select("key")
     met = materialise(keys.join(shared, "key").select("doc_id").distinct(), "met")
