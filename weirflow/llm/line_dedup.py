@@ -5,8 +5,10 @@ of 1, 2, 4, ... lines that suffixes begin with: the name of a run of twice the
 length is made of the names of its halves, and a suffix whose run occurs once
 leaves the race. Suffixes with one name are an interval of the suffix array
 whose common prefix has at least that many lines; all but its earliest suffix
-are later copies. A longer common run is the union of two such runs that
-overlap, so the named lengths cover every maximal repeated run.
+are later copies. A run of a length between is named by the two such runs that
+overlap in it, its first and its last. Where one of them is too short to be
+deleted by itself, the longest run that starts earlier is found by halving, each
+length held against all suffixes of the same first run.
 
 Names are 128-bit hashes of pairs of names, not ordinals: the order of the
 intervals among each other decides nothing here, and a global numbering would
@@ -15,6 +17,8 @@ need another range sort in each round. Only DataFrame operations are used.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,44 +29,111 @@ MIN_CHARS = 20
 
 
 def _repeated(named: DataFrame) -> DataFrame:
-    """Rows ``(doc, pos, a, b)`` whose name ``(a, b)`` occurs more than once."""
+    """Rows ``(doc, pos, a, b, chars)`` whose name ``(a, b)`` occurs more than once."""
     shared = named.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    return named.join(shared, ["a", "b"]).select("doc", "pos", "a", "b")
+    return named.join(shared, ["a", "b"]).select("doc", "pos", "a", "b", "chars")
+
 
+def _later(level: DataFrame) -> DataFrame:
+    """Rows of ``level`` but for the earliest of each name."""
+    first = level.groupBy("a", "b").agg(F.min(F.struct("doc", "pos")).alias("first"))
+    copies = level.join(first, ["a", "b"]).where("first.doc != doc or first.pos != pos").drop("first")
+    return materialise(copies, "copies")
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``(doc, pos, size)``: runs of 1, 2, 4, ... lines that start earlier as well.
 
-    ``docs(doc, text)``: without nulls, each document once or in equal rows. Only
-    runs that no other one covers are returned.
+def _between(level: DataFrame, copies: DataFrame, longer: DataFrame | None, size: int, min_chars: int) -> DataFrame | None:
+    """``(doc, pos, size)``: the longest run of ``size`` to ``2 * size - 1`` lines that starts earlier as well.
+
+    ``copies`` are the later ones of ``level``, the runs of ``size`` lines; ``longer``
+    those of twice the size. Left out, as they change nothing, are runs that
+    cannot have ``min_chars`` and those of which each part of ``size`` lines has.
+    """
+    ahead = Window.partitionBy("doc").orderBy("pos")
+    parts = ahead.rangeBetween(0, size - 1)
+    asked = (
+        copies.withColumn("next", F.lead("pos").over(ahead))
+        .withColumn("least", F.min("chars").over(parts))
+        .withColumn("most", F.max("chars").over(parts))
+        .where(f"next = pos + 1 and least < {min_chars} and chars + most >= {min_chars}")
+        .select("doc", "pos", "a", "b", F.lit(size).alias("size"))
+    )
+    if longer is not None:
+        asked = asked.join(longer.select("doc", "pos"), ["doc", "pos"], "left_anti")
+    asked = materialise(asked, "asked")
+    if not asked.limit(1).count():
+        forget(asked)
+        return None
+    last = level.select("doc", F.col("pos").alias("end"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    name = ["a", "b", "n", "a2", "b2"]
+    step = size // 2
+    while step:
+        lengths = asked.select("a", "b", (F.col("size") + step).alias("n")).distinct()
+        # Of all suffixes with the asked first run, whatever their own longest one is.
+        named = materialise(
+            level.join(lengths, ["a", "b"])
+            .withColumn("end", F.col("pos") + F.col("n") - size)
+            .join(last, ["doc", "end"])
+            .select("doc", "pos", *name),
+            "tried",
+        )
+        first = named.groupBy(*name).agg(F.min(F.struct("doc", "pos")).alias("first"))
+        known = named.join(first, name).where("first.doc != doc or first.pos != pos").select("doc", "pos", "n")
+        grown = asked.withColumn("n", F.col("size") + step).join(
+            known.withColumn("known", F.lit(True)), ["doc", "pos", "n"], "left"
+        )
+        before = asked
+        asked = materialise(
+            grown.select("doc", "pos", "a", "b", F.when(F.col("known"), F.col("n")).otherwise(F.col("size")).alias("size")),
+            "asked",
+        )
+        forget(before)
+        forget(named)
+        step //= 2
+    return asked.where(F.col("size") > size).select("doc", "pos", "size")
+
+
+def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(doc, pos, size)``: runs of lines that start earlier as well.
+
+    ``docs(doc, text)``: without nulls, each document once or in equal rows. Those
+    of ``min_chars`` characters cover together all lines that any run of so many
+    does; runs that another one covers are left out.
     """
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     named = lines.select(
-        "doc", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b")
+        "doc",
+        "pos",
+        F.xxhash64("line").alias("a"),
+        F.xxhash64(F.lit(7), "line").alias("b"),
+        F.length("line").cast("long").alias("chars"),
     ).dropDuplicates(["doc", "pos"])
-    levels = [materialise(_repeated(named), "runs")]
+    level = materialise(_repeated(named), "runs")
+    copies = _later(level)
+    found = []
     size = 1
     while True:
-        level = levels[-1]
-        half = level.select("doc", (F.col("pos") - size).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        found.append(copies.select("doc", "pos", F.lit(size).alias("size")))
+        half = level.select(
+            "doc", (F.col("pos") - size).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("chars").alias("chars2")
+        )
         doubled = level.join(half, ["doc", "pos"]).select(
-            "doc", "pos", F.xxhash64("a", "a2").alias("a"), F.xxhash64("b", F.lit(3), "b2").alias("b")
+            "doc",
+            "pos",
+            F.xxhash64("a", "a2").alias("a"),
+            F.xxhash64("b", F.lit(3), "b2").alias("b"),
+            (F.col("chars") + F.col("chars2")).alias("chars"),
         )
-        level = materialise(_repeated(doubled), "runs")
-        if not level.limit(1).count():
-            forget(level)
+        doubled = materialise(_repeated(doubled), "runs")
+        longer = _later(doubled) if doubled.limit(1).count() else None
+        if size > 1 and (more := _between(level, copies, longer, size, min_chars)) is not None:
+            found.append(more)
+        forget(level)
+        if longer is None:
+            forget(doubled)
             break
-        levels.append(level)
+        level, copies = doubled, longer
         size *= 2
-    later = None
-    for number, level in enumerate(levels):
-        first = level.groupBy("a", "b").agg(F.min(F.struct("doc", "pos")).alias("first"))
-        copies = (
-            level.join(first, ["a", "b"])
-            .where("first.doc != doc or first.pos != pos")
-            .select("doc", "pos", F.lit(1 << number).alias("size"))
-        )
-        later = copies if later is None else later.union(copies)
+    later = functools.reduce(DataFrame.union, found)
     before = Window.partitionBy("doc").orderBy("pos", F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     return (
         later.withColumn("covered", F.max(F.col("pos") + F.col("size")).over(before))
@@ -74,10 +145,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def remove_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``kept`` (the text without later copies) and ``n_lines``, ``n_removed``.
 
-    Lines stand between line feeds. A run of 1, 2, 4, ... lines that also starts
-    earlier (smaller doc_id, or same document before) is deleted if its lines have
-    ``min_chars`` characters together. Runs never cross documents and are judged
-    on the input.
+    Lines stand between line feeds. A run of lines, of any number, that also
+    starts earlier (smaller doc_id, or same document before) is deleted if its
+    lines have ``min_chars`` characters together. Runs never cross documents and
+    are judged on the input.
 
     A null text stays null and has no lines. A row without a doc_id keeps its
     text and is no copy's original. Repeated rows of a document count as one and
@@ -89,7 +160,7 @@ def remove_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFr
         F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")
     )
     runs = (
-        repeated_runs(known)
+        repeated_runs(known, min_chars)
         .groupBy("doc")
         .agg(F.collect_list(F.struct("pos", "size")).alias("runs"))
         .withColumnsRenamed({"doc": "__doc", "runs": "__runs"})
