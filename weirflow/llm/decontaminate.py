@@ -274,19 +274,21 @@ def find_leaks(
         return docs.mapInArrow(_with_whole_index(spark.sparkContext.broadcast(index)), out)
     counts = items.select("text").mapInArrow(_word_counts, "n long").where(f"n between 1 and {WINDOW - 1}")
     lengths = tuple(sorted(r[0] for r in counts.distinct().collect()))
-    ours = docs.where("doc_id is not null").mapInArrow(
-        _fingerprints("doc_id", lengths, False), "doc_id long, print long"
+    # Rows without an id are known by their text; a clash only adds items to look for.
+    keyed = docs.withColumn("__row", F.coalesce("doc_id", F.xxhash64("text")))
+    ours = keyed.select("__row", "text").mapInArrow(
+        _fingerprints("__row", lengths, False), "__row long, print long"
     )
     theirs = items.mapInArrow(_fingerprints("item_id", lengths, True), "item_id string, print long")
     met = (
         ours.join(theirs, "print")
-        .select("doc_id", "item_id")
+        .select("__row", "item_id")
         .distinct()
         .join(items.withColumnRenamed("text", "item_text"), "item_id")
-        .groupBy("doc_id")
+        .groupBy("__row")
         .agg(F.collect_set(F.struct("item_id", "item_text")).alias("met"))
     )
-    return docs.join(met, "doc_id", "left").mapInArrow(_with_own_items, out)
+    return keyed.join(met, "__row", "left").drop("__row").mapInArrow(_with_own_items, out)
 
 
 #: A document is contaminated if hits are a twentieth of its words or more.
