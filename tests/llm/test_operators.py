@@ -107,8 +107,8 @@ def test_lines(spark):
     pool = [f"{'line' * rng.randint(1, 4)} {i}" for i in range(12)] + ["", "ab"]
     docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for i in range(40)]
     docs += [(50, None), (51, ""), (None, docs[0][1]), (60, docs[3][1]), (60, docs[3][1])]
-    rows = [(d, t, "k") for d, t in docs]
-    got = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, DOC + ", kept string")).collect()
+    rows = [(d, t, "k", 1, 2, 3) for d, t in docs]
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, DOC + ", kept string, __doc int, __runs int, pos int")).collect()
     assert len(got) == len(docs)
     texts = sorted({(d, t) for d, t in docs if d is not None and t is not None})
     seqs = [(d, t.split("\n")) for d, t in texts]
@@ -116,9 +116,9 @@ def test_lines(spark):
     for d, lines in seqs:
         gone[d] = set()
         for i in range(len(lines)):
-            for n in (1, 2, 4, 8):
+            for n in range(1, len(lines) - i + 1):
                 run = tuple(lines[i : i + n])
-                if len(run) == n and run in seen and sum(map(len, run)) >= 20:
+                if run in seen and sum(map(len, run)) >= 20:
                     gone[d] |= set(range(i, i + n))
             # runs that start here are known from the next start on
             seen |= {tuple(lines[i : i + n]) for n in range(1, len(lines) - i + 1)}

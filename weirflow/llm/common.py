@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import functools
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts may be long, so few of them travel together.
 BATCH_ROWS = 400
@@ -57,20 +57,68 @@ def _discard(fs, path) -> None:
         pass
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """An unused path below :func:`scratch_root`."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage with a table that survives lost executors, and lets Spark
     drop the shuffle files of what was computed before.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    spark.range(1).collect()  # the session lets go of the last plan when another one has run
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return back
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """One scratch table that rounds add rows to, read once at the end.
+
+    The plan that reads it is as small after many rounds as after one.
+    """
+
+    def __init__(self, spark: SparkSession, schema: str, name: str):
+        self._path = scratch_path(spark, name)
+        self._empty = spark.createDataFrame([], schema)
+        self._empty.write.parquet(self._path)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select(*self._empty.columns).write.mode("append").option("compression", "zstd").parquet(self._path)
+
+    def read(self) -> DataFrame:
+        return self._empty.sparkSession.read.schema(self._empty.schema).parquet(self._path)
+
+
+def fresh(columns: list[str], stem: str = "__") -> str:
+    """A prefix that none of ``columns`` begins with, in either case."""
+    while any(c.lower().startswith(stem) for c in columns):
+        stem += "_"
+    return stem
+
+
+#: Groups of more than this part of all rows are dealt over several tasks.
+_PART = 1000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], salt: list[str], count: str = "n") -> DataFrame:
+    """``rows`` joined with ``groups``, which holds a row per key and its number of rows.
+
+    A key with more than a thousandth of all rows gets several slots: its row of
+    ``groups`` is repeated for each, and ``rows`` choose one by a hash of
+    ``salt``. There are fewer than a thousand such keys, whatever the size, so
+    the list of them is broadcast. ``groups`` is read three times: materialise it.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    part = max(total // _PART, 64)
+    hot = groups.where(F.col(count) > part).select(*keys, F.ceil(F.col(count) / part).cast("int").alias("__slots"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "__slot", F.coalesce(F.expr(f"pmod(xxhash64({', '.join(salt)}), __slots)").cast("int"), F.lit(0))
+    )
+    every = F.sequence(F.lit(0), F.greatest(F.ceil(F.col(count) / part).cast("int"), F.lit(1)) - 1)
+    slots = F.when(F.col(count) > part, every).otherwise(F.array(F.lit(0)))
+    return dealt.drop("__slots").join(groups.withColumn("__slot", F.explode(slots)), [*keys, "__slot"]).drop("__slot")
 
 
 def forget(df: DataFrame) -> None:
