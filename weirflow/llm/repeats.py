@@ -6,11 +6,13 @@
    have started before.
 3. Leaders with several different segments need the windows themselves
    compared: a *resolver* does that shard by shard. A leader with more than
-   ``Unit.crowd`` segments is never brought together: its windows are compared by
-   128-bit hash with a pre-aggregated minimum instead.
+   ``Unit.crowd`` segments is never brought together: whole blocks of its windows,
+   and single ones where blocks differ in part, are named by 128-bit hash and
+   given to the earliest segment that holds them.
 4. The covered ranges of each document are gathered and handed to the texts.
 
-Joins on leaders are plain sort-merge joins, whose skewed partitions Spark splits.
+Occurrences of one segment, which may be a large part of all, are dealt over
+several tasks.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.anchors import Prefix, Unit, pack, runs, unpack
-from weirflow.llm.common import forget, lean, materialise, prepare, spans, text_buffer
-from weirflow.llm.tokens import SPACED, words
+from weirflow.llm.common import forget, lean, materialise, prepare, spans, spread_join, text_buffer
+from weirflow.llm.tokens import SPACED, mix, words
 
 #: Bytes of segments that make a shard of the resolver.
 SHARD_BYTES = 3 << 20
@@ -153,85 +155,151 @@ def _block_size(unit: Unit) -> int:
     return max(2, unit.window // 6)
 
 
-def _cores(unit: Unit):
-    """What all windows of a block share, by 128-bit hash.
+def _spans(unit: Unit):
+    """The blocks of windows of each row by 128-bit hash: ``s1, s2`` of all their symbols, ``c1, c2`` of their core.
 
-    Blocks count windows by their distance from the leader, so equal windows
-    lie in equal blocks and hold equal cores.
+    Blocks count windows by their distance from the leader, so equal windows lie
+    in equal blocks. The core is what all windows of a block share.
     """
     size = _block_size(unit)
 
     @lean
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(4)]
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, symbols, last, lead, _ in _crowd_rows(unit, batch):
                 block = np.arange(-lead // size, (last - lead) // size + 1)
-                begin, end = (block + 1) * size - 1 + lead, block * size + unit.window + lead
-                begin, end = np.maximum(begin, 0), np.minimum(end, len(symbols))
+                low = np.maximum(block * size + lead, 0)
+                high = np.minimum((block + 1) * size - 1 + lead, last)
+                core = (block + 1) * size - 1 + lead, block * size + unit.window + lead
+                shape = ((low - block * size - lead) * 256 + (high - low)).astype(np.uint64)
                 one, two = _two_hashes(symbols)
                 for column, x in zip(
                     out,
-                    (np.full(len(block), i), block, one.hash(begin, end), two.hash(begin, end)),
+                    (
+                        np.full(len(block), i),
+                        block,
+                        *(mix(h.hash(low, high + unit.window) + shape) for h in (one, two)),
+                        *(h.hash(*core) for h in (one, two)),
+                    ),
                     strict=True,
                 ):
                     column.append(x)
             if out[0]:
-                row, block, one, two = (np.concatenate(x) for x in out)
+                row, block, *hashes = (np.concatenate(x) for x in out)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).take(pa.array(row)) for c in ("lead", "content")),
+                        *(batch.column(c).take(pa.array(row)) for c in ("lead", "content", "doc_id", "place")),
                         pa.array(block.astype(np.int32)),
-                        pa.array(_signed(one)),
-                        pa.array(_signed(two)),
+                        *(pa.array(_signed(h)) for h in hashes),
                     ],
-                    ["lead", "content", "block", "c1", "c2"],
+                    ["lead", "content", "doc_id", "place", "block", "s1", "s2", "c1", "c2"],
                 )
 
     return split
 
 
 def _windows(unit: Unit):
-    """The windows in a row's ``blocks`` by 128-bit hash."""
+    """The windows in a row's ``mixed`` blocks by 128-bit hash."""
     size = _block_size(unit)
 
     @lean
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            blocks = batch.column("blocks").to_pylist()
-            for i, symbols, last, lead, first in _crowd_rows(unit, batch):
+            out: list[list[np.ndarray]] = [[] for _ in range(4)]
+            blocks = batch.column("mixed").to_pylist()
+            for i, symbols, last, lead, _ in _crowd_rows(unit, batch):
                 at = np.arange(last + 1)
                 at = at[np.isin((at - lead) // size, blocks[i])]
                 one, two = _two_hashes(symbols)
                 for column, x in zip(
                     out,
-                    (
-                        np.full(len(at), i),
-                        one.hash(at, at + unit.window),
-                        two.hash(at, at + unit.window),
-                        at - lead,
-                        at + first,
-                    ),
+                    (np.full(len(at), i), *(h.hash(at, at + unit.window) for h in (one, two)), at - lead),
                     strict=True,
                 ):
                     column.append(x)
             if out[0]:
-                row, one, two, from_lead, at = (np.concatenate(x) for x in out)
+                row, one, two, from_lead = (np.concatenate(x) for x in out)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).take(pa.array(row)) for c in ("lead", "content", "doc_id")),
+                        *(batch.column(c).take(pa.array(row)) for c in ("lead", "content", "doc_id", "place")),
                         pa.array(_signed(one)),
                         pa.array(_signed(two)),
-                        pa.array(from_lead),
-                        pa.array(at),
+                        pa.array(from_lead.astype(np.int32)),
                     ],
-                    ["lead", "content", "doc_id", "w1", "w2", "from_lead", "at"],
+                    ["lead", "content", "doc_id", "place", "w1", "w2", "from_lead"],
                 )
 
     return split
 
 
+#: Where a segment's leader stands in its document.
+_LEAD_AT = "shiftright(place, 16) + (place & 255)"
+
+
+def _crowded(crowd: DataFrame, unit: Unit) -> DataFrame:
+    """``(lead, content, inner)``: runs of later windows of segments whose leaders have too many.
+
+    A whole block counts as one where its span is another segment's too: the
+    earliest segment owns it, for the others all its windows are later. Only
+    blocks that share their core with another span need their windows, once for
+    each span; the earliest segment owns a window. What a segment does not own,
+    or owns in a block that is not mixed, follows without a row for each window.
+    """
+    size = _block_size(unit)
+    earliest = F.min(F.struct("doc_id", F.expr(_LEAD_AT).alias("at"), "content")).alias("first")
+    spans = crowd.mapInArrow(
+        _spans(unit),
+        "lead long, content long, doc_id long, place long, block int, s1 long, s2 long, c1 long, c2 long",
+    )
+    owned = materialise(
+        spans.groupBy("lead", "block", "c1", "c2", "s1", "s2").agg(earliest).drop("s1", "s2"), "owned"
+    )
+    core = ["lead", "block", "c1", "c2"]
+    cores = materialise(owned.groupBy(*core).agg(F.count("*").alias("n")), "cores")
+    own = materialise(
+        spread_join(owned, cores, core, ["first"])
+        .select("lead", "first.content", "block", (F.col("n") > 1).alias("mixed"))
+        .groupBy("lead", "content")
+        .agg(
+            F.collect_set("block").alias("own"),
+            F.collect_set(F.when(F.col("mixed"), F.col("block"))).alias("mixed"),
+        ),
+        "own",
+    )
+    windows = crowd.join(own.where("size(mixed) > 0"), ["lead", "content"]).mapInArrow(
+        _windows(unit), "lead long, content long, doc_id long, place long, w1 long, w2 long, from_lead int"
+    )
+    firsts = (
+        windows.groupBy("lead", "from_lead", "w1", "w2")
+        .agg(earliest)
+        .groupBy("lead", "first.content")
+        .agg(F.collect_set("from_lead").alias("firsts"))
+    )
+    none = F.expr("cast(array() as array<int>)")
+    marked = (
+        crowd.select("lead", "content", "place")
+        .join(own, ["lead", "content"], "left")
+        .join(firsts, ["lead", "content"], "left")
+        .withColumns({c: F.coalesce(c, none) for c in ("own", "mixed", "firsts")})
+    )
+    from_lead = "(x - cast(place & 255 as int))"
+    block = f"cast(floor({from_lead} / {size}) as int)"
+    later = (
+        f"filter(sequence(0, cast(shiftright(place, 8) & 255 as int)), x -> not array_contains(own, {block})"
+        f" or (array_contains(mixed, {block}) and not array_contains(firsts, {from_lead})))"
+    )
+    starts = "filter(later, x -> not array_contains(later, x - 1))"
+    ends = "filter(later, x -> not array_contains(later, x + 1))"
+    return (
+        marked.withColumn("later", F.expr(later))
+        .where("size(later) > 0")
+        .selectExpr(
+            "lead", "content", f"zip_with({starts}, {ends}, (x, y) -> struct(x as low, y + 1 as high)) as inner"
+        )
+    )
+
+
 def shard_rows(batch: pa.RecordBatch):
     """Rows of a resolver's input as ``(lead, content, doc, place, bytes)`` columns."""
     return (
@@ -280,13 +348,13 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     )
     forget(anchors)
     forget(repeated)
-    lead_at = "shiftright(place, 16) + (place & 255)"
     kinds = segments.groupBy("lead", "content").agg(
-        F.min(F.struct("doc_id", F.expr(lead_at).alias("at"), "place")).alias("m"),
+        F.min(F.struct("doc_id", F.expr(_LEAD_AT).alias("at"), "place")).alias("m"),
         F.first("bytes", ignorenulls=True).alias("bytes"),
+        F.count("*").alias("n"),
     )
     kinds = materialise(
-        kinds.select("lead", "content", "m.doc_id", "m.place", "bytes"), "kinds"
+        kinds.select("lead", "content", "m.doc_id", "m.place", "bytes", "n"), "kinds"
     )
     crowds = kinds.groupBy("lead").agg(
         F.count("*").alias("kinds"), F.sum(F.length("bytes")).alias("size")
@@ -303,47 +371,24 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
         .mapInArrow(resolver, "lead long, content long, low int, high int")
     )
     crowd = materialise(chosen.where(f"kinds > {unit.crowd}").select(*columns), "crowd")
-    cores = crowd.mapInArrow(_cores(unit), "lead long, content long, block int, c1 long, c2 long")
-    core = ["lead", "block", "c1", "c2"]
-    shared = cores.groupBy(*core).count().where("count > 1").select(*core)
-    alive = (
-        cores.join(shared, core).groupBy("lead", "content").agg(F.collect_set("block").alias("blocks"))
-    )
-    windows = materialise(
-        crowd.join(alive, ["lead", "content"]).mapInArrow(
-            _windows(unit),
-            "lead long, content long, doc_id long, w1 long, w2 long, from_lead long, at long",
-        ),
-        "windows",
-    )
-    same = ["lead", "from_lead", "w1", "w2"]
-    earliest = windows.groupBy(*same).agg(F.min(F.struct("doc_id", "at")).alias("e"))
-    firsts = kinds.select("lead", "content", F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place"))
-    hashed = (
-        windows.join(earliest, same)
-        .where("e.doc_id != doc_id or e.at != at")
-        .groupBy("lead", "content")
-        .agg(F.collect_list("at").alias("ats"))
-        .join(firsts, ["lead", "content"])
-        .selectExpr(
-            "lead", "content",
-            "transform(ats, x -> struct(cast(x - shiftright(first_place, 16) as int) as low,"
-            " cast(x - shiftright(first_place, 16) + 1 as int) as high)) as inner",
-        )
-    )
     inner = (
         compared.groupBy("lead", "content")
         .agg(F.collect_set(F.struct("low", "high")).alias("inner"))
-        .unionByName(hashed)
+        .unionByName(_crowded(crowd, unit))
+    )
+    known = materialise(
+        kinds.select("lead", "content", F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place"), "n")
+        .join(inner, ["lead", "content"], "left")
+        .where("n > 1 or inner is not null"),
+        "known",
     )
-    known = firsts.join(inner, ["lead", "content"], "left")
-    occurrences = segments.select("lead", "content", "doc_id", "place").join(
-        known, ["lead", "content"]
+    occurrences = spread_join(
+        segments.select("lead", "content", "doc_id", "place"), known, ["lead", "content"], ["doc_id", "place"]
     )
     window = unit.window
     start = "shiftright(place, 16)"
     later = (
-        f"(doc_id != first_doc or {lead_at} != shiftright(first_place, 16) + (first_place & 255))"
+        f"(doc_id != first_doc or {_LEAD_AT} != shiftright(first_place, 16) + (first_place & 255))"
     )
     whole = (
         f"array(struct({start} as start, {start} + (shiftright(place, 8) & 255) + {window} as end))"
@@ -358,6 +403,6 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
         .agg(F.flatten(F.collect_set("r")).alias("ranges")),
         "ranges",
     )
-    for table in (segments, kinds, crowd, windows):
+    for table in (segments, kinds, crowd, known):
         forget(table)
     return ranges
