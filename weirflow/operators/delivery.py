@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def retry_schedule(budgets: DataFrame) -> DataFrame:
-    """``budgets(id, retries, base, most, max_attempts, max_elapsed)`` to one row per attempt.
+def retry_schedule(plans: DataFrame) -> DataFrame:
+    """One row for each attempt of ``plans``; attempts take no time themselves.
 
-    Attempts are ``retries + 1`` within ``max_attempts``, at least one. The wait
-    before attempt k + 1 is ``base * 2**(k-1)`` up to ``most``; an attempt that
-    would start after ``max_elapsed`` is not made.
+    ``plans(id, retries, backoff_min, backoff_max, max_attempts, max_elapsed,
+    base_backoff, max_backoff)``: the first three of a route's delivery policy,
+    the others of its budget; any may be null. Attempts are ``retries + 1`` within
+    ``max_attempts``, at least one. Waits begin at the policy's least, raised to
+    the budget's base, and double up to the policy's greatest, lowered to the
+    budget's but not below the first. There is no further attempt once
+    ``max_elapsed`` is used up or the wait would go beyond it.
     """
-    attempts = F.greatest(F.lit(1), F.least(F.col("retries") + 1, F.coalesce("max_attempts", F.col("retries") + 1)))
-    rows = budgets.withColumn("attempt", F.explode(F.sequence(F.lit(1), attempts.cast("int"))))
-    wait = F.least(F.col("base") * F.pow(F.lit(2), F.least(F.col("attempt") - 2, F.lit(16))), F.greatest("most", "base"))
+    none = F.lit(2**31 - 1)
+    attempts = F.greatest(F.lit(1), F.least(F.coalesce(F.col("retries") + 1, none), F.greatest(F.coalesce("max_attempts", none), F.lit(1))))
+    base = F.greatest(F.coalesce("backoff_min", "base_backoff", F.lit(0)), F.coalesce("base_backoff", F.lit(0)))
+    most = F.least(F.coalesce("backoff_max", "max_backoff", "base"), F.coalesce("max_backoff", "backoff_max", "base"))
+    rows = (
+        plans.withColumn("base", base)
+        .withColumn("most", F.greatest(most, "base"))
+        .withColumn("attempt", F.explode(F.sequence(F.lit(1), attempts.cast("int"))))
+    )
+    wait = F.least(F.col("base") * F.pow(F.lit(2), F.least(F.col("attempt") - 2, F.lit(16))), "most")
     rows = rows.withColumn("delay_ms", F.when(F.col("attempt") == 1, 0).otherwise(wait).cast("bigint"))
     so_far = Window.partitionBy("id").orderBy("attempt").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start_ms", F.sum("delay_ms").over(so_far))
-    kept = F.col("max_elapsed").isNull() | (F.col("start_ms") < F.col("max_elapsed")) | (F.col("attempt") == 1)
+    before = F.col("start_ms") - F.col("delay_ms")
+    in_time = (before < F.col("max_elapsed")) & (F.col("start_ms") <= F.col("max_elapsed"))
+    kept = F.col("max_elapsed").isNull() | in_time | (F.col("attempt") == 1)
     return rows.where(kept).select("id", "attempt", "delay_ms", "start_ms")
 
 
@@ -39,7 +52,7 @@ def with_fallback(actions: DataFrame, fallbacks: DataFrame) -> DataFrame:
 
     ``fallbacks(connector, fallback)`` is configuration, a row for each connector at most.
     """
-    joined = actions.join(F.broadcast(fallbacks), "connector", "left")
+    joined = actions.join(fallbacks, "connector", "left")
     rescued = joined.where(F.col("failed") & F.col("fallback").isNotNull())
     moved = rescued.withColumns({"connector": F.col("fallback"), "delivery": F.lit("fallback"), "failed": F.lit(False)})
     state = F.when(~F.col("failed"), "primary").when(F.col("fallback").isNotNull(), "replaced").otherwise("dead_letter")
@@ -58,20 +71,27 @@ def skipped_records(records: DataFrame) -> DataFrame:
     return records.where(~F.col("ok")).join(passed, ["topic", "partition"]).where("offset < committed").select("topic", "partition", "offset")
 
 
-def tally(children: DataFrame, mode: str = "all", quorum: int | None = None) -> DataFrame:
-    """State of each event's children: ``children(event, status)`` with success, failed, timeout or skipped.
+def tally(children: DataFrame, quorum: int | None = None) -> DataFrame:
+    """Tallies of each event's children and whether they meet each aggregation.
 
-    Skipped children do not count. A quorum defaults to half of the children, rounded up.
+    ``children(event, status)`` with success, failed, timeout or skipped; skipped
+    ones do not count. A quorum defaults to half of the children, rounded up.
     """
+    one = F.lit(1).cast("bigint")
+    needed = {
+        "every": F.col("counted"),
+        "some": F.least(one, F.col("counted")),
+        "quorum": F.lit(quorum).cast("bigint") if quorum else F.ceil(F.col("children") / 2),
+    }
     counts = children.groupBy("event").agg(
         F.count_if(F.col("status") == "success").alias("successes"),
         F.count_if(F.col("status").isin("failed", "timeout")).alias("failures"),
         F.count_if(F.col("status") != "skipped").alias("counted"),
         F.count("*").alias("children"),
     )
-    need = {
-        "all": F.col("counted"),
-        "any": F.least(F.lit(1).cast("bigint"), F.col("counted")),
-        "quorum": F.lit(quorum).cast("bigint") if quorum else F.ceil(F.col("children") / 2),
-    }[mode]
-    return counts.withColumn("needed", need.cast("bigint")).withColumn("met", F.col("successes") >= F.col("needed"))
+    return counts.withColumns({name: F.col("successes") >= need for name, need in needed.items()})
+
+
+def child_status(failed: Column, late: Column, optional: Column) -> Column:
+    """Status of a fan-out's child: what fails in time is skipped if it is optional."""
+    return F.when(late, "timeout").when(failed & optional, "skipped").when(failed, "failed").otherwise("success")

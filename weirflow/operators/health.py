@@ -4,105 +4,132 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Histogram bounds of request durations in seconds, and state ranks (fixed values).
-BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
-ENDPOINT_RANK = {"HEALTHY": 0, "HALF_OPEN": 1, "WARMING_UP": 2, "UNHEALTHY": 3, "OPEN": 4}
+from weirflow.operators.folds import ordered_fold, running_total, sliding_mean
+
+# Histogram bounds of request durations in seconds, state names and ranks, legal moves.
+BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+ENDPOINT_RANK = {"HEALTHY": 0, "CB_HALF_OPEN": 1, "WARMING_UP": 2, "UNHEALTHY": 3, "CB_OPEN": 4}
 ROUTE_MOVES = {
-    "WARMING_UP": ("READY", "NOT_READY", "DEGRADED", "DRAINING"),
-    "READY": ("NOT_READY", "DEGRADED", "DRAINING", "WARMING_UP"),
-    "NOT_READY": ("READY", "DEGRADED", "DRAINING", "WARMING_UP"),
-    "DEGRADED": ("READY", "NOT_READY", "DRAINING", "WARMING_UP"),
+    "WARMING_UP": ("READY", "NOT_READY", "DRAINING"),
+    "READY": ("NOT_READY", "DEGRADED", "DRAINING"),
+    "NOT_READY": ("READY", "DEGRADED", "DRAINING"),
+    "DEGRADED": ("READY", "NOT_READY", "DRAINING"),
     "DRAINING": (),
 }
+#: Outcomes that a breaker without configuration remembers.
+REMEMBERED = 32
+#: Seconds of a key's rows that one task sorts.
+RANGE_S = 21_600
 
 
-def failure_ratio(outcomes: DataFrame, endpoint: str, at: str, failed: Column, window_s: int) -> DataFrame:
+def failure_ratio(outcomes: DataFrame, endpoint: str, at: str, failed: Column, window_s: float) -> DataFrame:
     """``failure_ratio`` of each endpoint over the window that ends with each outcome."""
-    seconds = F.unix_timestamp(F.col(at).cast("timestamp"))
-    span = Window.partitionBy(endpoint).orderBy("__s").rangeBetween(-window_s, 0)
-    return (
-        outcomes.withColumn("__s", seconds)
-        .withColumn("failure_ratio", F.avg(failed.cast("double")).over(span))
-        .drop("__s")
-    )
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    span = int(window_s * 1_000_000)
+    return sliding_mean(outcomes, endpoint, micros, failed.cast("double"), span, RANGE_S * 1_000_000, "failure_ratio")
 
 
 @dataclass
 class Breaker:
     """Circuit breaker of an endpoint; times in ms.
 
-    The failure share of the window at or above ``rate`` opens it for a backoff
-    that doubles from ``base`` to ``most``; afterwards one outcome decides.
+    A failure opens it if the window's failure share reaches ``rate``; after a
+    backoff one outcome decides. The first backoff is ``base``; each further one
+    may be twice as long, up to ``most``, until a half-open success. Where jitter
+    would choose a wait between ``base`` and the present backoff, this takes the
+    greatest. Without a ``rate`` each outcome decides by itself.
     """
 
-    rate: float
-    window: int
-    base: int
-    most: int
+    rate: float | None = None
+    window: int = 0
+    base: int = 0
+    most: int = 0
     state: str = "HEALTHY"
-    until: int = 0
-    backoff: int = 0
+    until: int | None = None
+    backoff: int | None = None
     events: list[tuple[int, bool]] = field(default_factory=list)
 
     def tick(self, now: int) -> None:
-        if self.state == "OPEN" and now >= self.until:
-            self.state = "HALF_OPEN"
+        if self.state == "CB_OPEN" and self.until is not None and now >= self.until:
+            self.until = None
+            self._move("CB_HALF_OPEN")
 
     def observe(self, now: int, ok: bool) -> str:
         self.tick(now)
-        if self.state == "HALF_OPEN":
+        self.events.append((now, ok))
+        if self.rate is None:
+            del self.events[:-REMEMBERED]
+            self._move("HEALTHY" if ok else "UNHEALTHY")
+            return self.state
+        self.events = [e for e in self.events if now - e[0] <= self.window]
+        if self.state == "CB_HALF_OPEN" and ok:
+            self.backoff = self.base
+            self._move("HEALTHY")
+        elif self.state == "CB_HALF_OPEN":
+            self._open(now)
+        elif self.state != "CB_OPEN":
+            failures = sum(not good for _, good in self.events)
             if ok:
-                self.state, self.events, self.backoff = "HEALTHY", [], 0
-            else:
-                self._open(now)
-        elif self.state != "OPEN":
-            self.events = [e for e in self.events if e[0] > now - self.window] + [(now, ok)]
-            share = sum(not good for _, good in self.events) / len(self.events)
-            if share >= self.rate:
+                self._move("HEALTHY")
+            elif failures / len(self.events) >= self.rate:
                 self._open(now)
             else:
-                self.state = "HEALTHY" if ok else "UNHEALTHY"
+                self._move("UNHEALTHY")
         return self.state
 
+    def _move(self, state: str) -> None:
+        if state == "HEALTHY" and self.state != state:
+            self.events = []
+        self.state = state
+
     def _open(self, now: int) -> None:
-        self.backoff = min(self.most, self.backoff * 2 or self.base)
-        self.state, self.until = "OPEN", now + self.backoff
+        wait = self.backoff if self.backoff is not None else max(self.base, 1)
+        self.backoff = min(2 * wait, self.most)
+        self.until = now + max(wait, self.base)
+        self._move("CB_OPEN")
 
 
-def breaker_states(outcomes: DataFrame, rate: float, window: int, base: int, most: int) -> DataFrame:
+def breaker_states(
+    outcomes: DataFrame, rate: float | None = None, window: int = 0, base: int = 0, most: int = 0
+) -> DataFrame:
     """State after each outcome of ``outcomes(endpoint, at_ms, seq, ok)``; folded in order per endpoint."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at_ms", "seq"], kind="stable")
-        breaker = Breaker(rate, window, base, most)
-        states = [breaker.observe(int(t), bool(ok)) for t, ok in zip(pdf.at_ms, pdf.ok, strict=True)]
-        return pdf.assign(state=states)[["endpoint", "at_ms", "seq", "ok", "state"]]
+    def step(breaker: Breaker, row: tuple) -> tuple:
+        return (*row, breaker.observe(int(row[1]), bool(row[3])))
+
+    rows = outcomes.select("endpoint", "at_ms", "seq", "ok")
+    schema = "endpoint string, at_ms long, seq long, ok boolean, state string"
+    return ordered_fold(rows, "endpoint", ["at_ms", "seq"], lambda: Breaker(rate, window, base, most), step, schema)
 
-    return outcomes.select("endpoint", "at_ms", "seq", "ok").groupBy("endpoint").applyInPandas(
-        run, "endpoint string, at_ms long, seq long, ok boolean, state string"
-    )
 
+@dataclass
+class BudgetTracker:
+    """Attempts of a route in a window that restarts once older than ``max_elapsed`` ms; null: no bound."""
 
-def budget_windows(attempts: DataFrame, max_attempts: int, max_elapsed: int) -> DataFrame:
-    """Attempts of each route counted in windows that restart once older than ``max_elapsed`` ms."""
+    max_attempts: int | None
+    max_elapsed: int | None
+    start: int | None = None
+    used: int = 0
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at_ms", "seq"], kind="stable")
-        start, used, rows = None, 0, []
-        for t in pdf.at_ms:
-            if start is None or t - start > max_elapsed:
-                start, used = int(t), 0
-            used += 1
-            rows.append((used, used > max_attempts))
-        return pdf.assign(used=[r[0] for r in rows], exhausted=[r[1] for r in rows])[["route", "seq", "used", "exhausted"]]
+    def attempt(self, now: int) -> tuple[int, bool]:
+        if self.start is None or (self.max_elapsed is not None and now - self.start > self.max_elapsed):
+            self.start, self.used = now, 0
+        self.used += 1
+        return self.used, self.max_attempts is not None and self.used > self.max_attempts
 
-    return attempts.select("route", "at_ms", "seq").groupBy("route").applyInPandas(
-        run, "route string, seq long, used long, exhausted boolean"
-    )
+
+def budget_windows(attempts: DataFrame, max_attempts: int | None, max_elapsed: int | None) -> DataFrame:
+    """``used`` and ``exhausted`` after each of ``attempts(route, at_ms, seq)``; folded in order per route."""
+
+    def step(tracker: BudgetTracker, row: tuple) -> tuple:
+        return (row[0], row[2], *tracker.attempt(int(row[1])))
+
+    rows = attempts.select("route", "at_ms", "seq")
+    schema = "route string, seq long, used long, exhausted boolean"
+    return ordered_fold(rows, "route", ["at_ms", "seq"], lambda: BudgetTracker(max_attempts, max_elapsed), step, schema)
 
 
 def _rank(state: Column) -> Column:
@@ -121,7 +148,7 @@ def route_states(edges: DataFrame, partial: Column | None = None, half_open_degr
     """State of each route from ``edges(route, state)`` of its endpoints (null: no endpoint)."""
     has = lambda *names: F.bool_or(F.coalesce(F.col("state").isin(*names), F.lit(False)))
     facts = edges.groupBy("route").agg(
-        has("WARMING_UP").alias("warming"), has("UNHEALTHY", "OPEN").alias("broken"), has("HALF_OPEN").alias("half"),
+        has("WARMING_UP").alias("warming"), has("UNHEALTHY", "CB_OPEN").alias("broken"), has("CB_HALF_OPEN").alias("half"),
         F.bool_or(partial if partial is not None else F.lit(False)).alias("partial"),
     )
     state = (
@@ -134,20 +161,34 @@ def route_states(edges: DataFrame, partial: Column | None = None, half_open_degr
     return facts.select("route", state.alias("state"))
 
 
-def app_state(routes: DataFrame, threshold: int | None = None, draining: bool = False) -> DataFrame:
+def app_state(routes: DataFrame, threshold: int | None = None) -> DataFrame:
     """One row: the application's state from ``routes(route, state, priority, ordinal)``.
 
-    A numeric threshold looks at the first routes by priority and ordinal only.
+    Without routes it is ready; one draining route makes it draining. It is ready
+    if all routes are ready or degraded, or with a numeric ``threshold`` the first
+    so many by priority and ordinal; a degraded route anywhere then makes it
+    degraded. Else it is warming up as long as no route is up and one warms up.
+    ``n`` and ``up`` count all routes.
     """
-    checked = routes
-    if threshold is not None:
-        checked = routes.orderBy("priority", "ordinal").limit(threshold)
-    up = F.col("state").isin("READY", "DEGRADED")
-    facts = checked.agg(F.count("*").alias("n"), F.count_if(up).alias("up"), F.count_if(F.col("state") == "WARMING_UP").alias("warming"))
+    # Rows of the first routes are marked and added to the others, so that one aggregate sees both.
+    first = routes.orderBy("priority", "ordinal").limit(threshold if threshold is not None else 0)
+    marked = routes.select("state", F.lit(False).alias("first")).union(first.select("state", F.lit(True)))
+    count = lambda *states, first=False: F.count_if((F.col("first") == first) & F.col("state").isin(*states))
+    facts = marked.agg(
+        F.count_if(~F.col("first")).alias("n"),
+        count("READY", "DEGRADED").alias("up"),
+        count("READY", "DEGRADED", first=True).alias("first_up"),
+        F.count_if("first").alias("required"),
+        count("DRAINING").alias("draining"),
+        count("DEGRADED").alias("degraded"),
+        count("WARMING_UP").alias("warming"),
+    )
+    met = F.col("up") == F.col("n") if threshold is None else F.col("first_up") == F.col("required")
     state = (
-        F.when(F.lit(draining), "DRAINING")
-        .when(F.col("n") == 0, "READY")
-        .when(F.col("up") == F.col("n"), "READY")
+        F.when(F.col("n") == 0, "READY")
+        .when(F.col("draining") > 0, "DRAINING")
+        .when(met & (F.col("degraded") > 0), "DEGRADED")
+        .when(met, "READY")
         .when((F.col("up") == 0) & (F.col("warming") > 0), "WARMING_UP")
         .otherwise("NOT_READY")
     )
@@ -176,6 +217,11 @@ def expand_requires(edges: DataFrame, requires: DataFrame) -> DataFrame:
     return edges.select("route", "connector").union(more).distinct()
 
 
+def dependents(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """``states(endpoint, state)`` told to each route that depends on the endpoint: ``edges(route, endpoint)``."""
+    return states.join(edges, "endpoint")
+
+
 def merged_budgets(budgets: DataFrame, key: str) -> DataFrame:
     """The strictest of each key's budgets; unset fields are passed over."""
     rank = F.when(F.col("jitter") == "full", 2).when(F.col("jitter") == "equal", 1).when(F.col("jitter") == "none", 0)
@@ -187,21 +233,62 @@ def merged_budgets(budgets: DataFrame, key: str) -> DataFrame:
 
 
 def in_flight(intervals: DataFrame, key: str) -> DataFrame:
-    """Running number of open intervals of ``intervals(key, start, end)`` at each start; ends come first on ties."""
+    """Running number of open intervals of ``intervals(key, start, end)`` (s) at each start; ends come first on ties."""
     starts = intervals.select(key, F.col("start").alias("at"), F.lit(1).alias("step"))
     ends = intervals.select(key, F.col("end").alias("at"), F.lit(-1).alias("step"))
     moves = starts.union(ends).groupBy(key, "at").agg(
         F.sum(F.when(F.col("step") == 1, 1).otherwise(0)).alias("arrivals"), F.sum("step").alias("net")
     )
-    upto = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return moves.withColumn("inflight", F.sum("net").over(upto)).where("arrivals > 0").select(key, "at", "arrivals", "inflight")
+    total = running_total(moves, key, "at", F.col("net"), RANGE_S, "inflight")
+    return total.where("arrivals > 0").select(key, "at", "arrivals", "inflight")
+
 
+@dataclass
+class Gate:
+    """Admission to a route: ``limit`` at work, ``queue`` waiting in order of arrival, others turned away.
 
-def admission(intervals: DataFrame, key: str, limit: int, queue: int) -> DataFrame:
-    """How many arrivals of a moment were beyond the limit, and beyond the queue."""
-    over = F.greatest(F.lit(0), F.col("inflight") - limit)
-    return in_flight(intervals, key).withColumns(
-        {"queued": F.least(over, F.lit(queue)), "rejected": F.greatest(F.lit(0), over - queue)}
+    Who is turned away holds no place. ``ends`` are the times at which those at
+    work or waiting will have left, sorted.
+    """
+
+    limit: int
+    queue: int
+    ends: list[int] = field(default_factory=list)
+
+    def arrive(self, at: int, duration: int) -> tuple[str, int | None, int]:
+        """What becomes of an arrival, when it begins, and how many wait after it."""
+        self.ends = [e for e in self.ends if e > at]
+        held = len(self.ends)
+        waiting = max(held - self.limit, 0)
+        if held >= self.limit + self.queue:
+            return "rejected", None, waiting
+        begins = at if held < self.limit else self.ends[held - self.limit]
+        self.ends = sorted([*self.ends, begins + duration])
+        return ("admitted", begins, waiting) if held < self.limit else ("queued", begins, waiting + 1)
+
+
+def admission(arrivals: DataFrame, limit: int | None, queue: int = 0) -> DataFrame:
+    """``outcome``, ``begins`` and ``waiting`` of each of ``arrivals(route, at, seq, duration)``, in order per route.
+
+    ``queue`` 0 rejects or sheds beyond the limit; a limit of null or 0 admits all.
+    """
+    rows = arrivals.select("route", "at", "seq", "duration")
+    if not limit:
+        return rows.select(
+            "route", "seq", F.lit("admitted").alias("outcome"), F.col("at").alias("begins"), F.lit(0).cast("long").alias("waiting")
+        )
+
+    def step(gate: Gate, row: tuple) -> tuple:
+        return (row[0], row[2], *gate.arrive(int(row[1]), int(row[3])))
+
+    schema = "route string, seq long, outcome string, begins long, waiting long"
+    return ordered_fold(rows, "route", ["at", "seq"], lambda: Gate(limit, queue), step, schema)
+
+
+def limit_counters(admissions: DataFrame) -> DataFrame:
+    """Per route: how often its limit was enforced, and the greatest queue depth."""
+    return admissions.groupBy("route").agg(
+        F.count_if(F.col("outcome") == "rejected").alias("limited"), F.max("waiting").alias("queue_depth")
     )
 
 
@@ -209,3 +296,21 @@ def request_histogram(requests: DataFrame, route: str, seconds: Column) -> DataF
     """Count, sum and cumulative buckets of durations for each route."""
     buckets = [F.count_if(seconds <= b).alias(f"le_{str(b).replace('.', '_')}") for b in BUCKETS]
     return requests.groupBy(route).agg(F.count("*").alias("count"), F.sum(seconds).alias("sum"), *buckets)
+
+
+def outcome_counts(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """A counter family: the number of rows for each combination of labels."""
+    return rows.groupBy(*labels).agg(F.count("*").alias("n"))
+
+
+def last_values(rows: DataFrame, labels: list[str], value: str, order: str) -> DataFrame:
+    """A gauge family: the last value for each combination of labels."""
+    return rows.groupBy(*labels).agg(F.max_by(value, order).alias(value))
+
+
+def state_gauge(states: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """``states`` with ``gauge``, the number that stands for the state."""
+    out = F.lit(None).cast("int")
+    for name, rank in ranks.items():
+        out = F.when(F.col("state") == name, rank).otherwise(out)
+    return states.withColumn("gauge", out)

@@ -14,7 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weirflow.codecs import envelope
-from weirflow.config.loader import ALIASES, Phase
+from weirflow.config.loader import Phase
+from weirflow.config.options import expand
+from weirflow.config.rules import duration_ms
 from weirflow.functions import expressions as ex
 from weirflow.functions import scalars
 
@@ -26,6 +28,10 @@ class Action:
     target: Column
     payload: Column
     phase: str | None = None
+    #: Further arguments of the effect as JSON text.
+    extra: Column | None = None
+    #: Null where the action is not emitted (None: always).
+    when: Column | None = None
 
 
 @dataclass
@@ -62,6 +68,17 @@ class _Options:
     def error(self) -> Column:
         return F.coalesce(*self.errors, F.lit(None).cast("string"))
 
+    def extra(self, *names: str, **fields: Column) -> Column:
+        """The named options, the timeout and ``fields`` as JSON text."""
+        found = {n: self.value(n) for n in names if n in self.options} | fields
+        if self.phase.timeout_ms is not None:
+            found["timeout_ms"] = F.lit(self.phase.timeout_ms)
+        return F.to_json(_object(**found)) if found else F.lit("{}")
+
+    def timeout(self) -> dict[str, Column]:
+        """The slot's field for the timeout, if there is one."""
+        return {"timeout_ms": F.lit(self.phase.timeout_ms)} if self.phase.timeout_ms is not None else {}
+
 
 def _object(**fields: Column) -> Column:
     parts = (F.coalesce(v.cast("variant"), ex.variant_literal(None)).alias(k) for k, v in fields.items())
@@ -90,7 +107,9 @@ def _kafka(o: _Options) -> Planned:
     key = ex.stringify(o.value("key")) if "key" in o.options else F.lit(None).cast("string")
     value = _object(key=key, value=scalars.payload_text(payload))
     slot = ex.variant_literal({"count": 1})
-    return Planned(slot, o.error(), [Action("kafka", o.phase.connector, F.lit(str(o.options["topic"])), F.to_json(value))])
+    others = [n for n in o.options if n not in ("topic", "payload", "key")]
+    action = Action("kafka", o.phase.connector, F.lit(str(o.options["topic"])), F.to_json(value), extra=o.extra(*others))
+    return Planned(slot, o.error(), [action])
 
 
 def _http(o: _Options) -> Planned:
@@ -101,7 +120,8 @@ def _http(o: _Options) -> Planned:
     kind = o.text("contentType", "content_type", default="application/json")
     request = _object(method=method, header=headers, body=body, content_type=kind)
     target = F.concat(method, F.lit(" "), scalars.normalise_path(path))
-    return Planned(ex.variant_literal(None), o.error(), [Action("http", o.phase.connector, target, F.to_json(request))])
+    action = Action("http", o.phase.connector, target, F.to_json(request), extra=o.extra())
+    return Planned(ex.variant_literal(None), o.error(), [action])
 
 
 def _grpc(o: _Options) -> Planned:
@@ -110,7 +130,7 @@ def _grpc(o: _Options) -> Planned:
     if len(parts) != 2 or not all(parts):
         raise ValueError(f"phase {o.phase.name}: {rpc!r} is no service/method")
     request = _object(request=o.previous("request"), metadata=o.value("metadata", default={}))
-    action = Action("grpc", o.phase.connector, F.lit("/".join(parts)), F.to_json(request))
+    action = Action("grpc", o.phase.connector, F.lit("/".join(parts)), F.to_json(request), extra=o.extra("descriptor"))
     return Planned(ex.variant_literal(None), o.error(), [action])
 
 
@@ -127,18 +147,23 @@ def _rabbitmq(o: _Options) -> Planned:
 
 
 def _mqtt(o: _Options) -> Planned:
+    """``packet_seq`` numbers the plan's messages where the events have it; else packet ids are unknown before delivery."""
     topic, payload = o.text("topic"), o.previous("payload")
-    qos = scalars.qos(F.when(F.is_variant_null(o.value("qos")), F.lit(None)).otherwise(ex.stringify(o.value("qos"))))
-    retain = scalars.retain(ex.stringify(o.value("retain", default=False)))
+    asked = o.value("qos")
+    qos = scalars.qos(F.when(F.is_variant_null(asked), F.lit(None)).otherwise(ex.stringify(asked)))
+    retain = scalars.retain(o.value("retain", default=False))
     encoding = o.options.get("payload_encoding", "json")
-    text = scalars.payload_text(payload)
-    body = F.base64(text.cast("binary")) if encoding == "base64" else text
-    slot = _pending(
-        connector=F.lit(o.phase.connector), topic=topic, qos=qos, retain=retain, payload=payload,
-        payload_encoding=F.lit(encoding), encoded=body,
+    raw = scalars.mqtt_bytes(payload) if encoding == "base64" else F.to_json(payload).cast("binary")
+    encoded = F.base64(raw) if encoding == "base64" else F.to_json(payload)
+    packet = F.when(qos > 0, scalars.packet_id(o.slots.sequence)) if o.slots.sequence is not None else F.lit(None).cast("int")
+    slot = _object(
+        connector=F.lit(o.phase.connector), topic=topic, payload=payload, payload_encoding=F.lit(encoding),
+        payload_encoded=encoded, qos=qos, retain=retain, packet_id=packet,
+        published_at=scalars.rfc3339(F.current_timestamp()), **o.timeout(), status=F.lit("pending"),
     )
-    error = F.coalesce(o.error(), F.when(qos.isNull(), F.lit("InvalidPhaseOptions")))
-    return Planned(slot, error, [Action("mqtt", o.phase.connector, topic, body)])
+    error = F.coalesce(o.error(), F.when(qos.isNull() | retain.isNull() | raw.isNull(), F.lit("InvalidPhaseOptions")))
+    extra = o.extra(qos=qos, retain=retain, packet_id=packet, payload_encoding=F.lit(encoding))
+    return Planned(slot, error, [Action("mqtt", o.phase.connector, topic, encoded, extra=extra)])
 
 
 def _people(o: _Options, name: str) -> Column:
@@ -161,16 +186,21 @@ def _smtp(o: _Options) -> Planned:
     groups = {name: _people(o, name) for name in ("to", "cc", "bcc")}
     everyone = F.array_distinct(F.concat(*groups.values()))
     subject, body = o.text("subject", default=""), o.text("body", default="")
+    reply = o.text("reply_to") if "reply_to" in o.options else F.lit(None).cast("string")
+    headers, attachments = o.value("headers", default={}), o.value("attachments", default=[])
+    attached = F.coalesce(F.size(F.try_variant_get(attachments, "$", "array<variant>")), F.lit(0))
     slot = F.to_variant_object(
         F.struct(
             F.lit(o.phase.connector).alias("connector"), o.text("from", default="").alias("from"),
-            *(g.alias(n) for n, g in groups.items()), subject.alias("subject"), F.size(everyone).alias("recipients"),
+            *(g.alias(n) for n, g in groups.items()), reply.alias("reply_to"), subject.alias("subject"),
+            F.size(everyone).alias("recipients"), attached.alias("attachments"),
             F.lit("pending").alias("status"), F.lit(1).alias("count"),
         )
     )
     error = F.coalesce(o.error(), F.when(F.size(everyone) == 0, F.lit("InvalidPhaseOptions")))
     payload = F.to_json(F.struct(subject.alias("subject"), body.alias("body")))
-    return Planned(slot, error, [Action("smtp", o.phase.connector, F.array_join(everyone, ","), payload)])
+    extra = o.extra(reply_to=reply, headers=headers, attachments=attachments)
+    return Planned(slot, error, [Action("smtp", o.phase.connector, F.array_join(everyone, ","), payload, extra=extra)])
 
 
 def _mariadb(o: _Options) -> Planned:
@@ -185,14 +215,20 @@ def _postgres(o: _Options) -> Planned:
     return Planned(slot, o.error(), [Action("postgres", o.phase.connector, sql, F.to_json(values))])
 
 
+# Counters that a document operation's slot has, null before delivery.
+_COUNTERS = ("inserted_id", "matched_count", "modified_count", "deleted_count", "results")
+
+
 def _mongodb(o: _Options) -> Planned:
     operation = o.options["operation"]
     parts = {n: o.value(n) for n in ("document", "filter", "update", "pipeline") if n in o.options}
-    slot = _pending(
-        connector=F.lit(o.phase.connector), collection=o.text("collection"), operation=F.lit(operation), **parts
-    )
+    counters = {n: ex.variant_literal(None) for n in _COUNTERS}
+    slot = _object(
+        connector=F.lit(o.phase.connector), collection=o.text("collection"), operation=F.lit(operation), **o.timeout(),
+        status=F.lit("pending"), **counters, **parts,
+    )
     payload = F.to_json(_object(operation=F.lit(operation), **parts))
-    return Planned(slot, o.error(), [Action("mongodb", o.phase.connector, o.text("collection"), payload)])
+    return Planned(slot, o.error(), [Action("mongodb", o.phase.connector, o.text("collection"), payload, extra=o.extra())])
 
 
 def _redis(o: _Options) -> Planned:
@@ -204,14 +240,16 @@ def _redis(o: _Options) -> Planned:
 
 
 def _parallel(o: _Options) -> Planned:
-    """Children see the same slots; a child that fails without being optional fails the phase."""
+    """Children see the same slots; a child that fails without being optional fails the phase, an optional one is skipped.
+
+    A child that fails emits no action.
+    """
     children, actions, errors, partial = {}, [], [], F.lit(False)
     for i, raw in enumerate(o.options["phases"]):
-        from weirflow.config.options import expand
-
         options = dict(expand(raw.get("options") or {}))
-        kind = ALIASES.get(raw.get("type"), raw.get("type"))
-        child = Phase(str(raw.get("name", i)), kind, options, options.pop("connector", raw.get("connector")))
+        asked = raw.get("timeout_ms", raw.get("timeout"))
+        timeout = duration_ms(asked) if asked is not None else None
+        child = Phase(str(raw.get("name", i)), str(raw.get("type")), options, options.pop("connector", raw.get("connector")), timeout)
         planned = plan_phase(child, o.slots)
         optional = bool(raw.get("optional", False))
         failed = planned.error.isNotNull()
@@ -220,15 +258,17 @@ def _parallel(o: _Options) -> Planned:
         else:
             errors.append(planned.error)
         children[child.name] = _object(
-            status=F.when(failed, "failed").otherwise("pending"), output=F.when(~failed, planned.slot),
-            optional=F.lit(optional), fallback=F.lit(bool(raw.get("fallback", False))), error=planned.error,
+            status=F.when(failed, "skipped" if optional else "failed").otherwise("pending"),
+            output=F.when(~failed, planned.slot), optional=F.lit(optional), fallback=F.lit(raw.get("fallback")),
+            timeout_ms=F.lit(timeout), error=planned.error,
         )
         for action in planned.actions:
             action.phase = child.name
+            action.when = ~failed if optional else None
         actions += planned.actions
     mode = o.options.get("aggregation", "all")
     quorum = int(o.options.get("quorum") or math.ceil(len(children) / 2))
-    fields = {"aggregation": F.lit(mode)} | ({"quorum": F.lit(quorum)} if mode == "quorum" else {})
+    fields = {"aggregation": F.lit(mode)} | ({"quorum": F.lit(quorum)} if mode == "quorum" else {}) | o.timeout()
     slot = _object(
         **fields, aggregation_state=F.when(partial, "partial").otherwise("pending"), children=_object(**children)
     )

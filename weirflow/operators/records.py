@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.operators.folds import running_total
+
 
 def upsert_last(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The last row of each key: what an idempotent upsert leaves behind.
@@ -119,23 +121,117 @@ def hash_fields(writes: DataFrame) -> DataFrame:
     return writes.groupBy("key", "field").agg(F.max_by("value", "seq").alias("value"))
 
 
-def flatten_json(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """``(keys, path, leaf)``: every leaf below a variant of objects and arrays, to a depth of eight."""
-    level = rows.select(*keys, F.lit("$").alias("path"), F.col(value).alias("node"))
-    out = None
-    for _ in range(8):
-        shape = F.coalesce(F.schema_of_variant("node"), F.lit("VOID"))
-        inner = shape.startswith("OBJECT") | shape.startswith("ARRAY")
-        leaf = level.where(~inner).select(*keys, "path", F.to_json("node").alias("leaf"))
-        out = leaf if out is None else out.union(leaf)
-        fields = F.transform_keys(F.try_variant_get("node", "$", "map<string,variant>"), lambda k, _: F.concat(F.lit("."), k))
-        members = F.when(shape.startswith("OBJECT"), F.map_entries(fields))
+def unknown_references(used: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """Names that ``used`` refers to and ``known`` does not have, with how often; a null name refers to nothing."""
+    named = used.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
+    return named.join(known.select(name).distinct(), name, "left_anti")
+
+
+def enrich(rows: DataFrame, facts: DataFrame, keys: list[str], error: str = "error") -> DataFrame:
+    """``rows`` with the fields of ``facts``, a row for each key at most; ``MissingPath`` as error where there is none."""
+    found = rows.join(facts.withColumn("__found", F.lit(True)), keys, "left")
+    return found.withColumn(error, F.when(F.col("__found").isNull(), F.lit("MissingPath"))).drop("__found")
+
+
+def _is(shape: Column, kind: str) -> Column:
+    return F.coalesce(shape.startswith(kind), F.lit(False))
+
+
+def json_depth(rows: DataFrame, value: str) -> int:
+    """How deep objects and arrays of a variant column lie in each other at most; a scalar has 0."""
+    bare = F.regexp_replace(F.to_json(value), r'"(?:[^"\\\\]|\\\\.)*"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    step = lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+    depth = F.aggregate(
+        marks,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, c: F.struct((s["now"] + step(c)).alias("now"), F.greatest(s["most"], s["now"] + step(c)).alias("most")),
+    )
+    return rows.agg(F.max(depth["most"])).first()[0] or 0
+
+
+def flatten_json(rows: DataFrame, value: str, keys: list[str], root: Column | str = ".[0]", depth: int | None = None) -> DataFrame:
+    """``(keys, path, node)``: every node of a variant, containers and scalars, with its JSON text.
+
+    Paths are ``root``, then ``.name`` and ``[index]``. Each level of nesting is one
+    step of the plan; ``depth`` says how many there are (a stream must), else
+    they are counted first, so that none is left out.
+    """
+    depth = json_depth(rows, value) if depth is None else depth
+    start = F.lit(root) if isinstance(root, str) else root
+    level = rows.where(F.col(value).isNotNull()).select(*keys, start.alias("path"), F.col(value).alias("node"))
+    out = level.select(*keys, "path", F.to_json("node").alias("node"))
+    for _ in range(depth):
+        shape = F.schema_of_variant("node")
+        fields = F.map_entries(F.try_variant_get("node", "$", "map<string,variant>"))
+        members = F.transform(fields, lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("key"), e["value"].alias("value")))
         items = F.try_variant_get("node", "$", "array<variant>")
         places = F.transform(items, lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
-        level = level.where(inner).select(*keys, "path", F.explode(F.coalesce(members, places)).alias("e"))
-        level = level.select(*keys, F.concat("path", "e.key").alias("path"), F.col("e.value").alias("node"))
+        inner = F.when(_is(shape, "OBJECT"), members).when(_is(shape, "ARRAY"), places)
+        level = level.select(*keys, "path", F.explode(inner).alias("e")).select(
+            *keys, F.concat("path", "e.key").alias("path"), F.col("e.value").alias("node")
+        )
+        out = out.union(level.select(*keys, "path", F.to_json("node").alias("node")))
     return out
 
 
-def number_in_order(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)))
+def unflatten(nodes: DataFrame, keys: list[str], depth: int | None = None) -> DataFrame:
+    """``(keys, value)``: the variant that ``nodes(keys, path, node)`` describe, a row for each key.
+
+    Leaves decide; containers without inner nodes stay empty. Objects and arrays
+    are put together from the deepest level up; an array's missing places are null.
+    """
+    steps = F.regexp_extract_all(F.regexp_replace("path", r"^\.\[[0-9]+\]", ""), F.lit(r"(\.[^.\[\]]+|\[[0-9]+\])"), 1)
+    level = nodes.select(*keys, steps.alias("steps"), "node")
+    if depth is None:
+        depth = level.agg(F.max(F.size("steps"))).first()[0] or 0
+    for size in range(depth, 0, -1):
+        deep = level.where(F.size("steps") == size).withColumn("own", F.try_element_at("steps", F.lit(-1)))
+        deep = deep.withColumn("steps", F.slice("steps", 1, size - 1))
+        index = F.regexp_extract("own", r"([0-9]+)", 1).cast("int")
+        entry = F.struct(index.alias("at"), "node")
+        quoted = F.expr("regexp_extract(to_json(array(substring(own, 2))), '^.(.*).$', 1)")
+        parts = deep.groupBy(*keys, "steps").agg(
+            F.bool_or(F.col("own").startswith("[")).alias("is_array"),
+            F.sort_array(F.collect_list(F.when(F.col("own").startswith("["), entry))).alias("items"),
+            F.sort_array(F.collect_list(F.when(F.col("own").startswith("."), F.concat(quoted, F.lit(":"), "node")))).alias("fields"),
+        )
+        places = F.sequence(F.lit(0), F.coalesce(F.try_element_at("items", F.lit(-1))["at"], F.lit(0)))
+        known = F.map_from_entries(F.transform("items", lambda x: F.struct(x["at"], x["node"])))
+        array = F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at(known, i), F.lit("null"))), ",")
+        made = F.when(F.col("is_array"), F.concat(F.lit("["), array, F.lit("]"))).otherwise(
+            F.concat(F.lit("{"), F.array_join("fields", ","), F.lit("}"))
+        )
+        built = parts.select(*keys, "steps", made.alias("built"))
+        above = level.where(F.size("steps") < size)
+        level = above.join(built, [*keys, "steps"], "full").select(*keys, "steps", F.coalesce("built", "node").alias("node"))
+    return level.where(F.size("steps") == 0).select(*keys, F.parse_json("node").alias("value"))
+
+
+def flatten_headers(pairs: Column, slot: int = 0) -> Column:
+    """``map<path, value>`` of header pairs ``array<struct<name, value>>``, below ``headers`` and ``header``.
+
+    Names are trimmed and lower-cased; the second of a name gets ``.1``, the third ``.2``.
+    """
+    clean = F.transform(pairs, lambda p: F.struct(F.lower(F.trim(p["name"])).alias("name"), p["value"].alias("value")))
+
+    def entries(group: str) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            before = F.size(F.filter(F.slice(clean, 1, i), lambda q: q["name"] == p["name"]))
+            suffix = F.when(before > 0, F.concat(F.lit("."), before.cast("string"))).otherwise(F.lit(""))
+            return F.struct(F.concat(F.lit(f".[{slot}].{group}."), p["name"], suffix).alias("key"), p["value"].alias("value"))
+
+        return F.transform(clean, one)
+
+    return F.map_from_entries(F.concat(entries("headers"), entries("header")))
+
+
+def bytes_entry(slot: int, path: str, value: Column) -> Column:
+    """``struct(key, value)``: bytes as base64 text at a path of a slot."""
+    inner = path.strip(".")
+    return F.struct(F.lit(f".[{slot}].{inner}" if inner else f".[{slot}]").alias("key"), F.base64(value).alias("value"))
+
+
+def number_in_order(rows: DataFrame, key: str, order: str, name: str, width: int = 1_000_000) -> DataFrame:
+    """``rows`` with their number within the key; ``order`` is unique there, ``width`` of its units make a range."""
+    return running_total(rows, key, order, F.lit(1).cast("long"), width, name)

@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.config.loader import Document, Phase, Route
+from weirflow.errors import canonical_code
 from weirflow.functions import expressions as ex
 from weirflow.functions import scalars
 from weirflow.operators.phases import Planned, plan_phase
 
 ERROR = "struct<code:string,kind:string,phase:string>"
-ACTION = "struct<idx:int,phase:string,kind:string,connector:string,target:string,payload:string>"
-_TRACE = ("$.headers.trace_id", "$.header.trace_id", "$.body.trace.trace_id", "$.body.trace_id")
-_RECORD = ("$.body.record.id", "$.body.summary.record_id", "$.body.record_id")
+ACTION = "struct<idx:int,phase:string,kind:string,connector:string,target:string,payload:string,extra:string>"
+# Where events carry their trace and record ids, in this order.
+_TRACE = ("$.header.trace_id", "$.headers.trace_id", "$.body.trace.trace_id", "$['body.trace.trace_id']")
+_RECORD = ("$.body.record.id", "$.body.summary.record_id", "$['body.record_id']")
 
 
 @dataclass
@@ -43,14 +45,12 @@ class CompiledRoute:
         for number, phase in enumerate(self.route.fallback_phases()):
             # each works on a copy of the final context; only the first one has a previous slot
             planned = plan_phase(phase, ex.Slots([F.col(s) for s in context]), with_previous=number == 0)
-            fallbacks += self._actions(phase, planned, len(actions) + number)
+            fallbacks += self._actions(phase, planned, len(actions))
         frame = frame.withColumn("actions", self._array(actions))
         frame = frame.withColumn("fallback_actions", self._array(fallbacks))
         last = F.col(slots[-1])
         status = F.try_variant_get(last, "$.status", "int")
-        kind = F.coalesce(
-            F.try_variant_get(last, "$.contentType", "string"), F.try_variant_get(last, "$.content_type", "string")
-        )
+        kind = F.try_variant_get(last, "$.contentType", "string")
         response = F.struct(
             status.alias("status"),
             kind.alias("content_type"),
@@ -73,27 +73,32 @@ class CompiledRoute:
 
     @staticmethod
     def _array(actions: list[Column]) -> Column:
-        every = F.array(*actions) if actions else F.expr(f"cast(array() as array<{ACTION}>)")
-        return F.when(F.col("error").isNull(), every.cast(f"array<{ACTION}>"))
+        every = F.array(*actions) if actions else F.expr("array()")
+        emitted = F.filter(every.cast(f"array<{ACTION}>"), lambda a: a.isNotNull())
+        numbered = F.transform(emitted, lambda a, i: a.withField("idx", a["idx"] + i))
+        return F.when(F.col("error").isNull(), numbered)
 
     def _actions(self, phase: Phase, planned: Planned, at: int) -> list[Column]:
-        return [
-            F.struct(
-                F.lit(at + i).alias("idx"),
+        """Action structs; ``idx`` is where the list begins, as places are counted once it is known which are emitted."""
+        out = []
+        for a in planned.actions:
+            action = F.struct(
+                F.lit(at).alias("idx"),
                 F.lit(a.phase or phase.name).alias("phase"),
                 F.lit(a.kind).alias("kind"),
                 F.lit(a.connector).alias("connector"),
                 a.target.cast("string").alias("target"),
                 a.payload.alias("payload"),
+                (F.lit("{}") if a.extra is None else a.extra).alias("extra"),
             )
-            for i, a in enumerate(planned.actions)
-        ]
+            out.append(action if a.when is None else F.when(a.when, action))
+        return out
 
     def _phase(self, frame: DataFrame, phase: Phase, slots: list[str], actions: list[Column]):
-        planned = plan_phase(phase, ex.Slots([F.col(s) for s in slots]))
+        sequence = F.col("packet_seq") if "packet_seq" in frame.columns else None
+        planned = plan_phase(phase, ex.Slots([F.col(s) for s in slots], sequence))
         name = f"s{len(slots)}"
-        code = F.when(planned.error.isin("MissingPath", "MissingSlot"), "MISSING_KEY").otherwise("INTERNAL")
-        fresh = F.struct(code.alias("code"), planned.error.alias("kind"), F.lit(phase.name).alias("phase"))
+        fresh = F.struct(canonical_code(planned.error).alias("code"), planned.error.alias("kind"), F.lit(phase.name).alias("phase"))
         error = F.coalesce("error", F.when(planned.error.isNotNull(), fresh.cast(ERROR)))
         slot = F.when(F.col("error").isNull() & planned.error.isNull(), planned.slot)
         # A generator of one row: the optimiser would otherwise copy a slot's whole
@@ -101,7 +106,7 @@ class CompiledRoute:
         made = F.inline(F.array(F.struct(slot.alias(name), error.alias("__error"))))
         frame = frame.select("*", made).drop("error").withColumnRenamed("__error", "error")
         slots.append(name)
-        return frame, self._actions(phase, planned, len(actions))
+        return frame, self._actions(phase, planned, 0)
 
 
 def compile_route(document: Document, name: str) -> CompiledRoute:

@@ -1,7 +1,9 @@
-"""The routes that the catalogue runs, and the events that feed them."""
+"""The routes that the catalogue runs, and the events that feed them: parcels that depots scan."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,124 +13,132 @@ from weirflow.functions import scalars
 TEXT = """
 api_version: v1
 app:
-  min_ready_routes: all
-  retry_budget: {max_attempts: 5, max_elapsed: 30000, base_backoff: 50, max_backoff: 5000, jitter: full}
+  min_ready_routes: 2
+  half_open_counts_as_ready: route
+  feature_flags: [rabbitmq, mqtt, mongodb, redis, parallel_phase, serialize_phase]
+  limits: {routes: {max_inflight: 64, overflow_policy: queue, max_queue_depth: 128}}
+  retry_budget: {max_attempts: 6, max_elapsed: 40s, base_backoff: 20ms, max_backoff: 2s, jitter: equal}
 connectors:
-  - {name: ingress, type: http, role: server, options: {port: 8080}}
-  - {name: lake, type: http, role: client, options: {base_url: "http://lake.example"}}
-  - {name: bus, type: kafka, options: {brokers: "broker-a:9092,broker-b:9092"}}
-  - {name: queue, type: rabbitmq, options: {url: "amqp://queue.example"}}
-  - {name: field, type: mqtt, options: {url: "mqtt://field.example"}}
-  - {name: rows, type: mariadb, options: {url: "mysql://rows.example"}}
-  - {name: facts, type: postgres, options: {url: "postgres://facts.example"}}
-  - {name: papers, type: mongodb, options: {uri: "mongodb://papers.example", database: audit}}
-  - {name: state, type: redis, options: {url: "redis://state.example"}}
-  - {name: post, type: smtp, options: {host: post.example}}
-  - {name: scores, type: grpc, options: {endpoint: "http://scores.example"}}
+  - {name: dock, type: http, options: {role: server, port: 8080}}
+  - {name: customs, type: http, options: {role: client, base_url: "http://customs.example/api/", default_headers: {x-desk: parcels}}}
+  - {name: belt, type: kafka, options: {brokers: "belt-1:9092, belt-2:9092"}}
+  - {name: yard, type: rabbitmq, options: {url: "amqp://yard.example"}}
+  - {name: scale, type: mqtt, options: {url: "mqtt://scale.example"}}
+  - {name: shelf, type: mariadb, options: {url: "mysql://shelf.example"}}
+  - {name: ledger, type: postgres, options: {url: "postgres://ledger.example", schema: weights}}
+  - {name: folder, type: mongodb, options: {uri: "mongodb://folder.example", database: parcels}}
+  - {name: board, type: redis, options: {url: "redis://board.example"}}
+  - {name: desk, type: smtp, options: {host: desk.example}}
+  - {name: tariff, type: grpc, options: {endpoint: "http://tariff.example"}}
 routes:
-  - name: collect_record
-    trigger: {connector: ingress, options: {method: POST, path: /records}}
+  - name: accept_parcel
+    trigger: {connector: dock, options: {method: POST, path: /parcels}}
     phases:
-      - name: summary
+      - name: label
         type: transform
-        options:
-          record_id: .[0].body.record.id
-          latency_ms: .[0].body.record.metrics.latency_ms
-          category: $.0.body.record.attributes.category
-          trace.trace_id: .[0].headers.trace_id
-      - name: publish
+        options: {parcel: ".[0].body.record.id", grams: $.0.body.scan.grams, lane.kind: ".[0].body.scan.kind", lane.trace: ".[0].header.trace_id"}
+      - name: onto_belt
         type: kafka_producer
-        options: {connector: bus, topic: records.samples, key: ".[1].record_id", payload: ".[1]"}
-      - name: acknowledge
+        options: {connector: belt, topic: parcels.accepted, key: ".[1].lane.kind", payload: ".[1]", acks: all}
+      - name: receipt
         type: transform
-        options: {status: 202, contentType: application/json, body.accepted: ".[1].record_id", body.published: ".[2].count"}
-  - name: relay_record
-    trigger: {connector: bus, kafka: {topic: records.samples}}
+        options: {status: 202, contentType: application/json, body.parcel: ".[1].parcel", body.belts: ".[2].count"}
+  - name: declare_parcel
+    trigger: {connector: belt, kafka: {topic: parcels.accepted, group_id: customs}}
     phases:
-      - name: forward
+      - name: declare
         type: http_client
-        options: {connector: lake, method: post, path: records, body: ".[0].body.record", header.x_trace: ".[0].headers.trace_id"}
-      - name: done
+        options: {connector: customs, method: put, path: declarations, body: {goods: ".[0].body.scan", weight_known: true}, header.x_lane: ".[0].header.trace_id", timeout: 2s}
+      - name: answer
         type: transform
-        options: {record_id: ".[0].body.record.id", forwarded: ".[1] // \\"pending\\""}
-  - name: persist_record
-    trigger: {connector: ingress, options: {path: /persist}}
+        options: {goods: ".[0].body.scan.kind", verdict: ".[1] // \\"open\\""}
+  - name: store_parcel
+    trigger: {connector: dock, options: {path: /shelves}}
     phases:
-      - name: row
+      - name: place
         type: transform
-        options: {user: ".[0].body.user_id", latency_ms: ".[0].body.record.metrics.latency_ms"}
-      - name: upsert
+        options: {shelf: ".[0].body.depot", grams: ".[0].body.scan.grams"}
+      - name: put
         type: mariadb_idempotent_insert
-        options: {connector: rows, key: ".[1].user"}
-  - name: notify_mail
-    trigger: {connector: ingress, options: {path: /notify}}
+        options: {connector: shelf, key: ".[1].shelf"}
+  - name: announce_parcel
+    trigger: {connector: dock, options: {path: /announcements}}
     phases:
-      - name: mail
+      - name: note
         type: smtp_send
         options:
-          connector: post
-          from: desk@example.org
+          connector: desk
+          from: depot@example.org
+          reply_to: lost@example.org
           to.0: .[0].body.mail
-          cc: "audit@example.org; audit@example.org"
-          subject: "Record .[0].body.record.id took .[0].body.record.metrics.latency_ms ms"
-          body: "Category: .[0].body.record.attributes.category"
-  - name: alert_pipeline
-    trigger: {connector: queue, options: {queue: alerts}}
+          cc: "archive@example.org; archive@example.org"
+          subject: "Parcel .[0].body.record.id weighs .[0].body.scan.grams g"
+          body: "Lane: .[0].body.scan.kind"
+  - name: inspect_parcel
+    trigger: {connector: yard, options: {queue: inspections}}
     phases:
-      - name: judge
+      - name: weigh
         type: transform
-        options:
-          id: .[0].body.record.id
-          level: 'if ".[0]" then 1 else 2 end'
-          severe: ".[0].body.record.metrics.latency_ms > 5000"
-      - name: call
+        options: {parcel: ".[0].body.record.id", heavy: ".[0].body.scan.grams > 5000", spare: ".[0].body.scan.grams - 1"}
+      - name: ask
         type: http_client
-        options: {connector: lake, path: /alerts, body: ".[1]"}
-      - name: tell
+        options: {connector: customs, path: /inspections, body: ".[1]"}
+      - name: shout
         type: rabbitmq
-        options: {connector: queue, exchange: alerts, routing_key: "alert.ready", body: ".[1]"}
-  - name: sensor_ingest
-    trigger: {connector: field, options: {topic: "sensors/#", qos: 1}}
+        options: {connector: yard, exchange: inspections, routing_key: "parcel.seen", body: ".[1]"}
+  - name: watch_scale
+    trigger: {connector: scale, options: {topic: "scales/#", qos: 1}}
     phases:
-      - name: reading
+      - name: weight
         type: transform
-        options: {topic: ".[0].topic", payload_base64: ".[0].payload.base64"}
-      - name: echo
+        options: {topic: ".[0].topic", raw: ".[0].payload.base64"}
+      - name: mirror
         type: mqtt
-        options: {connector: field, topic: "sensors/echo", qos: "1", retain: "yes", payload: ".[1]", payload_encoding: base64}
-      - name: keep
+        options: {connector: scale, topic: "scales/mirror", qos: "1", retain: "yes", payload: ".[1].raw", payload_encoding: base64}
+      - name: book
         type: postgres_idempotent_insert
-        options:
-          connector: facts
-          sql: "insert into sensor_readings values (:topic, :payload_base64)"
-          values: ".[1]"
-  - name: audit_record
-    trigger: {connector: ingress, options: {path: /audit}}
+        options: {connector: ledger, sql: "insert into weighings values (:topic, :raw)", values: ".[1]"}
+  - name: file_parcel
+    trigger: {connector: dock, options: {path: /files}}
     phases:
-      - name: paper
+      - name: sheet
         type: mongodb
-        options: {connector: papers, collection: record_audit, operation: insert_one, document.id: ".[0].body.record.id"}
-      - name: status
+        options: {connector: folder, collection: sheets, operation: insert_one, document.id: ".[0].body.record.id"}
+      - name: show
         type: redis
-        options: {connector: state, command: HSET, key: "record_status", field: ".[0].body.record.id", value: "audited"}
-      - name: score
+        options: {connector: board, command: HSET, key: "shown", field: ".[0].body.record.id", value: "filed"}
+      - name: price
         type: grpc_client
-        options: {connector: scores, rpc: "score.Scores/Rate", request: ".[0].body.record"}
-  - name: fan_out
-    trigger: {connector: ingress, options: {path: /fan}}
+        options: {connector: tariff, rpc: "tariff.Prices/Quote", request: ".[0].body.record"}
+  - name: split_parcel
+    trigger: {connector: dock, options: {path: /splits}}
     phases:
       - name: both
         type: parallel
         options:
           aggregation: any
           phases:
-            - {name: bus_copy, type: kafka_producer, options: {connector: bus, topic: copies, payload: ".[0].body.record"}}
-            - {name: tiered, type: kafka_producer, optional: true, options: {connector: bus, topic: tiers, payload: ".[0].body.record.attributes.tier_name"}}
+            - {name: copy, type: kafka_producer, options: {connector: belt, topic: copies, payload: ".[0].body.scan"}}
+            - {name: fragile, type: kafka_producer, optional: true, fallback: copy, timeout: 1s, options: {connector: belt, topic: fragile, payload: ".[0].body.scan.care"}}
+      - name: after
+        type: kafka_producer
+        options: {connector: belt, topic: after, payload: ".[0].body.depot"}
     policy:
       limits: {max_inflight: 8}
+      fallback: {belt: after}
+  - name: pack_parcel
+    trigger: {connector: dock, options: {path: /packs}}
+    phases:
+      - name: pick
+        type: transform
+        options: {kind: ".[0].body.scan.kind"}
+      - name: pack
+        type: serialize
+        options: {codec: cbor}
 """
 
 
+@functools.cache
 def document() -> Document:
     return load(TEXT)
 
@@ -137,20 +147,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def record_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``event_id, s0``: requests that carry the canonical record; every 7th has no metrics."""
+def parcel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, s0``: requests about scanned parcels; every 7th has no weight, every third no care."""
     events = table(spark, sf_dir, "events")
-    latency = F.floor(F.col("value") * 100).cast("bigint")
-    attributes = F.when(
-        F.col("user_id") % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("category")))
-    ).otherwise(F.to_json(F.struct(F.col("event_type").alias("category"), F.lit("gold").alias("tier_name"))))
-    metrics = F.when(F.col("event_id") % 7 == 0, F.lit("{}")).otherwise(F.to_json(F.struct(latency.alias("latency_ms"))))
-    record = F.concat(
-        F.lit('{"id":"rec-'), F.col("event_id"), F.lit('","attributes":'), attributes, F.lit(',"metrics":'), metrics,
-        F.lit(',"observed_at":"'), scalars.rfc3339("ts"), F.lit('"}'),
-    )
-    text = F.concat(
-        F.lit('{"headers":{"trace_id":"t-'), F.col("user_id"), F.lit('"},"body":{"user_id":'), F.col("user_id"),
-        F.lit(',"mail":"user'), F.col("user_id"), F.lit('@example.org, desk@example.org","record":'), record, F.lit("}}"),
+    grams = F.when(F.col("event_id") % 7 != 0, F.floor(F.col("value") * 100).cast("bigint"))
+    care = F.when(F.col("user_id") % 3 != 0, F.lit("soft"))
+    scan = F.struct(F.col("event_type").alias("kind"), grams.alias("grams"), care.alias("care"), scalars.rfc3339("ts").alias("at"))
+    record = F.struct(F.concat(F.lit("p-"), F.col("event_id").cast("string")).alias("id"))
+    depot = F.col("user_id").cast("string")
+    body = F.struct(
+        F.col("user_id").alias("depot"), F.concat(F.lit("depot"), depot, F.lit("@example.org, desk@example.org")).alias("mail"),
+        record.alias("record"), scan.alias("scan"),
     )
+    header = F.struct(F.concat(F.lit("t-"), depot).alias("trace_id"))
+    # JSON leaves absent fields out, which a struct cannot
+    text = F.to_json(F.struct(header.alias("header"), body.alias("body")))
     return events.select("event_id", "user_id", F.parse_json(text).alias("s0"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weirflow import errors
 from weirflow.codecs import envelope
+from weirflow.config.connectors import Registry
+from weirflow.config.loader import Phase
 from weirflow.functions import expressions as ex
 from weirflow.functions import scalars
-from weirflow.operators import records
-from weirflow.queries.document import table
+from weirflow.operators import handlers, records
+from weirflow.queries.document import document, table
 from weirflow.sources import envelopes
 
 QUERIES: dict = {}
@@ -105,17 +108,69 @@ def expr_conditional(spark, sf_dir):
     return events.select("event_id", value.cast("string").alias("label"), F.try_variant_get(negated, "$", "boolean").alias("negated"))
 
 
+def _items(spark, sf_dir):
+    """``event_id, s0``: events with 0 to 3 items, their own id and neighbours."""
+    events = table(spark, sf_dir, "events")
+    items = F.when(F.col("event_id") % 4 == 0, F.expr("array()")).otherwise(F.expr("transform(sequence(1, cast(event_id % 4 as int)), i -> event_id * i)"))
+    text = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"items":'), F.to_json(F.struct(items.cast("array<bigint>").alias("x"))).substr(F.lit(6), F.lit(100)))
+    return events.select("event_id", F.parse_json(text).alias("s0"))
+
+
 @_query(
     "expr_cardinality",
-    "select l_orderkey, count(*) as n, case when count(*) = 1 then null when count(*) = 0 then 'NoResults' else 'MultipleResults' end as error"
-    " from lineitem group by 1",
+    "select event_id, case event_id % 4 when 0 then 'NoResults' when 1 then null else 'MultipleResults' end as error,"
+    " case when event_id % 4 = 1 then event_id end as item, case when event_id % 4 = 3 then event_id * 6 else event_id * ((event_id % 4) * (event_id % 4 + 1)) // 2 end as total,"
+    " event_id % 4 as n, case when event_id % 4 > 0 then 'MultipleResults' end as either_error from events",
 )
 def expr_cardinality(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("results"))
-    n = F.size("results").cast("long")
-    return lines.select(
-        "l_orderkey", n.alias("n"), F.when(n == 0, "NoResults").when(n > 1, "MultipleResults").alias("error")
-    )
+    rows = _items(spark, sf_dir)
+    slots = ex.Slots([F.col("s0")])
+    item, error = ex.resolve(".[0].items[]", slots)
+    total, _ = ex.resolve("reduce .[0].items[] as $x (0; . + $x)", slots)
+    count, _ = ex.resolve("[.[0].items[]] | length", slots)
+    _, either = ex.resolve(".[0].id, .[0].items[]", slots)
+    return rows.select(
+        "event_id", error.alias("error"), F.try_variant_get(item, "$", "long").alias("item"), F.try_variant_get(total, "$", "long").alias("total"),
+        F.try_variant_get(count, "$", "long").alias("n"), either.alias("either_error"),
+    )
+
+
+@_query(
+    "expr_generators",
+    "select event_id, '[' || case event_id % 4 when 0 then '' when 1 then (event_id + 1)::varchar when 2 then (event_id + 1) || ',' || (event_id * 2 + 1)"
+    " else (event_id + 1) || ',' || (event_id * 2 + 1) || ',' || (event_id * 3 + 1) end || ']' as next, event_id * 10 as bound,"
+    " case when event_id % 4 = 0 then 'none' else 'some' end as kind, '[' || event_id || ']' as caught from events",
+)
+def expr_generators(spark, sf_dir):
+    slots = ex.Slots([F.col("s0")])
+    value = lambda text: ex.resolve(text, slots)[0]
+    return _items(spark, sf_dir).select(
+        "event_id", F.to_json(value("[.[0].items[] | . + 1]")).alias("next"),
+        F.try_variant_get(value(".[0] | .id as $n | $n * 10"), "$", "long").alias("bound"),
+        value('if ([.[0].items[]] | length) == 0 then "none" else "some" end').cast("string").alias("kind"),
+        F.to_json(value("[.[0].id, (.[0].id | .[]?)]")).alias("caught"),
+    )
+
+
+@_query(
+    "expr_arithmetic",
+    "select event_id, 9007199254740993 + event_id as exact, event_id - 1 as less, event_id % 7 as rest, event_type || '-x' as text, event_id as kept,"
+    " '[' || event_id || ',1]' as joined, '{\"a\":1,\"b\":' || event_id || '}' as merged, 'Runtime' as wrong, event_id > 9 as longer, event_id = 9007199254740993 as same from events",
+)
+def expr_arithmetic(spark, sf_dir):
+    kind = F.to_json(F.struct("event_id", "event_type"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json(kind).alias("s0"))
+    slots = ex.Slots([F.col("s0")])
+    value = lambda text: ex.resolve(text, slots)[0]
+    return rows.select(
+        "event_id", F.try_variant_get(value(".[0].event_id + 9007199254740993"), "$", "long").alias("exact"),
+        F.try_variant_get(value(".[0].event_id-1"), "$", "long").alias("less"), F.try_variant_get(value(".[0].event_id % 7"), "$", "long").alias("rest"),
+        value('.[0].event_type + "-x"').cast("string").alias("text"), F.try_variant_get(value("null + .[0].event_id"), "$", "long").alias("kept"),
+        F.to_json(value("[.[0].event_id] + [1]")).alias("joined"), F.to_json(value('{a: 0, b: .[0].event_id} + {a: 1}')).alias("merged"),
+        ex.resolve('.[0].event_id + "b"', slots)[1].alias("wrong"),
+        F.try_variant_get(value("[.[0].event_id] > [9]"), "$", "boolean").alias("longer"),
+        F.try_variant_get(value(".[0].event_id == 9007199254740993"), "$", "boolean").alias("same"),
+    )
 
 
 @_query(
@@ -139,29 +194,67 @@ def expr_inline_template(spark, sf_dir):
     return rows.select("c_custkey", value.cast("string").alias("text"))
 
 
+def _turns(spark, sf_dir):
+    """``conv_id, v``: each conversation as one document with its turns in order, an empty object and a null."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns")
+    )
+    roles = F.to_json(F.transform("turns", lambda t: F.struct(t["role"].alias("role"))))
+    return turns.select("conv_id", F.parse_json(F.concat(F.lit('{"turns":'), roles, F.lit(',"meta":{},"note":null}'))).alias("v"))
+
+
+_TURNS = (
+    "select conv_id, row_number() over (partition by conv_id order by turn, role) - 1 as i, '{\"role\":\"' || role || '\"}' as item, role from conversations"
+)
+
+
 @_query(
     "json_flatten",
-    "select conv_id, '$.turns[' || (row_number() over (partition by conv_id order by turn) - 1) || '].role' as path, '\"' || role || '\"' as leaf from conversations",
+    f"with t as ({_TURNS}), a as (select conv_id, '[' || string_agg(item, ',' order by i) || ']' as items from t group by 1)"
+    " select conv_id, '.[0].turns[' || i || '].role' as path, '\"' || role || '\"' as node from t"
+    " union all select conv_id, '.[0].turns[' || i || ']', item from t union all select conv_id, '.[0].turns', items from a"
+    " union all select conv_id, '.[0].meta', '{}' from a union all select conv_id, '.[0].note', 'null' from a"
+    " union all select conv_id, '.[0]', '{\"meta\":{},\"note\":null,\"turns\":' || items || '}' from a",
 )
 def json_flatten(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns")
-    )
-    nested = turns.select("conv_id", F.to_variant_object(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"))).alias("turns"))).alias("v"))
-    return records.flatten_json(nested, "v", ["conv_id"])
+    return records.flatten_json(_turns(spark, sf_dir), "v", ["conv_id"])
+
+
+@_query(
+    "json_flatten_deep",
+    "with d as (select event_id, event_id % 12 as n from events)"
+    " select event_id, '.[0]' || repeat('.a', i) as path, repeat('{\"a\":', (n - i)::integer) || event_id || repeat('}', (n - i)::integer) as node"
+    " from (select event_id, n, unnest(range(0, (n + 1)::integer))::integer as i from d)",
+)
+def json_flatten_deep(spark, sf_dir):
+    n = (F.col("event_id") % 12).cast("int")
+    text = F.concat(F.repeat(F.lit('{"a":'), n), F.col("event_id").cast("string"), F.repeat(F.lit("}"), n))
+    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("v"))
+    return records.flatten_json(rows, "v", ["event_id"])
 
 
 @_query(
     "json_unflatten",
-    "select conv_id, count(*) as n, min(role) filter (where turn = t0) as first_role from (select *, min(turn) over (partition by conv_id) as t0 from conversations) group by 1",
+    f"with t as ({_TURNS}) select conv_id, '{{\"meta\":{{}},\"note\":null,\"turns\":[' || string_agg(item, ',' order by i) || ']}}' as value from t group by 1",
 )
 def json_unflatten(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    maps = rows.groupBy("conv_id").agg(
-        F.map_from_entries(F.collect_set(F.struct(F.concat(F.lit("t"), F.col("turn").cast("string")), "role"))).alias("m"),
-        F.min("turn").alias("t0"),
+    nodes = records.flatten_json(_turns(spark, sf_dir), "v", ["conv_id"])
+    return records.unflatten(nodes, ["conv_id"]).select("conv_id", F.to_json("value").alias("value"))
+
+
+@_query(
+    "headers_flatten",
+    "with h as (select page_id, unnest(['x-tag', 'accept', 'x-tag', 'x-tag']) as name, unnest(['.0', '.0', '.1', '.2']) as k,"
+    " unnest([page_id::varchar, 'json', 'b', 'c']) as value from pages)"
+    " select page_id, '.[0].' || g || '.' || name || case when k = '.0' then '' else k end as path, value from h, (values ('headers'), ('header')) as t(g)",
+)
+def headers_flatten(spark, sf_dir):
+    pair = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
+    pairs = F.array(
+        pair("X-Tag", F.col("page_id").cast("string")), pair(" Accept", F.lit("json")), pair("x-tag ", F.lit("b")), pair("X-TAG", F.lit("c"))
     )
-    return maps.select("conv_id", F.size("m").cast("long").alias("n"), F.expr("m[concat('t', t0)]").alias("first_role"))
+    flat = table(spark, sf_dir, "pages").select("page_id", records.flatten_headers(pairs).alias("m"))
+    return flat.select("page_id", F.explode("m").alias("path", "value"))
 
 
 def _headers(distinct: bool):
@@ -303,22 +396,55 @@ def qos_coerce(spark, sf_dir):
 
 @_query(
     "retain_coerce",
-    "select event_id, case event_id % 6 when 0 then true when 1 then true when 2 then true when 3 then false when 4 then false else true end as retain from events",
+    "select event_id, case event_id % 10 when 0 then true when 1 then true when 2 then true when 3 then false when 4 then false"
+    " when 6 then false when 7 then true when 8 then false when 9 then true end as retain from events",
 )
 def retain_coerce(spark, sf_dir):
-    texts = F.element_at(F.array(*map(F.lit, ("Yes", "on", "1", "0", "off", "2.5"))), (F.col("event_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", scalars.retain(texts).alias("retain"))
+    values = ('"Yes"', '"on"', '"1"', '"0"', '"off"', '"2.5"', "2.5", "7", "null", "true")
+    texts = F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.retain(F.parse_json(texts)).alias("retain"))
+
+
+@_query(
+    "mqtt_payload_bytes",
+    "select event_id, hex(case event_id % 6 when 0 then encode('') when 1 then encode(event_type) when 2 then encode(event_type || '!')"
+    " when 3 then unhex('00ff07') when 5 then encode('{\"k\":1}') end) as body from events",
+)
+def mqtt_payload_bytes(spark, sf_dir):
+    kind = F.col("event_type")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    texts = F.array(
+        F.lit("null"), quoted(F.base64(kind.cast("binary"))), quoted(F.concat(kind, F.lit("!"))), F.lit("[0,255,7]"), F.lit("[1,256]"), F.lit('{"k":1}')
+    )
+    v = F.parse_json(F.element_at(texts, (F.col("event_id") % 6 + 1).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", F.hex(scalars.mqtt_bytes(v)).alias("body"))
+
+
+@_query(
+    "body_decode",
+    "select event_id, case event_id % 4 when 0 then 'null' when 1 then props when 2 then '\"' || event_type || ' plain\"' else '\"/w==\"' end as body from events",
+)
+def body_decode(spark, sf_dir):
+    kind = F.col("event_id") % 4
+    raw = (
+        F.when(kind == 0, F.lit(b"")).when(kind == 1, F.regexp_replace("props", " ", "").cast("binary"))
+        .when(kind == 2, F.concat("event_type", F.lit(" plain")).cast("binary")).otherwise(F.lit(b"\xff"))
+    )
+    spaced = F.regexp_replace(F.to_json(scalars.decode_body(raw)), '^\\{"k":', '{"k": ')
+    return table(spark, sf_dir, "events").select("event_id", spaced.alias("body"))
 
 
 @_query(
     "timeout_parse",
-    "select n_nationkey, cast(n_nationkey * 61000 as bigint) as ms, cast(n_nationkey as bigint) as plain, cast(null as bigint) as wrong from nation",
+    "select n_nationkey, cast(n_nationkey * 61000 as bigint) as ms, cast(n_nationkey as bigint) as plain, n_nationkey::bigint * 604800000 as weeks,"
+    " n_nationkey::bigint * 3600000 + 5 as mixed, n_nationkey::bigint * 2630016000 as months, cast(null as bigint) as wrong from nation",
 )
 def timeout_parse(spark, sf_dir):
     n = F.col("n_nationkey").cast("string")
+    text = lambda *parts: scalars.timeout_ms(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
     return table(spark, sf_dir, "nation").select(
-        "n_nationkey", scalars.timeout_ms(F.concat(n, F.lit("m "), n, F.lit("s"))).alias("ms"),
-        scalars.timeout_ms(n).alias("plain"), scalars.timeout_ms(F.concat(n, F.lit(" weeks"))).alias("wrong"),
+        "n_nationkey", text(n, "m ", n, "s").alias("ms"), text(n).alias("plain"), text(n, " weeks").alias("weeks"),
+        text(" ", n, "hours 5msec ").alias("mixed"), text(n, "months").alias("months"), text(n, " fortnights").alias("wrong"),
     )
 
 
@@ -327,11 +453,10 @@ def timeout_parse(spark, sf_dir):
     "select event_id, case event_type when 'click' then 'timeout' when 'view' then 'protocol' when 'error' then 'panic' else 'unknown' end as reason from events",
 )
 def failure_reason_classify(spark, sf_dir):
-    message = (
-        F.when(F.col("event_type") == "click", "request Timed Out").when(F.col("event_type") == "view", "bad status line")
-        .when(F.col("event_type") == "error", "task panicked").otherwise("?")
-    )
-    return table(spark, sf_dir, "events").select("event_id", scalars.failure_reason(message).alias("reason"))
+    type_is = lambda name: F.col("event_type") == name
+    kind = F.when(type_is("view"), "http_status").when(type_is("error"), "join").when(type_is("signup"), "io").otherwise("message")
+    message = F.when(type_is("click"), "request Timed Out").when(type_is("signup"), "timeout").otherwise("bad protocol status, panicked")
+    return table(spark, sf_dir, "events").select("event_id", scalars.failure_reason(kind, message).alias("reason"))
 
 
 @_query(
@@ -346,13 +471,17 @@ def rpc_split(spark, sf_dir):
 
 @_query(
     "names_and_logs",
-    "select p_partkey, regexp_replace(p_type || ' #1', '[^A-Za-z0-9._-]', '_', 'g') as file, '\"' || p_type || ' #1\"' as field, 'http://h.example/a/' || p_partkey as url from part",
+    "select p_partkey, regexp_replace(p_type || ' #1', '[^A-Za-z0-9._-]', '_', 'g') as file, '\"' || p_type || ' #1\"' as field, 'http://h.example/' || p_partkey as url,"
+    " 'http://h.example/a/' || p_partkey || '?q=1' as joined, 'http://h.example/c' as climbed, 'https://o.example/x' as absolute from part",
 )
 def names_and_logs(spark, sf_dir):
     text = F.concat("p_type", F.lit(" #1"))
     return table(spark, sf_dir, "part").select(
         "p_partkey", scalars.file_name(text).alias("file"), scalars.log_value(text).alias("field"),
         scalars.resolve_url(F.lit("http://h.example/a/"), F.concat(F.lit("/"), "p_partkey")).alias("url"),
+        scalars.resolve_url(F.lit("http://h.example/a/b?z"), F.concat("p_partkey", F.lit("?q=1"))).alias("joined"),
+        scalars.resolve_url(F.lit("http://h.example/a/b/d"), F.lit("../../c")).alias("climbed"),
+        scalars.resolve_url(F.lit("http://h.example"), F.lit("https://o.example/x")).alias("absolute"),
     )
 
 
@@ -443,20 +572,127 @@ def packet_ids(spark, sf_dir):
 
 @_query(
     "retry_after_hint",
-    "select n_nationkey, cast(greatest(1, ceil(least(n_nationkey * 700, 5000, 30000) / 1000.0)) as bigint) as seconds from nation",
+    "select n_nationkey, cast(greatest(1, ceil(least(n_nationkey * 700, 5000, 30000) / 1000.0)) as bigint) as seconds, 1::bigint as unset,"
+    " cast(greatest(1, ceil(least(n_nationkey * 700, case when n_nationkey % 2 = 0 then 2100 else 1e9 end) / 1000.0)) as bigint) as half from nation",
 )
 def retry_after_hint(spark, sf_dir):
+    base, none = F.col("n_nationkey") * 700, F.lit(None).cast("long")
+    most = F.when(F.col("n_nationkey") % 2 == 0, 2100)
     return table(spark, sf_dir, "nation").select(
-        "n_nationkey", scalars.retry_after(F.col("n_nationkey") * 700, F.lit(5000), F.lit(30000)).alias("seconds")
-    )
+        "n_nationkey", scalars.retry_after(base, F.lit(5000), F.lit(30000)).alias("seconds"),
+        scalars.retry_after(none, F.lit(5000), none).alias("unset"), scalars.retry_after(base, most, none).alias("half"),
+    )
 
 
 @_query(
     "backoff_curves",
-    "select n_nationkey, cast(least(50 * pow(2, least(n_nationkey, 16)), 5000) as bigint) as delivery, cast(greatest(50, least(round(200 * pow(2.0, n_nationkey)), 5000)) as bigint) as poll from nation",
+    "select n_nationkey, cast(least(50 * pow(2, least(n_nationkey, 16)), 5000) as bigint) as delivery, cast(greatest(50, least(round(200 * pow(2.0, n_nationkey)), 5000)) as bigint) as poll,"
+    " cast(least(250 * pow(2, least(n_nationkey, 8)), 60000) as bigint) as warmup, n_nationkey * 50.0::double as low, n_nationkey * 75.0::double as middle, n_nationkey * 100.0::double as high from nation",
 )
 def backoff_curves(spark, sf_dir):
-    k = F.col("n_nationkey") + 1
+    k, delay = F.col("n_nationkey") + 1, F.col("n_nationkey") * 100
+    low, high = scalars.jitter_bounds(delay, "equal")
     return table(spark, sf_dir, "nation").select(
-        "n_nationkey", scalars.delivery_backoff(k, F.lit(50), F.lit(5000)).alias("delivery"), scalars.trigger_backoff(k).alias("poll")
-    )
+        "n_nationkey", scalars.delivery_backoff(k, F.lit(50), F.lit(5000)).alias("delivery"), scalars.trigger_backoff(k).alias("poll"),
+        scalars.delivery_backoff(k, F.lit(250), F.lit(60000), doublings=8).alias("warmup"),
+        low.alias("low"), scalars.jittered(delay, "equal", F.lit(0.5)).alias("middle"), high.alias("high"),
+    )
+
+
+@_query(
+    "error_codes",
+    "select event_id, case event_id % 6 when 0 then 'MISSING_KEY' when 1 then 'LIMITS_ENFORCED' when 2 then 'BUDGET_EXHAUSTED' when 3 then 'INTERNAL' when 4 then 'CONNECTOR_FAILURE' end as code,"
+    " cast(case event_id % 6 when 0 then 400 when 1 then 429 when 2 then 503 when 3 then 500 when 4 then 502 else 202 end as integer) as status from events",
+)
+def error_codes(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ("MissingPath", "RouteBackpressure", "RetryBudgetExhausted", "Serialization", "ActionFailed", None)))
+    code = errors.canonical_code(F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")))
+    rows = table(spark, sf_dir, "events").select("event_id", code.alias("code"))
+    return rows.withColumn("status", scalars.http_status("code"))
+
+
+@_query(
+    "request_admittance",
+    "select page_id, case page_id % 5 when 0 then 'ROUTE_UNKNOWN' when 1 then 'METHOD_MISMATCH' when 2 then 'MISSING_KEY' when 3 then 'PAYLOAD_TOO_LARGE' end as refused from pages",
+)
+def request_admittance(spark, sf_dir):
+    kind = F.col("page_id") % 5
+    path, method = F.when(kind == 0, "/elsewhere").otherwise(" parcels"), F.when(kind == 1, "GET").otherwise("post")
+    body = F.when(kind == 2, "{broken").when(kind == 3, F.repeat(F.lit("1"), 101)).otherwise('{"a":1}')
+    refused = envelopes.http_error(method, path, body, F.lit("application/json"), "POST", "/parcels", most_bytes=100)
+    return table(spark, sf_dir, "pages").select("page_id", refused.alias("refused"))
+
+
+@_query(
+    "phase_records",
+    "select event_id, case when event_id % 3 <> 0 then 'p' || user_id end as phase, case when event_id % 3 = 1 then cast(json_extract_string(props, '$.k') as bigint) end as k,"
+    " case when event_id % 3 <> 1 then 'InvalidInput' end as error from events",
+)
+def phase_records(spark, sf_dir):
+    kind = F.col("event_id") % 3
+    named = F.concat(F.lit('{"phase_id":"p'), F.col("user_id").cast("string"), F.lit('"'))
+    text = F.when(kind == 0, "no json").when(kind == 1, F.concat(named, F.lit(',"payload":'), "props", F.lit("}"))).otherwise(F.concat(named, F.lit("}")))
+    record = envelopes.phase_record(text.cast("binary"))
+    rows = table(spark, sf_dir, "events").select("event_id", record.alias("r"))
+    return rows.select("event_id", F.col("r.phase_id").alias("phase"), F.try_variant_get("r.payload", "$.k", "long").alias("k"), F.col("r.error").alias("error"))
+
+
+def _handled(spark, sf_dir, kind, options, connector):
+    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json(F.to_json(F.struct("event_id", "event_type", "user_id"))).alias("s0"))
+    planned = handlers.handle(Phase("own", kind, options, connector), ex.Slots([F.col("s0")], F.col("event_id")), Registry(document().connectors))
+    return rows.select("event_id", planned.slot.alias("slot"), planned.error.alias("error"))
+
+
+@_query(
+    "handler_kafka_mqtt",
+    "select event_id, 'lane.' || event_type as topic, cast(user_id as varchar) as key, 2 as brokers, '1' as acks, 'scales/' || event_type as mqtt_topic,"
+    " 'mqtt://scale.example' as url, cast(((event_id - 1) % 65535 + 65535) % 65535 + 1 as integer) as packet, false as has_status from events",
+)
+def handler_kafka_mqtt(spark, sf_dir):
+    kafka = _handled(spark, sf_dir, "kafka_producer", {"topic": "lane. .[0].event_type", "key": "$.[0].user_id", "acks": "1", "header": {"x": "y"}}, "belt")
+    mqtt = _handled(spark, sf_dir, "mqtt", {"topic": "scales/ .[0].event_type", "qos": 2}, "scale").withColumnRenamed("slot", "m").drop("error")
+    get = F.try_variant_get
+    return kafka.join(mqtt, "event_id").select(
+        "event_id", F.replace(get("slot", "$.topic", "string"), F.lit(" "), F.lit("")).alias("topic"), get("slot", "$.key", "string").alias("key"),
+        F.size(get("slot", "$.brokers", "array<string>")).alias("brokers"), get("slot", "$.acks", "string").alias("acks"),
+        F.replace(get("m", "$.topic", "string"), F.lit(" "), F.lit("")).alias("mqtt_topic"), get("m", "$.url", "string").alias("url"),
+        get("m", "$.packet_id", "int").alias("packet"), get("m", "$.status", "variant").isNotNull().alias("has_status"),
+    )
+
+
+@_query(
+    "handler_postgres_http",
+    "select event_id, 'weights' as schema, user_id as parameter, 'http://customs.example/api/look/' || event_id as url, 'parcels' as desk from events",
+)
+def handler_postgres_http(spark, sf_dir):
+    insert = _handled(spark, sf_dir, "postgres_idempotent_insert", {"sql": "insert into w values (:u)", "values": {"u": ".[0].user_id"}}, "ledger")
+    call = _handled(spark, sf_dir, "http_client", {"path": "look/ .[0].event_id", "header": {"x-own": "1"}}, "customs").withColumnRenamed("slot", "c").drop("error")
+    get = F.try_variant_get
+    return insert.join(call, "event_id").select(
+        "event_id", get("slot", "$.schema", "string").alias("schema"), get("slot", "$.parameters.u", "long").alias("parameter"),
+        F.replace(get("c", "$.url", "string"), F.lit(" "), F.lit("")).alias("url"), get("c", "$.header.x-desk", "string").alias("desk"),
+    )
+
+
+def _echo(requests):
+    """A transport without a network: every third parcel is refused."""
+    out = []
+    for r in requests:
+        number = int(r["url"].rsplit("/", 1)[1])
+        out.append({"status": 503 if number % 3 == 0 else 200, "header": {"etag": [str(number)]}, "body": {"twice": 2 * number}})
+    return out
+
+
+@_query(
+    "handler_http_call",
+    "select event_id, case when event_id % 3 <> 0 then 200 end as status, case when event_id % 3 <> 0 then event_id * 2 end as twice,"
+    " case when event_id % 3 = 0 then 'Transport' end as error from events",
+)
+def handler_http_call(spark, sf_dir):
+    url = F.concat(F.lit("http://customs.example/look/"), F.col("event_id").cast("string"))
+    request = F.to_variant_object(F.struct(F.lit("GET").alias("method"), url.alias("url")))
+    called = handlers.http_call(table(spark, sf_dir, "events").select("event_id", request.alias("request")), "request", _echo)
+    return called.select(
+        "event_id", F.try_variant_get("response", "$.status", "int").alias("status"),
+        F.try_variant_get("response", "$.body.twice", "long").alias("twice"), "error",
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weirflow.functions import scalars
 from weirflow.operators import delivery, health, records
 from weirflow.queries.document import document, table
 
@@ -103,18 +104,16 @@ def kv_hset(spark, sf_dir):
 
 
 _CHILDREN = (
-    "select o_orderkey as event, c, case when (o_orderkey + c) % 4 = 0 then 'failed' when (o_orderkey + c) % 7 = 0 then 'skipped'"
-    " when (o_orderkey * c) % 9 = 8 then 'timeout' else 'success' end as status from orders, (values (0), (1), (2)) as t(c)"
+    "select o_orderkey as event, c, case when (o_orderkey * c) % 9 = 8 then 'timeout' when (o_orderkey + c) % 4 = 0 and c = 2 then 'skipped'"
+    " when (o_orderkey + c) % 4 = 0 then 'failed' else 'success' end as status from orders, (values (0), (1), (2)) as t(c)"
 )
 
 
 def _children(spark, sf_dir):
+    """Three children of each order; the last one is optional, so its failure is skipped."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("c"))
-    status = (
-        F.when((F.col("event") + F.col("c")) % 4 == 0, "failed").when((F.col("event") + F.col("c")) % 7 == 0, "skipped")
-        .when((F.col("event") * F.col("c")) % 9 == 8, "timeout").otherwise("success")
-    )
-    return rows.withColumn("status", status)
+    late, failed = (F.col("event") * F.col("c")) % 9 == 8, (F.col("event") + F.col("c")) % 4 == 0
+    return rows.withColumn("status", delivery.child_status(failed, late, F.col("c") == 2))
 
 
 _query("fanout_children", f"select event, cast(c as integer) as c, status from ({_CHILDREN})")(_children)
@@ -127,11 +126,7 @@ _query("fanout_children", f"select event, cast(c as integer) as c, status from (
     f" count(*) filter (where status = 'success') >= least(1, count(*) filter (where status <> 'skipped')) as some from ({_CHILDREN}) group by event",
 )
 def fanout_quorum_all_any(spark, sf_dir):
-    children = _children(spark, sf_dir)
-    quorum = delivery.tally(children, "quorum").select("event", "successes", F.col("met").alias("quorum"))
-    every = delivery.tally(children, "all").select("event", F.col("met").alias("every"))
-    some = delivery.tally(children, "any").select("event", F.col("met").alias("some"))
-    return quorum.join(every, "event").join(some, "event")
+    return delivery.tally(_children(spark, sf_dir)).select("event", "successes", "quorum", "every", "some")
 
 
 def _actions(spark, sf_dir):
@@ -160,18 +155,25 @@ def ordered_dispatch_abort(spark, sf_dir):
 
 @_query(
     "retry_schedule",
-    "with b as (select s_suppkey as id, s_suppkey % 6 as retries, 50 + s_suppkey % 3 * 10 as base from supplier), a as ("
-    " select id, attempt, cast(case when attempt = 1 then 0 else least(base * pow(2, attempt - 2), 400) end as bigint) as delay_ms from b,"
-    " unnest(range(1, greatest(1, least(retries + 1, 5)) + 1)) as t(attempt)), s as ("
+    "with p as (select s_suppkey as id, case when s_suppkey % 7 <> 0 then s_suppkey % 6 end as retries, case when s_suppkey % 4 <> 0 then 40 + s_suppkey % 3 * 10 end as pmin,"
+    " case when s_suppkey % 4 <> 0 then 600 end as pmax, 5 as attempts, case when s_suppkey % 5 <> 0 then 500 end as elapsed,"
+    " case when s_suppkey % 3 <> 0 then 50 end as bbase, case when s_suppkey % 2 = 0 then 400 end as bmax from supplier),"
+    " q as (select id, elapsed, least(coalesce(retries + 1, attempts), attempts) as n, greatest(coalesce(pmin, bbase, 0), coalesce(bbase, 0)) as base,"
+    " case when pmax is not null and bmax is not null then least(pmax, bmax) else coalesce(pmax, bmax) end as most from p),"
+    " a as (select id, elapsed, attempt, cast(case when attempt = 1 then 0 else least(base * pow(2, attempt - 2), greatest(coalesce(most, base), base)) end as bigint) as delay_ms"
+    " from q, unnest(range(1, n + 1)) as t(attempt)), s as ("
     " select *, cast(sum(delay_ms) over (partition by id order by attempt) as bigint) as start_ms from a)"
-    " select id, cast(attempt as integer) as attempt, delay_ms, start_ms from s where start_ms < 500 or attempt = 1",
+    " select id, cast(attempt as integer) as attempt, delay_ms, start_ms from s"
+    " where attempt = 1 or elapsed is null or (start_ms - delay_ms < elapsed and elapsed - (start_ms - delay_ms) >= delay_ms)",
 )
 def retry_schedule(spark, sf_dir):
-    budgets = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 6).alias("retries"), (50 + F.col("s_suppkey") % 3 * 10).alias("base"),
-        F.lit(400).alias("most"), F.lit(5).alias("max_attempts"), F.lit(500).alias("max_elapsed"),
+    key = F.col("s_suppkey")
+    plans = table(spark, sf_dir, "supplier").select(
+        key.alias("id"), F.when(key % 7 != 0, key % 6).alias("retries"), F.when(key % 4 != 0, 40 + key % 3 * 10).alias("backoff_min"),
+        F.when(key % 4 != 0, 600).alias("backoff_max"), F.lit(5).alias("max_attempts"), F.when(key % 5 != 0, 500).alias("max_elapsed"),
+        F.when(key % 3 != 0, 50).alias("base_backoff"), F.when(key % 2 == 0, 400).alias("max_backoff"),
     )
-    return delivery.retry_schedule(budgets)
+    return delivery.retry_schedule(plans)
 
 
 @_query(
@@ -195,39 +197,75 @@ def _attempts(spark, sf_dir):
     )
 
 
-@_query("retry_budget_windows")
+@_query(
+    "retry_budget_windows",
+    "with recursive a as (select event_type as route, event_id as seq, epoch_us(ts) // 1000 as t, row_number() over (partition by event_type order by epoch_us(ts) // 1000, event_id) as n from events),"
+    " f as (select route, seq, t, n, t as began, 1::bigint as used from a where n = 1"
+    " union all select a.route, a.seq, a.t, a.n, case when a.t - f.began > 3600000 then a.t else f.began end, case when a.t - f.began > 3600000 then 1 else f.used + 1 end"
+    " from f join a on a.route = f.route and a.n = f.n + 1)"
+    " select route, seq, used, used > 5 as exhausted from f",
+)
 def retry_budget_windows(spark, sf_dir):
     return health.budget_windows(_attempts(spark, sf_dir), 5, 3_600_000)
 
 
 @_query(
     "breaker_failure_ratio",
-    "select event_id, round(avg(case when value > 50 then 1.0::double else 0.0::double end) over (partition by event_type order by cast(floor(epoch(ts)) as bigint) range between 3600 preceding and current row), 6) as failure_ratio from events",
+    "select event_id, round(avg(case when value > 50 then 1.0::double else 0.0::double end) over (partition by event_type order by epoch_us(ts) range between 3600000000 preceding and current row), 6) as failure_ratio from events",
 )
 def breaker_failure_ratio(spark, sf_dir):
     out = health.failure_ratio(table(spark, sf_dir, "events"), "event_type", "ts", F.col("value") > 50, 3600)
     return out.select("event_id", F.round("failure_ratio", 6).alias("failure_ratio"))
 
 
-@_query("breaker_state_sequence")
+_BREAKER = """
+with recursive o as (
+  select event_type as endpoint, epoch_us(ts) // 1000 as at_ms, event_id as seq, event_id % 3 <> 0 as ok,
+         row_number() over (partition by event_type order by epoch_us(ts) // 1000, event_id) as n from events
+), f as (
+  select endpoint, 0::bigint as n, 'HEALTHY' as state, 0::bigint as until, 1000::bigint as backoff,
+         []::struct(t bigint, ok boolean)[] as log, 0::bigint as at_ms, 0::bigint as seq, true as ok
+  from (select distinct endpoint from o)
+  union all
+  select endpoint, n, next, case when trips then at_ms + backoff else until end,
+         case when trips then least(backoff * 2, 60000) when was = 'CB_HALF_OPEN' and next = 'HEALTHY' then 1000 else backoff end,
+         case when next = 'HEALTHY' and was <> 'HEALTHY' then [] else seen end, at_ms, seq, ok
+  from (
+    select *, case when was = 'CB_OPEN' then was when ok then 'HEALTHY' when trips then 'CB_OPEN' else 'UNHEALTHY' end as next
+    from (
+      select *, not ok and (was = 'CB_HALF_OPEN' or (was <> 'CB_OPEN'
+               and len(list_filter(seen, lambda x: not x.ok)) >= 0.4 * len(seen))) as trips
+      from (
+        select f.endpoint, o.n, f.until, f.backoff, o.at_ms, o.seq, o.ok,
+               case when f.state = 'CB_OPEN' and o.at_ms >= f.until then 'CB_HALF_OPEN' else f.state end as was,
+               list_append(list_filter(f.log, lambda x: o.at_ms - x.t <= 21600000), {'t': o.at_ms, 'ok': o.ok}) as seen
+        from f join o on o.endpoint = f.endpoint and o.n = f.n + 1
+      )
+    )
+  )
+)
+select endpoint, at_ms, seq, ok, state from f where n > 0
+"""
+
+
+@_query("breaker_state_sequence", _BREAKER)
 def breaker_state_sequence(spark, sf_dir):
     rows = _attempts(spark, sf_dir).withColumnRenamed("route", "endpoint").withColumn("ok", F.col("seq") % 3 != 0)
-    return health.breaker_states(rows, 0.5, 60_000, 1_000, 60_000)
+    return health.breaker_states(rows, 0.4, 21_600_000, 1_000, 60_000)
 
 
-_STATES = "case s_suppkey % 9 when 0 then 'OPEN' when 1 then 'UNHEALTHY' when 2 then 'HALF_OPEN' when 3 then 'WARMING_UP' else 'HEALTHY' end"
 _RANKS = "case s_suppkey % 9 when 0 then 4 when 1 then 3 when 2 then 1 when 3 then 2 else 0 end"
 
 
 def _endpoints(spark, sf_dir):
     n = F.col("s_suppkey") % 9
-    state = F.when(n == 0, "OPEN").when(n == 1, "UNHEALTHY").when(n == 2, "HALF_OPEN").when(n == 3, "WARMING_UP").otherwise("HEALTHY")
+    state = F.when(n == 0, "CB_OPEN").when(n == 1, "UNHEALTHY").when(n == 2, "CB_HALF_OPEN").when(n == 3, "WARMING_UP").otherwise("HEALTHY")
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("route"), state.alias("state"))
 
 
 @_query(
     "readiness_endpoint_merge",
-    f"select s_nationkey as endpoint, case max({_RANKS}) when 4 then 'OPEN' when 3 then 'UNHEALTHY' when 2 then 'WARMING_UP' when 1 then 'HALF_OPEN' else 'HEALTHY' end as state from supplier group by 1",
+    f"select s_nationkey as endpoint, case max({_RANKS}) when 4 then 'CB_OPEN' when 3 then 'UNHEALTHY' when 2 then 'WARMING_UP' when 1 then 'CB_HALF_OPEN' else 'HEALTHY' end as state from supplier group by 1",
 )
 def readiness_endpoint_merge(spark, sf_dir):
     return health.worst_endpoint(_endpoints(spark, sf_dir).withColumnRenamed("route", "endpoint"), "endpoint")
@@ -246,26 +284,65 @@ def _routes(spark, sf_dir):
 _query("readiness_route_state", _ROUTES)(_routes)
 
 
+def _app_state(states: str, first: str) -> str:
+    """SQL of the application's state of the routes ``r(state, place)``; ``first`` chooses those that a threshold checks."""
+    return (
+        f"with r as ({states}) select count(*) as n, count(*) filter (where state in ('READY', 'DEGRADED')) as up,"
+        " case when count(*) = 0 then 'READY' when count(*) filter (where state = 'DRAINING') > 0 then 'DRAINING'"
+        f" when count(*) filter (where {first} and state not in ('READY', 'DEGRADED')) = 0"
+        " then case when count(*) filter (where state = 'DEGRADED') > 0 then 'DEGRADED' else 'READY' end"
+        " when count(*) filter (where state in ('READY', 'DEGRADED')) = 0 and count(*) filter (where state = 'WARMING_UP') > 0 then 'WARMING_UP'"
+        " else 'NOT_READY' end as state from r"
+    )
+
+
 @_query(
     "readiness_app_state_topk",
-    f"with r as ({_ROUTES} order by s_nationkey limit 3) select count(*) as n, count(*) filter (where state in ('READY', 'DEGRADED')) as up,"
-    " case when count(*) filter (where state in ('READY', 'DEGRADED')) = count(*) then 'READY' when count(*) filter (where state in ('READY', 'DEGRADED')) = 0 and bool_or(state = 'WARMING_UP') then 'WARMING_UP' else 'NOT_READY' end as state from r",
+    _app_state(f"select *, row_number() over (order by route) as place from ({_ROUTES})", "place <= 3"),
 )
 def readiness_app_state_topk(spark, sf_dir):
     routes = _routes(spark, sf_dir).withColumns({"priority": F.lit(1), "ordinal": F.col("route")})
     return health.app_state(routes, threshold=3)
 
 
+#: One application for each nation: its customers are the routes, in states that the account decides.
+_CUSTOMER_STATE = (
+    "case when c_nationkey % 6 = 0 and c_custkey % 2 = 0 then 'WARMING_UP' when c_nationkey % 6 = 1 and c_custkey % 5 = 0 then 'DRAINING'"
+    " when c_nationkey % 6 in (2, 3) and c_custkey % 3 = 0 then 'DEGRADED' when c_nationkey % 6 in (0, 3, 4) then 'NOT_READY' else 'READY' end"
+)
+
+
+def _app_query(nation: int, threshold: int | None) -> None:
+    name = f"readiness_app_state_{nation}" + ("_all" if threshold is None else "")
+    rows = f"select {_CUSTOMER_STATE} as state, row_number() over (order by c_custkey % 4, c_custkey) as place from customer where c_nationkey = {nation}"
+
+    def run(spark, sf_dir):
+        routes = table(spark, sf_dir, "customer").where(F.col("c_nationkey") == nation)
+        routes = routes.selectExpr("c_custkey as route", f"{_CUSTOMER_STATE} as state", "c_custkey % 4 as priority", "c_custkey as ordinal")
+        return health.app_state(routes, threshold)
+
+    _query(name, _app_state(rows, "true" if threshold is None else f"place <= {threshold}"))(run)
+
+
+for _nation in range(6):
+    _app_query(_nation, None)
+    _app_query(_nation, 1)
+
+
+_ROUTE_STATE = "case event_id * 7 % 11 when 0 then 'WARMING_UP' when 1 then 'DEGRADED' when 2 then 'DRAINING' when 3 then 'NOT_READY' when 4 then 'WARMING_UP' when 5 then 'DEGRADED' else 'READY' end"
+
+
 @_query(
     "transitions_legal",
-    "with s as (select o_custkey, o_orderkey, case o_orderstatus when 'O' then 'READY' when 'F' then 'NOT_READY' else 'DRAINING' end as state from orders),"
-    " t as (select *, lag(state) over (partition by o_custkey order by o_orderkey) as previous from s)"
-    " select o_custkey, o_orderkey, previous, state, previous <> 'DRAINING' as legal from t where previous is not null and previous <> state",
+    f"with s as (select user_id, event_id, {_ROUTE_STATE} as state from events),"
+    " t as (select *, lag(state) over (partition by user_id order by event_id) as previous from s)"
+    " select user_id, event_id, previous, state, case previous when 'WARMING_UP' then state in ('READY', 'NOT_READY', 'DRAINING')"
+    " when 'READY' then state in ('NOT_READY', 'DEGRADED', 'DRAINING') when 'NOT_READY' then state in ('READY', 'DEGRADED', 'DRAINING')"
+    " when 'DEGRADED' then state in ('READY', 'NOT_READY', 'DRAINING') else false end as legal from t where previous is not null and previous <> state",
 )
 def transitions_legal(spark, sf_dir):
-    state = F.when(F.col("o_orderstatus") == "O", "READY").when(F.col("o_orderstatus") == "F", "NOT_READY").otherwise("DRAINING")
-    log = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", state.alias("state"))
-    return health.moves_legal(log, "o_custkey", ["o_orderkey"]).select("o_custkey", "o_orderkey", "previous", "state", "legal")
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_ROUTE_STATE).alias("state"))
+    return health.moves_legal(log, "user_id", ["event_id"]).select("user_id", "event_id", "previous", "state", "legal")
 
 
 @_query(
@@ -308,22 +385,69 @@ def admission_inflight(spark, sf_dir):
     return health.in_flight(_spans(spark, sf_dir), "route")
 
 
+def _admission(queue: int) -> str:
+    """SQL of admissions with two places and a queue; a recursion over each route's arrivals."""
+    return f"""
+with recursive a as (
+  select o_orderpriority as route, epoch(o_orderdate)::bigint as t, o_orderkey as seq, (o_orderkey % 30 + 1) * 864 as d,
+         row_number() over (partition by o_orderpriority order by epoch(o_orderdate)::bigint, o_orderkey) as n from orders
+), f as (
+  select route, 0::bigint as n, 0::bigint as seq, 0::bigint as t, 'none' as outcome, cast(null as bigint) as begins, []::bigint[] as ends from (select distinct route from a)
+  union all
+  select route, n, seq, t, outcome, begins, case when outcome = 'rejected' then open else list_sort(list_append(open, begins + d)) end
+  from (
+    select *, case when len(open) < 2 then 'admitted' when len(open) < {2 + queue} then 'queued' else 'rejected' end as outcome,
+           case when len(open) < 2 then t when len(open) < {2 + queue} then open[len(open) - 1] end as begins
+    from (
+      select a.route, a.n, a.seq, a.t, a.d, list_filter(f.ends, lambda e: e > a.t) as open from f join a on a.route = f.route and a.n = f.n + 1
+    )
+  )
+)
+"""
+
+
+def _arrivals(spark, sf_dir):
+    spans = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("route"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("at"),
+        F.col("o_orderkey").alias("seq"), ((F.col("o_orderkey") % 30 + 1) * 864).alias("duration"),
+    )
+    return spans
+
+
+@_query("admission_reject", _admission(0) + "select route, seq, outcome, begins from f where n > 0")
+def admission_reject(spark, sf_dir):
+    return health.admission(_arrivals(spark, sf_dir), 2).select("route", "seq", "outcome", "begins")
+
+
 @_query(
     "admission_overflow",
-    _MOVES + "select route, t as \"at\", least(greatest(0, inflight - 2), 3) as queued, greatest(0, greatest(0, inflight - 2) - 3) as rejected from r where arrivals > 0",
+    _admission(3) + "select route, seq, outcome, begins, greatest(len(ends) - 2, 0) as waiting from f where n > 0",
 )
 def admission_overflow(spark, sf_dir):
-    return health.admission(_spans(spark, sf_dir), "route", 2, 3).select("route", "at", "queued", "rejected")
+    return health.admission(_arrivals(spark, sf_dir), 2, 3)
+
+
+@_query(
+    "admission_counters",
+    _admission(3) + "select route, count(*) filter (where outcome = 'rejected') as limited, max(greatest(len(ends) - 2, 0)) as queue_depth from f where n > 0 group by route",
+)
+def admission_counters(spark, sf_dir):
+    return health.limit_counters(health.admission(_arrivals(spark, sf_dir), 2, 3))
+
+
+#: The bounds that the histogram of the service publishes, in seconds.
+_BOUNDS = ("0.01", "0.025", "0.05", "0.1", "0.25", "0.5", "1.0", "2.5", "5.0", "10.0")
 
 
 @_query(
     "http_status_histogram",
-    "select event_type, count(*) as count, "
-    + ", ".join(f"count(*) filter (where value / 100 <= {b}) as le_{str(b).replace('.', '_')}" for b in health.BUCKETS)
+    'select event_type, count(*) as count, round(sum(value / 10), 4) as "sum", '
+    + ", ".join(f"count(*) filter (where value / 10 <= {b}) as le_{b.replace('.', '_')}" for b in _BOUNDS)
     + " from events group by 1",
 )
 def http_status_histogram(spark, sf_dir):
-    return health.request_histogram(table(spark, sf_dir, "events"), "event_type", F.col("value") / 100).drop("sum")
+    out = health.request_histogram(table(spark, sf_dir, "events"), "event_type", F.col("value") / 10)
+    return out.withColumn("sum", F.round("sum", 4))
 
 
 @_query(
@@ -332,16 +456,37 @@ def http_status_histogram(spark, sf_dir):
 )
 def http_request_counts(spark, sf_dir):
     status = F.when(F.col("event_id") % 7 == 0, 400).otherwise(202)
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("route"), status.alias("status")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), status.alias("status"))
+    return health.outcome_counts(rows, ["route", "status"])
 
 
 @_query(
     "connector_outcomes",
-    "select event_type as connector, case when event_id % 4 = 0 then 'failure' else 'success' end as outcome, count(*) as n, max(event_id) as last from events group by 1, 2",
+    "select event_type as connector, case when event_id % 4 = 0 then 'failure' else 'success' end as outcome,"
+    " case when event_id % 12 = 0 then 'timeout' when event_id % 4 = 0 then 'unknown' else 'none' end as reason, count(*) as n from events group by 1, 2, 3",
 )
 def connector_outcomes(spark, sf_dir):
-    outcome = F.when(F.col("failed"), "failure").otherwise("success").alias("outcome")
-    return _actions(spark, sf_dir).groupBy("connector", outcome).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    message = F.when(F.col("event_id") % 3 == 0, "Request timed out").otherwise("connection refused")
+    reason = F.when(F.col("failed"), scalars.failure_reason(F.lit("message"), message)).otherwise("none")
+    outcome = F.when(F.col("failed"), "failure").otherwise("success")
+    rows = _actions(spark, sf_dir).withColumns({"outcome": outcome, "reason": reason})
+    return health.outcome_counts(rows, ["connector", "outcome", "reason"])
+
+
+@_query(
+    "metric_gauges",
+    "select event_type as transport, user_id % 4 as client, arg_max(value, event_id) as value from events group by 1, 2",
+)
+def metric_gauges(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("transport"), (F.col("user_id") % 4).alias("client"), "value", "event_id"
+    )
+    return health.last_values(rows, ["transport", "client"], "value", "event_id")
+
+
+@_query("state_gauges", f"select s_suppkey, {_RANKS} as gauge from supplier")
+def state_gauges(spark, sf_dir):
+    return health.state_gauge(_endpoints(spark, sf_dir), health.ENDPOINT_RANK).select("s_suppkey", "gauge")
 
 
 @_query(
@@ -355,7 +500,8 @@ def connector_inventory(spark, sf_dir):
 
 @_query(
     "route_requires",
-    "select * from (values ('audit_record', 'papers,scores,state'), ('alert_pipeline', 'lake,queue'), ('collect_record', 'bus'), ('fan_out', 'bus'), ('notify_mail', 'post'), ('persist_record', 'rows'), ('relay_record', 'lake'), ('sensor_ingest', 'facts,field')) as t(route, connectors)",
+    "select * from (values ('accept_parcel', 'belt'), ('announce_parcel', 'desk'), ('declare_parcel', 'customs'), ('file_parcel', 'board,folder,tariff'),"
+    " ('inspect_parcel', 'customs,yard'), ('pack_parcel', ''), ('split_parcel', 'belt'), ('store_parcel', 'shelf'), ('watch_scale', 'ledger,scale')) as t(route, connectors)",
 )
 def route_requires(spark, sf_dir):
     routes = document().routes.values()
@@ -387,8 +533,29 @@ def ack_gap_report(spark, sf_dir):
 
 @_query(
     "validation_unknown_refs",
-    "select o_custkey, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_custkey % 3 <> 0) group by 1",
+    "select o_custkey as name, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_custkey % 3 <> 0) group by 1",
 )
 def validation_unknown_refs(spark, sf_dir):
-    known = table(spark, sf_dir, "customer").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(known, "o_custkey", "left_anti").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    known = table(spark, sf_dir, "customer").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("name"))
+    used = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"))
+    return records.unknown_references(used, known, "name")
+
+
+@_query(
+    "endpoint_dependents",
+    f"select s_suppkey as endpoint, n_name as route, {_RANKS} as gauge from supplier join nation on n_nationkey = s_nationkey",
+)
+def endpoint_dependents(spark, sf_dir):
+    edges = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"))
+    edges = edges.select(F.col("n_name").alias("route"), F.col("s_suppkey").alias("endpoint"))
+    states = _endpoints(spark, sf_dir).withColumnRenamed("s_suppkey", "endpoint").select("endpoint", "state")
+    return health.state_gauge(health.dependents(states, edges), health.ENDPOINT_RANK).select("endpoint", "route", "gauge")
+
+
+@_query(
+    "enrichment_lookup",
+    "select event_id, user_id, c_name as name, case when c_custkey is null then 'MissingPath' end as error from events left join customer on c_custkey = user_id",
+)
+def enrichment_lookup(spark, sf_dir):
+    facts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return records.enrich(table(spark, sf_dir, "events").select("event_id", "user_id"), facts, ["user_id"])

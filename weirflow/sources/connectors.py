@@ -15,7 +15,7 @@ def kafka_security(options: dict) -> str:
 
 def kafka_options(connector: Connector, idempotent: bool = False) -> dict[str, str]:
     """Spark options of a Kafka connector; unknown options pass through."""
-    own = dict(connector.options.get("options") or {})
+    own = dict(connector.options)
     brokers = own.pop("brokers", [])
     brokers = [b.strip() for b in brokers.split(",")] if isinstance(brokers, str) else brokers
     out = {"kafka.bootstrap.servers": ",".join(b for b in brokers if b), "kafka.security.protocol": kafka_security(own)}
@@ -43,6 +43,6 @@ def files(spark: SparkSession, path: str, kind: str = "parquet", schema=None, st
 
 def jdbc_options(connector: Connector, table: str) -> dict[str, str]:
     """JDBC options of a Postgres or MariaDB connector."""
-    own = connector.options.get("options") or {}
+    own = connector.options
     schema = own.get("schema")
     return {"url": str(own["url"]), "dbtable": f"{schema}.{table}" if schema else table}
