@@ -4,13 +4,15 @@ A language is a distribution over the pieces of a fixed public vocabulary. The
 probability of a word (with the blank before it) is the sum over all of its
 segmentations into pieces, got by the forward algorithm; the piece probabilities
 come from expected counts (EM) over labelled words. A text's score is the sum
-over all of its words. The recursion runs over many distinct words at once.
+over all of its words. The recursion runs over many distinct words at once, with
+scaled probabilities; words beyond ``SHORT`` bytes, as of scripts without blanks,
+are summed one by one in logarithms. Nothing is cut: a word may have any length.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import lean, prepare, text_buffer
+from weirflow.llm.common import fresh, lean, prepare, text_buffer
 from weirflow.llm.tokens import _BASE, _INVERSE, SPACED_LOWER, U, mix, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Labelled documents of a language that are expected in the training sample.
 TRAIN_DOCS = 150
-#: Bytes of a piece; longer ones of the vocabulary are left out.
-PIECE = 12
-#: Bytes of a word that are scored together; longer words are cut.
-WORD = 48
+#: Bytes of a word, with its blank, up to which scaled sums cannot leave the range of doubles.
+SHORT = 48
+#: Short words that are summed together, and bytes of a long one whose pieces are looked up together.
+_WORDS, _STRETCH = 5_000, 1 << 16
 ROUNDS = 3
 _FLOOR = 0.01
 #: Scale of a byte, against underflow.
@@ -36,8 +38,8 @@ _SCALE = 2000.0
 _CACHE = 200_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_UP = np.cumprod(np.concatenate([[U(1)], np.full(1 << 21, _BASE)]), dtype=np.uint64)
-_DOWN = np.cumprod(np.concatenate([[U(1)], np.full(1 << 21, _INVERSE)]), dtype=np.uint64)
+_UP = np.cumprod(np.concatenate([[U(1)], np.full(1 << 18, _BASE)]), dtype=np.uint64)
+_DOWN = np.cumprod(np.concatenate([[U(1)], np.full(1 << 18, _INVERSE)]), dtype=np.uint64)
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -50,52 +52,65 @@ def _sums(data: np.ndarray) -> np.ndarray:
 class Pieces:
     """Vocabulary pieces by length: their sorted hashes and numbers."""
 
-    hashes: list[np.ndarray]
-    numbers: list[np.ndarray]
+    hashes: dict[int, np.ndarray]
+    numbers: dict[int, np.ndarray]
     count: int
 
     @classmethod
     def load(cls, path: str) -> Pieces:
-        """Pieces of a rank file (base64 text and rank in a line), and all single bytes."""
-        pieces = {bytes([b]) for b in range(256)}
+        """Pieces of a rank file (base64 text and rank in a line), and all single bytes.
+
+        A word has white space nowhere but in front, so pieces that hold some
+        further on occur in none and are passed over.
+        """
         with open(path, "rb") as lines:
-            pieces.update(p for p in (base64.b64decode(x.split()[0]) for x in lines) if len(p) <= PIECE)
+            return cls.of(p for p in (base64.b64decode(x.split()[0]) for x in lines) if len(p[1:].split()) == 1 and p[1:] == p[1:].strip())
+
+    @classmethod
+    def of(cls, given: Iterable[bytes]) -> Pieces:
+        """The given pieces and all single bytes."""
+        pieces = {bytes([b]) for b in range(256)} | set(given)
         ordered = sorted(pieces, key=lambda p: (len(p), p))
-        hashes: list[np.ndarray] = [np.zeros(0, np.uint64)]
-        numbers: list[np.ndarray] = [np.zeros(0, np.int64)]
+        hashes: dict[int, np.ndarray] = {}
+        numbers: dict[int, np.ndarray] = {}
         at = 0
-        for length in range(1, PIECE + 1):
+        for length in sorted({len(p) for p in ordered}):
             same = [p for p in ordered if len(p) == length]
             data = np.frombuffer(b"".join(same), np.uint8).reshape(len(same), length)
             h = np.zeros(len(same), np.uint64)
             for j in range(length):
                 h += mix(data[:, j].astype(np.uint64) + U(1)) * _UP[j]
             order = np.argsort(h)
-            hashes.append(h[order])
-            numbers.append(order + at)
+            hashes[length] = h[order]
+            numbers[length] = order + at
             at += len(same)
         return cls(hashes, numbers, at)
 
+    def ending(self, total: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the places ``last`` end a piece of that length, and its number; ``total``: prefix sums."""
+        known = self.hashes[length]
+        first = last - length + 1
+        h = (total[last + 1] - total[first]) * _DOWN[first]
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        good = known[at] == h
+        return last[good], self.numbers[length][at[good]].astype(np.int32)
+
 
 class Lattice:
-    """All pieces that end at each byte of a list of words."""
+    """All pieces that end at each byte of a list of short words."""
 
     def __init__(self, pieces: Pieces, data: np.ndarray, offsets: np.ndarray):
         self.offsets, self.sizes = offsets, np.diff(offsets)
         self.order = np.argsort(-self.sizes, kind="stable")
-        n = len(data)
+        self.bytes = n = len(data)
         total = _sums(data)
         inner = np.arange(n) - np.repeat(offsets[:-1], self.sizes)
-        self.piece = np.full((PIECE + 1, n), -1, np.int32)  # by length, at the last byte
-        for length in range(1, PIECE + 1):
-            known = pieces.hashes[length]
-            last = np.flatnonzero(inner >= length - 1)
-            if not len(last) or not len(known):
-                continue
-            first = last - length + 1
-            h = (total[last + 1] - total[first]) * _DOWN[first]
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            self.piece[length, last] = np.where(known[at] == h, pieces.numbers[length][at], -1)
+        self.piece: dict[int, np.ndarray] = {}  # by length, at the last byte
+        for length in pieces.hashes:
+            last, number = pieces.ending(total, np.flatnonzero(inner >= length - 1), length)
+            if len(last):
+                self.piece[length] = np.full(n, -1, np.int32)
+                self.piece[length][last] = number
 
     def _steps(self) -> Iterator[tuple[int, np.ndarray]]:
         """For each place in a word: the first bytes of the words that reach it."""
@@ -106,12 +121,13 @@ class Lattice:
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
         """Sum over segmentations up to each byte; ``probability``: pieces x languages, scaled."""
-        n = self.piece.shape[1]
-        alpha = np.zeros((n, probability.shape[1]))
+        alpha = np.zeros((self.bytes, probability.shape[1]))
         for t, starts in self._steps():
             here = starts + t
-            for length in range(1, min(PIECE, t + 1) + 1):
-                p = self.piece[length, here]
+            for length, piece in self.piece.items():
+                if length > t + 1:
+                    continue
+                p = piece[here]
                 hit = np.flatnonzero(p >= 0)
                 if not len(hit):
                     continue
@@ -123,13 +139,14 @@ class Lattice:
 
     def backward(self, probability: np.ndarray) -> np.ndarray:
         """Sum over segmentations of what follows each byte."""
-        n = self.piece.shape[1]
-        beta = np.zeros((n, probability.shape[1]))
+        beta = np.zeros((self.bytes, probability.shape[1]))
         beta[self.offsets[1:] - 1] = 1.0
         for t, starts in reversed(list(self._steps())):
             here = starts + t
-            for length in range(1, min(PIECE, t) + 1):
-                p = self.piece[length, here]
+            for length, piece in self.piece.items():
+                if length > t:
+                    continue
+                p = piece[here]
                 hit = np.flatnonzero(p >= 0)
                 if len(hit):
                     beta[here[hit] - length] += probability[p[hit]] * beta[here[hit]]
@@ -140,55 +157,127 @@ class Lattice:
         ends = self.forward(probability)[self.offsets[1:] - 1]
         return np.log(np.maximum(ends, 1e-300)) - self.sizes[:, None] * np.log(_SCALE)
 
+    def expected(self, probability: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+        """Add to ``out`` how often each piece is expected in the words; ``probability``: pieces x 1."""
+        alpha, beta = self.forward(probability)[:, 0], self.backward(probability)[:, 0]
+        total = np.maximum(alpha[self.offsets[1:] - 1], 1e-300)
+        each = np.repeat(weight / total, self.sizes)
+        inner = np.arange(len(alpha)) - np.repeat(self.offsets[:-1], self.sizes)
+        for length, piece in self.piece.items():
+            last = np.flatnonzero(piece >= 0)
+            p = piece[last]
+            before = np.where(inner[last] >= length, alpha[last - length], 1.0)
+            out += np.bincount(p, before * probability[p, 0] * beta[last] * each[last], minlength=len(out))
+
+
+class LongWord:
+    """One long word, in logarithms; its pieces are looked up stretch by stretch."""
+
+    def __init__(self, pieces: Pieces, data: np.ndarray):
+        self.pieces, self.data = pieces, data
+        self.longest = max(pieces.hashes)
+
+    def _stretches(self, backwards: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(low, bounds, length, number)``: the pieces that end at the places from ``low`` on."""
+        lows = range(0, len(self.data), _STRETCH)
+        for low in reversed(lows) if backwards else lows:
+            high = min(len(self.data), low + _STRETCH)
+            base = max(0, low - self.longest + 1)
+            total = _sums(self.data[base:high])
+            found = []
+            for length in self.pieces.hashes:
+                last = np.arange(max(low, length - 1), high) - base
+                if len(last):
+                    at, number = self.pieces.ending(total, last, length)
+                    found.append((at + base - low, np.full(len(at), length), number))
+            place, length, number = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(place, kind="stable")
+            yield low, np.searchsorted(place[order], np.arange(high - low + 1)), length[order], number[order]
+
+    def forward(self, logs: np.ndarray, keep: bool = False) -> np.ndarray:
+        """Log sums over segmentations: of the whole word, or up to each byte; ``logs``: pieces x languages."""
+        ring = len(self.data) + 1 if keep else _STRETCH + self.longest
+        alpha = np.full((ring, logs.shape[1]), -np.inf)
+        alpha[0] = 0.0  # the row of a place is its number plus one
+        start = 0
+        for low, bounds, length, number in self._stretches():
+            if not keep and low:  # only the last rows are needed further on
+                tail = alpha[low - start - self.longest + 1 : low - start + 1].copy()
+                alpha[: len(tail)], start = tail, low - self.longest + 1
+            values = logs[number]
+            for t in range(len(bounds) - 1):
+                s, e = bounds[t], bounds[t + 1]
+                at = low + t + 1 - start
+                alpha[at] = np.logaddexp.reduce(values[s:e] + alpha[at - length[s:e]], axis=0)
+        return alpha if keep else alpha[len(self.data) - start]
+
+    def expected(self, logs: np.ndarray, weight: float, out: np.ndarray) -> None:
+        """As :meth:`Lattice.expected`."""
+        alpha = self.forward(logs, keep=True)[:, 0]
+        beta = np.full(len(alpha), -np.inf)
+        beta[-1] = 0.0
+        for low, bounds, length, number in self._stretches(backwards=True):
+            for t in range(len(bounds) - 2, -1, -1):
+                s, e = bounds[t], bounds[t + 1]
+                at = low + t + 1
+                value = logs[number[s:e], 0] + beta[at]
+                np.add.at(out, number[s:e], weight * np.exp(alpha[at - length[s:e]] + value - alpha[-1]))
+                beta[at - length[s:e]] = np.logaddexp(beta[at - length[s:e]], value)
+
 
 def _scaled(pieces: Pieces, share: np.ndarray) -> np.ndarray:
     length = np.empty(pieces.count)
-    for k, numbers in enumerate(pieces.numbers):
+    for k, numbers in pieces.numbers.items():
         length[numbers] = k
-    return share * (_SCALE ** length)[:, None]
+    with np.errstate(over="ignore"):  # pieces beyond SHORT stand in long words only
+        return share * (_SCALE ** np.minimum(length, SHORT))[:, None]
 
 
-def _cut(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words as bytes with a blank before, in parts of ``WORD`` bytes; the word of each part."""
-    parts, owner = [], []
-    for i, word in enumerate(raw):
-        word = b" " + word
-        for at in range(0, len(word), WORD):
-            parts.append(word[at : at + WORD])
-            owner.append(i)
-    data = _LOWER[np.frombuffer(b"".join(parts), np.uint8)]
-    return data, np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.array(owner, np.int64)
+def _joined(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words as bytes with a blank before."""
+    data = _LOWER[np.frombuffer(b"".join(b" " + w for w in raw), np.uint8)]
+    return data, np.concatenate([[0], np.cumsum([len(w) + 1 for w in raw])]).astype(np.int64)
+
+
+def _long(word: bytes) -> bool:
+    return len(word) >= SHORT
 
 
 def fit(pieces: Pieces, samples: dict[str, tuple[list[bytes], np.ndarray]], rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities (pieces x languages, scaled) from words and their counts."""
+    """Piece probabilities (pieces x languages) from words and their counts."""
     columns = []
     for words_, counts in samples.values():
         share = np.full((pieces.count, 1), 1.0 / pieces.count)
-        lattices = []
-        for low in range(0, len(words_), 20_000):
-            data, offsets, owner = _cut(words_[low : low + 20_000])
-            lattices.append((Lattice(pieces, data, offsets), counts[low + owner]))
+        short = [i for i, w in enumerate(words_) if not _long(w)]
         for _ in range(rounds):
-            scaled = _scaled(pieces, share)
             expected = np.zeros(pieces.count)
-            for lattice, weight in lattices:
-                alpha, beta = lattice.forward(scaled)[:, 0], lattice.backward(scaled)[:, 0]
-                total = np.maximum(alpha[lattice.offsets[1:] - 1], 1e-300)
-                each = np.repeat(weight / total, lattice.sizes)
-                inner = np.arange(len(alpha)) - np.repeat(lattice.offsets[:-1], lattice.sizes)
-                for length in range(1, PIECE + 1):
-                    last = np.flatnonzero(lattice.piece[length] >= 0)
-                    p = lattice.piece[length, last]
-                    before = np.where(inner[last] >= length, alpha[last - length], 1.0)
-                    expected += np.bincount(
-                        p, before * scaled[p, 0] * beta[last] * each[last], minlength=pieces.count
-                    )
+            scaled, logs = _scaled(pieces, share), np.log(share)
+            for low in range(0, len(short), _WORDS):  # made anew each round, as the driver holds one at a time
+                some = short[low : low + _WORDS]
+                Lattice(pieces, *_joined([words_[i] for i in some])).expected(scaled, counts[some], expected)
+            for word, weight in zip(words_, counts, strict=True):
+                if _long(word):
+                    LongWord(pieces, _joined([word])[0]).expected(logs, weight, expected)
             share = (expected + _FLOOR)[:, None] / (expected.sum() + _FLOOR * pieces.count)
-        columns.append(_scaled(pieces, share))
+        columns.append(share)
     return np.concatenate(columns, axis=1) if columns else np.zeros((pieces.count, 0))
 
 
+def word_scores(pieces: Pieces, share: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """Log probability of each word in each language: the sum over all of its segmentations."""
+    scores = np.zeros((len(raw), share.shape[1]))
+    scaled, logs = _scaled(pieces, share), None
+    short = [i for i, w in enumerate(raw) if not _long(w)]
+    for low in range(0, len(short), _WORDS):
+        some = short[low : low + _WORDS]
+        scores[some] = Lattice(pieces, *_joined([raw[i] for i in some])).scores(scaled)
+    for i, word in enumerate(raw):
+        if _long(word):
+            logs = np.log(share) if logs is None else logs
+            scores[i] = LongWord(pieces, _joined([word])[0]).forward(logs)
+    return scores
+
+
 @dataclass
 class Model:
     """Learned languages over the pieces of a vocabulary."""
@@ -248,7 +337,7 @@ def train(labelled: DataFrame, vocabulary: str = VOCABULARY, per_language: int =
     return Model(languages, pieces, fit(pieces, samples))
 
 
-def _predict(broadcast):
+def _predict(broadcast, guess: str):
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = broadcast.value
@@ -262,29 +351,14 @@ def _predict(broadcast):
                 if len(known) > _CACHE:
                     known.clear()
                 keys = values.tolist()
-                fresh = [i for i, h in enumerate(keys) if h not in known]
-                for part in range(0, len(fresh), 20_000):
-                    some = fresh[part : part + 20_000]
-                    raw = [data[starts[at[i]] : ends[at[i]]].tobytes() for i in some]
-                    size = 0  # a block of very long words is cut smaller
-                    groups: list[list[int]] = [[]]
-                    for j, word in enumerate(raw):
-                        if size > 1 << 20:
-                            groups.append([])
-                            size = 0
-                        groups[-1].append(j)
-                        size += len(word) + 1
-                    for group in groups:
-                        scores = np.zeros((len(group), len(model.languages)))
-                        for piece in _slices([raw[j] for j in group]):
-                            cut, bounds, owner = _cut_parts(piece)
-                            np.add.at(scores, owner, Lattice(model.pieces, cut, bounds).scores(model.probability))
-                        for j, score in zip(group, scores, strict=True):
-                            place = len(known)
-                            if place >= len(table):
-                                table = np.concatenate([table, np.zeros_like(table)])
-                            table[place] = score
-                            known[keys[some[j]]] = place
+                unseen = [i for i, h in enumerate(keys) if h not in known]
+                raw = [data[starts[at[i]] : ends[at[i]]].tobytes() for i in unseen]
+                for i, score in zip(unseen, word_scores(model.pieces, model.probability, raw), strict=True):
+                    place = len(known)
+                    if place >= len(table):
+                        table = np.concatenate([table, np.zeros_like(table)])
+                    table[place] = score
+                    known[keys[i]] = place
                 places = np.array([known[h] for h in keys], np.int64)
                 total = np.zeros((len(hashes) + 1, len(model.languages)))
                 np.cumsum(table[places][inverse], axis=0, out=total[1:])
@@ -299,55 +373,37 @@ def _predict(broadcast):
                     pa.array(best, pa.string()),
                     pa.array(np.concatenate(share) if share else np.zeros(0)),
                 ],
-                [*(c for c in batch.schema.names if c != "text"), "__guess", "__share"],
+                [*(c for c in batch.schema.names if c != "text"), guess, f"{guess}_share"],
             )
 
     return scan
 
 
-def _slices(raw: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
-    """Parts of words in lists of at most about a megabyte: ``(word, part)``."""
-    out: list[tuple[int, bytes]] = []
-    size = 0
-    for i, word in enumerate(raw):
-        word = b" " + word
-        for at in range(0, len(word), WORD):
-            out.append((i, word[at : at + WORD]))
-            size += WORD
-            if size > 1 << 20:
-                yield out
-                out, size = [], 0
-    if out:
-        yield out
-
-
-def _cut_parts(parts: list[tuple[int, bytes]]):
-    data = _LOWER[np.frombuffer(b"".join(p for _, p in parts), np.uint8)]
-    bounds = np.concatenate([[0], np.cumsum([len(p) for _, p in parts])]).astype(np.int64)
-    return data, bounds, np.array([i for i, _ in parts], np.int64)
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the posterior of the prediction.
 
-    Only the text is looked at. ``und`` with score 0 if it is null or has no
-    letters, or if no language was learned. On a tie the first language in
-    alphabetical order wins.
+    Only the text is looked at, all of it. ``und`` with score 0 if it is null or
+    has no letters, or if no language was learned. On a tie the first language in
+    alphabetical order wins. Repeated rows are judged alike, a table without rows
+    gives none. Other columns are kept, but for ``text`` and two of the new names.
     """
     spark = prepare(docs.sparkSession)
     if not model.languages:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.drop("text").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     kept = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
+    own = fresh(docs.columns)
     renamed = docs.select(F.col("text").cast("string").alias("text"), *(F.col(c) for c in kept))
-    renamed = renamed.withColumn("__letters", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    renamed = renamed.withColumn(f"{own}letters", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema if f.name != "text")
+    guess = f"{own}guess"
     scored = renamed.mapInArrow(
-        _predict(spark.sparkContext.broadcast(model)), f"{fields}, __guess string, __share double"
+        _predict(spark.sparkContext.broadcast(model), guess), f"{fields}, `{guess}` string, `{guess}_share` double"
     )
+    letters = F.col(f"{own}letters")
     return scored.select(
         *kept,
-        F.when(F.col("__letters"), F.col("__guess")).otherwise(F.lit("und")).alias("lang_pred"),
-        F.when(F.col("__letters"), F.col("__share")).otherwise(F.lit(0.0)).alias("score"),
+        F.when(letters, F.col(guess)).otherwise(F.lit("und")).alias("lang_pred"),
+        F.when(letters, F.col(f"{guess}_share")).otherwise(F.lit(0.0)).alias("score"),
     )
 
 
