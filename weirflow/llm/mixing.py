@@ -3,13 +3,16 @@
 A classifier learned from the labelled table gives each document a posterior
 over domains. Document rates r >= 0 are fitted so that the expected tokens of
 each domain, sum of r * tokens * posterior, match the targets: least squares by
-projected gradient. A step needs the few domain totals only, one aggregate over
-all documents; the rates themselves never leave their rows. Steps are scaled by
-a document's tokens, so documents of equal posteriors get equal rates.
+projected gradient with momentum, which starts anew where it leads uphill. A step
+needs the few domain totals only, one aggregate over all documents; the rates
+themselves never leave their rows. Steps are scaled by a document's tokens, so
+documents of equal posteriors get equal rates.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer
@@ -17,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import materialise
+from weirflow.llm.common import forget, materialise
 
 #: Domains of the labelled table, in the order of their class numbers.
 DOMAINS = ("good", "poor", "toxic")
@@ -28,7 +31,9 @@ TRAIN_DOCS = 3000
 #: Words that are features: the most frequent of those in so many sample documents.
 FEATURES, MIN_DOCS = 1 << 13, 5.0
 #: The fit ends when no domain is off by more than this share of all target tokens.
-TOLERANCE, STEPS = 1e-4, 60
+TOLERANCE = 1e-4
+#: Steps at most, and those within which the misfit must shrink by a hundredth, else the targets are out of reach.
+STEPS, PATIENCE = 150, 30
 #: Steps after which rates are written down, so that expressions stay short.
 _WRITE_EVERY = 6
 
@@ -76,30 +81,34 @@ def train(docs: DataFrame, labels: DataFrame, per_domain: int = TRAIN_DOCS) -> P
 
 
 def memberships(docs: DataFrame, model: PipelineModel | None) -> DataFrame:
-    """``doc_id, tokens, p`` of each row: words between white space and the posterior over domains.
+    """``doc_id, text_id, tokens, p`` of each row: a hash of the text, words between white space, the posterior over domains.
 
     A null text has no tokens. Without a model every document is of the first domain.
     """
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     tokens = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
     base = base.withColumn("tokens", tokens)
     if model is None:
         certain = [1.0] + [0.0] * (len(DOMAINS) - 1)
-        return base.select("doc_id", "tokens", F.array(*map(F.lit, certain)).alias("p"))
+        return base.select("doc_id", "text_id", "tokens", F.array(*map(F.lit, certain)).alias("p"))
     p = vector_to_array("probability")
     classes = model.stages[-1].numClasses
     every = F.array(*(p[i] if i < classes else F.lit(0.0) for i in range(len(DOMAINS))))
-    return model.transform(base).select("doc_id", "tokens", every.alias("p"))
+    return model.transform(base).select("doc_id", "text_id", "tokens", every.alias("p"))
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``members(doc_id, tokens, p)`` with ``rate``: expected domain tokens in proportion to ``targets``.
+    """``members(doc_id, text_id, tokens, p)`` with ``rate``: expected domain tokens in proportion to ``targets``.
 
     The mixed corpus is as large as it can be with no domain needing more tokens
-    than there are. Documents without tokens keep the rate 1.
+    than there are. Documents without tokens keep the rate 1. ``residual`` is the
+    greatest share of all target tokens by which a domain misses its target: next
+    to nothing, or what no nonnegative rates can mend, as where posteriors are all
+    alike.
     """
     total = sum(targets.values())
     if total <= 0:
@@ -107,44 +116,57 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS) -> DataFr
     share = [targets.get(d, 0.0) / total for d in DOMAINS]
     members = materialise(
         members.select(
-            "doc_id", "tokens", *(F.col("p")[i].alias(f"p{i}") for i in range(len(DOMAINS))), F.lit(1.0).alias("rate")
+            "doc_id", "text_id", "tokens", *(F.col("p")[i].alias(f"p{i}") for i in range(len(DOMAINS))),
+            F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"),
         ),
         "members",
-    )
+    )
+    rate, ahead = F.col("rate"), F.col("ahead")
 
-    def totals(rate) -> list[float]:
-        row = members.agg(
-            *(F.sum(rate * F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in range(len(DOMAINS)))
-        ).first()
-        return [x or 0.0 for x in row]
+    def totals(at, *more) -> list[float]:
+        """Expected tokens of each domain at the rates ``at``, and sums of ``more``."""
+        expected = (at * F.col("tokens") * F.col(f"p{i}") for i in range(len(DOMAINS)))
+        return [x or 0.0 for x in members.agg(*(F.sum(x).alias(f"t{i}") for i, x in enumerate((*expected, *more)))).first()]
 
-    rate = F.col("rate")
-    have = totals(rate)
+    have = at_ahead = totals(rate)
     wanted = min((h / s for h, s in zip(have, share, strict=True) if s > 0), default=0.0)
     target = [wanted * s for s in share]
     # Residuals are weighed by the domains' own tokens, which makes the problem well conditioned.
     weight = [1.0 / h if h > 0 else 0.0 for h in have]
+    misfit = [max((abs(h - t) for h, t in zip(have, target, strict=True)), default=0.0) / wanted if wanted > 0 else 0.0]
+    momentum = 1.0
     for step in range(1, STEPS + 1):
-        off = [h - t for h, t in zip(have, target, strict=True)]
-        if wanted <= 0 or max(map(abs, off)) <= TOLERANCE * wanted:
+        if misfit[-1] <= TOLERANCE or (len(misfit) > PATIENCE and min(misfit[-PATIENCE:]) > 0.99 * min(misfit[:-PATIENCE])):
             break
         gradient = sum(
-            (F.lit(w * o) * F.col(f"p{i}") for i, (w, o) in enumerate(zip(weight, off, strict=True))), F.lit(0.0)
+            (F.lit(w * (h - t)) * F.col(f"p{i}") for i, (w, h, t) in enumerate(zip(weight, at_ahead, target, strict=True))),
+            F.lit(0.0),
         )
-        rate = F.greatest(F.lit(0.0), rate - gradient)
+        stepped = F.greatest(F.lit(0.0), ahead - gradient)
+        *now, uphill = totals(stepped, F.col("tokens") * (ahead - stepped) * (stepped - rate))
+        momentum = 1.0 if uphill > 0 else momentum
+        grown = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+        push, momentum = (momentum - 1) / grown, grown
+        # Totals are linear in the rates, so those at the next point need no aggregate.
+        at_ahead = [n + push * (n - h) for n, h in zip(now, have, strict=True)]
+        ahead, rate, have = stepped + F.lit(push) * (stepped - rate), stepped, now
+        misfit.append(max(abs(h - t) for h, t in zip(have, target, strict=True)) / wanted)
         if step % _WRITE_EVERY == 0:
-            members = materialise(members.withColumn("rate", rate), "members")
-            rate = F.col("rate")
-        have = totals(rate)
+            before, members = members, materialise(members.withColumns({"rate": rate, "ahead": ahead}), "members")
+            forget(before)
+            rate, ahead = F.col("rate"), F.col("ahead")
     fitted = F.when(F.col("tokens") > 0, rate).otherwise(F.lit(1.0))
-    return members.select("doc_id", "tokens", *(f"p{i}" for i in range(len(DOMAINS))), fitted.alias("rate"))
+    shares = (f"p{i}" for i in range(len(DOMAINS)))
+    return members.select("doc_id", "text_id", "tokens", *shares, fitted.alias("rate"), F.lit(misfit[-1]).alias("residual"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``doc_id, tokens, p_<domain>..., rate`` for each row of ``docs``.
+    """``doc_id, text_id, tokens, p_<domain>..., rate, residual`` for each row of ``docs``.
 
-    Rows that share an id, or have none, each get a rate of their own text.
-    Other columns are ignored.
+    ``text_id`` is a hash of the text, see :func:`fit_rates` for the others. Rows
+    that share an id, or have none, each get a rate of their own text; equal rows
+    get equal rates. A table without rows gives none, one without labels of two
+    domains has documents of the first domain only. Other columns are ignored.
     """
     fitted = fit_rates(memberships(docs, train(docs, labels)), targets)
     return fitted.withColumnsRenamed({f"p{i}": f"p_{d}" for i, d in enumerate(DOMAINS)})
