@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm.anchors import Unit, _pieces
-from weirflow.llm.common import lean, prepare, text_buffer
+from weirflow.llm.common import fresh, lean, prepare, text_buffer
 from weirflow.llm.tokens import ALNUM_LOWER, grams, row_ends, words
 
 #: Words of a window, and of the grams that fingerprints hash.
@@ -249,7 +249,8 @@ def find_leaks(
     """Benchmark windows in documents.
 
     Args:
-        docs: ``doc_id`` and ``text``; of the other columns those in ``carry`` are passed on.
+        docs: ``doc_id`` and ``text``; of the other columns those in ``carry`` are passed on,
+            which may not be named as what is returned.
         benchmark: ``item_id`` and ``text``; rows without an id or words match
             nothing, repeated rows count once.
 
@@ -258,6 +259,8 @@ def find_leaks(
     for each row of ``docs``. A null text has no words.
     """
     spark = prepare(docs.sparkSession)
+    if clash := {"doc_id", "text", *_OUT} & {c.lower() for c in carry}:
+        raise ValueError(f"columns {', '.join(sorted(clash))} cannot be carried under these names")
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry
     )
@@ -275,20 +278,19 @@ def find_leaks(
     counts = items.select("text").mapInArrow(_word_counts, "n long").where(f"n between 1 and {WINDOW - 1}")
     lengths = tuple(sorted(r[0] for r in counts.distinct().collect()))
     # Rows without an id are known by their text; a clash only adds items to look for.
-    keyed = docs.withColumn("__row", F.coalesce("doc_id", F.xxhash64("text")))
-    ours = keyed.select("__row", "text").mapInArrow(
-        _fingerprints("__row", lengths, False), "__row long, print long"
-    )
+    row = f"{fresh(docs.columns)}row"
+    keyed = docs.withColumn(row, F.coalesce("doc_id", F.xxhash64("text")))
+    ours = keyed.select(row, "text").mapInArrow(_fingerprints(row, lengths, False), f"`{row}` long, print long")
     theirs = items.mapInArrow(_fingerprints("item_id", lengths, True), "item_id string, print long")
     met = (
         ours.join(theirs, "print")
-        .select("__row", "item_id")
+        .select(row, "item_id")
         .distinct()
         .join(items.withColumnRenamed("text", "item_text"), "item_id")
-        .groupBy("__row")
+        .groupBy(row)
         .agg(F.collect_set(F.struct("item_id", "item_text")).alias("met"))
     )
-    return keyed.join(met, "__row", "left").drop("__row").mapInArrow(_with_own_items, out)
+    return keyed.join(met, row, "left").drop(row).mapInArrow(_with_own_items, out)
 
 
 #: A document is contaminated if hits are a twentieth of its words or more.

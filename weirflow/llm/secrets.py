@@ -201,9 +201,11 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
 
     Spans are sorted by start, then by the order of the rules; places count code
     points, ends are exclusive. A null text is empty. Rows that share an id, or
-    have none, are scanned each for themselves. Other columns are ignored.
+    have none, are scanned each for themselves. A table without rows gives none,
+    other columns are ignored.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    # Rows without an id are known by their text; a clash only adds candidates, which are verified.
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), key.alias("key"))
     joined = base.join(candidates(base.select("key", "text"), rules).hint("shuffle_hash"), "key", "left")
     empty = F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint>>)")
