@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import decontaminate, langid, line_dedup, minhash, mixing
-from weirflow.llm.common import materialise
+from weirflow.llm.common import fresh, materialise
 
 #: Documents are near-duplicates from this similarity of their word shingles on, in percent.
 NEAR = 80
@@ -22,54 +22,78 @@ MOST_TOXIC = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go; a missing ``lang`` is filled in."""
+    """Documents without a language go; a missing ``lang`` is filled in.
+
+    A null or empty text has none. Repeated rows are judged alike.
+    """
     model = langid.train(docs)
-    marked = langid.identify(docs.withColumn("__body", F.col("text")), model)
+    own = fresh(docs.columns)
+    marked = langid.identify(docs.select(F.struct(*docs.columns).alias(f"{own}row"), "text"), model)
     sure = marked.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    columns = {"text": F.col("__body"), "lang": F.coalesce("lang", "lang_pred")}
-    return sure.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    row = F.col(f"{own}row")
+    columns = {"lang": F.coalesce(row["lang"], F.col("lang_pred"))}
+    return sure.select(*(columns.get(c, row[c]).alias(c) for c in docs.columns))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go, and documents of which nothing is left."""
-    out = line_dedup.remove_repeated_lines(docs)
+    """Later copies of repeated line runs go, and documents of which nothing is left.
+
+    Rows without a doc_id or text stay as they are.
+    """
+    own = fresh(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.struct(F.lit(0).alias(f"{own}none"), *others).alias(f"{own}row"), "doc_id", "text")
+    out = line_dedup.remove_repeated_lines(rows)
     nothing = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("kept", r"\s+", " ")) == "")
-    columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return out.where(~F.coalesce(nothing, F.lit(False))).select(
-        *(columns.get(c, F.col(c)).alias(c) for c in docs.columns)
-    )
+    row = F.col(f"{own}row")
+    length = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(row["n_chars"])
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": length}
+    left = out.where(~F.coalesce(nothing, F.lit(False)))
+    return left.select(*(columns.get(c, row[c]).alias(c) for c in docs.columns))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
+    """One document of each group of near-duplicates stays, that of the smallest id.
+
+    Rows without a doc_id stay; so do all rows of the document that stays.
+    """
     gone = minhash.near_duplicates(docs, NEAR).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; from the others benchmark passages are cut out."""
+    """Contaminated documents go; from the others benchmark passages are cut out.
+
+    A null text holds none and stays.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    carried = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    source = docs.withColumn("__body", F.col("text"))
-    found = decontaminate.find_leaks(source, benchmark, carry=(*carried, "__body"))
-    text = F.coalesce("cleaned", "__body")
-    columns = {"text": text, "n_chars": F.when(F.col("n_hit") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return found.where(~F.expr(decontaminate.CONTAMINATED)).select(
-        *(columns.get(c, F.col(c)).alias(c) for c in docs.columns)
-    )
+    own = fresh(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias(f"{own}row"), "doc_id", "text")
+    found = decontaminate.find_leaks(rows, benchmark, carry=(f"{own}row",))
+    row = F.col(f"{own}row")
+    text = F.coalesce("cleaned", row["text"])
+    columns = {"text": text, "n_chars": F.when(F.col("n_hit") > 0, F.length(text).cast("long")).otherwise(row["n_chars"])}
+    left = found.where(~F.expr(decontaminate.CONTAMINATED))
+    return left.select(*(columns.get(c, row[c]).alias(c) for c in docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the rate at which the mixture takes them; toxic ones go.
 
     Rates scale with the corpus's scarcest domain, so a document's own posterior
-    decides whether it stays.
+    decides whether it stays. Each row is judged by its own text, whether it has an
+    id or not; a null text is not toxic.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rates = mixing.mix(docs, labels).where("doc_id is not null").dropDuplicates(["doc_id"])
-    mixed = docs.join(rates.hint("shuffle_hash"), "doc_id", "left")
-    toxic = F.coalesce("p_toxic", F.lit(0.0)) > MOST_TOXIC
-    return mixed.withColumn("rate", F.coalesce("rate", F.lit(1.0))).where(~toxic)
+    own = fresh(docs.columns)
+    rates = mixing.mix(docs, labels).dropDuplicates(["doc_id", "text_id"]).select(
+        *(F.col(c).alias(own + c) for c in ("doc_id", "text_id", "p_toxic", "rate"))
+    )
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{own}doc_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col(f"{own}text_id"))
+    mixed = docs.drop("rate").join(rates.hint("shuffle_hash"), same, "left")
+    toxic = F.coalesce(F.col(f"{own}p_toxic"), F.lit(0.0)) > MOST_TOXIC
+    kept = [c for c in docs.columns if c != "rate"]
+    return mixed.where(~toxic).select(*kept, F.coalesce(F.col(f"{own}rate"), F.lit(1.0)).alias("rate"))
 
 
 STAGES = [

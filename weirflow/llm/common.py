@@ -74,21 +74,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 class Growing:
-    """One scratch table that rounds add rows to, read once at the end.
+    """One scratch table that rounds add rows to, one round at least, read once at the end.
 
     The plan that reads it is as small after many rounds as after one.
     """
 
     def __init__(self, spark: SparkSession, schema: str, name: str):
-        self._path = scratch_path(spark, name)
-        self._empty = spark.createDataFrame([], schema)
-        self._empty.write.parquet(self._path)
+        self._spark, self._schema, self._path = spark, schema, scratch_path(spark, name)
+        self._columns = [field.split()[0] for field in schema.split(", ")]
 
     def add(self, rows: DataFrame) -> None:
-        rows.select(*self._empty.columns).write.mode("append").option("compression", "zstd").parquet(self._path)
+        rows.select(*self._columns).write.mode("append").option("compression", "zstd").parquet(self._path)
 
     def read(self) -> DataFrame:
-        return self._empty.sparkSession.read.schema(self._empty.schema).parquet(self._path)
+        return self._spark.read.schema(self._schema).parquet(self._path)
 
 
 def fresh(columns: list[str], stem: str = "__") -> str:
