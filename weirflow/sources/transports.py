@@ -104,10 +104,10 @@ class BrokerReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict[str, int]) -> tuple[Iterator[tuple], dict[str, int]]:
         messages = _driver(self._options).fetch(start["place"], self._most)
-        return self._rows(messages), {"place": start["place"] + len(messages)}
+        return iter(list(self._rows(messages))), {"place": start["place"] + len(messages)}
 
     def readBetweenOffsets(self, start: dict[str, int], end: dict[str, int]) -> Iterator[tuple]:
-        return self._rows(_driver(self._options).fetch(start["place"], end["place"] - start["place"]))
+        return iter(list(self._rows(_driver(self._options).fetch(start["place"], end["place"] - start["place"]))))
 
     def commit(self, end: dict[str, int]) -> None:
         _driver(self._options).acknowledge(end["place"])
