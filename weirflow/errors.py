@@ -35,12 +35,6 @@ def layer_of(kind: str) -> str | None:
 
 def canonical_code(kind: Column) -> Column:
     """The canonical code of an error kind; null without one, INTERNAL for unknown ones."""
-    out = F.when(kind.isNotNull(), F.lit("INTERNAL"))
-    codes: dict[str, list[str]] = {}
-    for kinds in KINDS.values():
-        for name, code in kinds.items():
-            codes.setdefault(code, []).append(name)
-    for code, names in codes.items():
-        if code != "INTERNAL":
-            out = F.when(kind.isin(*names), code).otherwise(out)
-    return out
+    codes = {name: code for kinds in KINDS.values() for name, code in kinds.items() if code != "INTERNAL"}
+    pairs = [F.lit(x) for pair in codes.items() for x in pair]
+    return F.when(kind.isNotNull(), F.coalesce(F.try_element_at(F.create_map(*pairs), kind), F.lit("INTERNAL")))

@@ -309,8 +309,10 @@ def _arithmetic(op: str, a: Column, b: Column) -> Column:
     return whole.cast("variant")
 
 
-def _path(key: str | int) -> str:
-    return f"$[{key}]" if isinstance(key, int) else "$[" + json.dumps(key).replace('"', "'") + "]"
+def _step(key: str | int) -> str:
+    if isinstance(key, int):
+        return f"[{key}]"
+    return f".{key}" if re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", key) else "[" + json.dumps(key).replace('"', "'") + "]"
 
 
 @dataclass
@@ -343,16 +345,17 @@ def several(tree: tuple) -> bool:
     return any(several(x) for x in _children(tree))
 
 
-def _get(base: Column, key: str | int) -> Column:
-    if isinstance(key, int) and key < 0:
-        return F.try_element_at(_items(base), F.lit(key))
-    return F.try_variant_get(base, _path(key), "variant")
+def _get(base: Column, *keys: str | int) -> Column:
+    """What lies below a value; a single key may count from the end."""
+    if isinstance(keys[0], int) and keys[0] < 0:
+        return F.try_element_at(_items(base), F.lit(keys[0]))
+    return F.try_variant_get(base, "$" + "".join(map(_step, keys)), "variant")
 
 
 def _call(name: str, v: Column) -> Column:
     shape = _shape(v)
     if name == "not":
-        return F.parse_json((~_truth(v)).cast("string"))
+        return (~_truth(v)).cast("variant")
     if name == "tostring":
         return _text(v).cast("variant")
     if name == "tonumber":
@@ -370,17 +373,49 @@ def _call(name: str, v: Column) -> Column:
     return F.parse_json(out)
 
 
+_COMPARE = {
+    "==": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y,
+    "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y,
+}
+_MIRROR = {"==": "==", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def _compare(op: str, a: Column, b: Column) -> Column:
+    """``a op b`` in the order of :func:`_sort_key`; numbers and texts need no key."""
+    of = _COMPARE[op]
+    numbers = F.coalesce(of(_long(a), _long(b)), of(_number(a), _number(b)))
+    return F.coalesce(numbers, of(_string(a), _string(b)), of(_sort_key(a), _sort_key(b)))
+
+
+def _compare_literal(op: str, v: Column, value: Any) -> Column:
+    """``v op value`` for a number or a text: values of other types are all less or all greater."""
+    of = _COMPARE[op]
+    shape = _shape(v)
+    if isinstance(value, str):
+        own, less = of(_string(v), F.lit(value)), ~shape.rlike("^(ARRAY|OBJECT)")
+    else:
+        own = of(_number(v), F.lit(float(value)))
+        if isinstance(value, int):
+            own = F.coalesce(of(_long(v), F.lit(value)), own)
+        less = shape.isin("VOID", "BOOLEAN")
+    other = {"==": F.lit(False), "!=": F.lit(True)}.get(op, less if op in ("<", "<=") else ~less)
+    return F.coalesce(own, other)
+
+
 def _operator(op: str, a: Column, b: Column) -> Column:
     if op in ("and", "or"):
         both = _truth(a) & _truth(b) if op == "and" else _truth(a) | _truth(b)
-        return F.parse_json(both.cast("string"))
-    if op in ("==", "!=", "<", "<=", ">", ">="):
-        s, t = _sort_key(a), _sort_key(b)
-        out = {"==": s == t, "!=": s != t, "<": s < t, "<=": s <= t, ">": s > t, ">=": s >= t}[op]
-        return F.parse_json(out.cast("string"))
+        return both.cast("variant")
+    if op in _COMPARE:
+        return _compare(op, a, b).cast("variant")
     return _arithmetic(op, a, b)
 
 
+def _plain(tree: tuple) -> bool:
+    """Whether a tree is a number or a text, whose comparisons need no key."""
+    return tree[0] == "lit" and isinstance(tree[1], int | float | str) and not isinstance(tree[1], bool)
+
+
 @dataclass
 class _Scope:
     """What a subtree sees: the input of the pipe (None: all slots), the slots and the variables."""
@@ -420,8 +455,14 @@ def _one(tree: tuple, scope: _Scope) -> Column:
             raise ExpressionError(f"unknown variable {tree[1]}")
         return scope.names[tree[1]]
     if kind == "get":
-        slot = _slot(tree, scope)
-        return _get(_one(tree[1], scope), tree[2]) if slot is None else slot
+        keys: list[str | int] = []
+        # one look along the whole path, down to a slot, an index from the end or another kind of tree
+        while tree[0] == "get" and _slot(tree, scope) is None and not (isinstance(tree[2], int) and tree[2] < 0):
+            keys, tree = [tree[2], *keys], tree[1]
+        if not keys:
+            slot = _slot(tree, scope)
+            return _get(_one(tree[1], scope), tree[2]) if slot is None else slot
+        return _get(_one(tree, scope), *keys)
     if kind == "array":
         if any(several(x) for x in tree[1]):
             return F.to_variant_object(F.flatten(F.array(*(F.transform(_every(x, scope), _or_null) for x in tree[1]))))
@@ -448,6 +489,10 @@ def _one(tree: tuple, scope: _Scope) -> Column:
     b = _one(right, scope)
     if op == "//":
         return F.when(_truth(a), a).otherwise(b)
+    if op in _COMPARE and _plain(right):
+        return _compare_literal(op, _or_null(a), right[1]).cast("variant")
+    if op in _COMPARE and _plain(left):
+        return _compare_literal(_MIRROR[op], _or_null(b), left[1]).cast("variant")
     # an absent field is null to an operator; what an operator could not compute stays without a value
     a, b = (_or_null(v) if t[0] == "get" else v for t, v in ((left, a), (right, b)))
     return _operator(op, a, b)

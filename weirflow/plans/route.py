@@ -98,13 +98,13 @@ class CompiledRoute:
         sequence = F.col("packet_seq") if "packet_seq" in frame.columns else None
         planned = plan_phase(phase, ex.Slots([F.col(s) for s in slots], sequence))
         name = f"s{len(slots)}"
-        fresh = F.struct(canonical_code(planned.error).alias("code"), planned.error.alias("kind"), F.lit(phase.name).alias("phase"))
-        error = F.coalesce("error", F.when(planned.error.isNotNull(), fresh.cast(ERROR)))
-        slot = F.when(F.col("error").isNull() & planned.error.isNull(), planned.slot)
-        # A generator of one row: the optimiser would otherwise copy a slot's whole
-        # expression into every later use, which grows exponentially with the phases.
-        made = F.inline(F.array(F.struct(slot.alias(name), error.alias("__error"))))
-        frame = frame.select("*", made).drop("error").withColumnRenamed("__error", "error")
+        # Two projections, in which each long expression stands once: what the phase gives, then what counts of it.
+        frame = frame.withColumns({name: planned.slot, "__kind": planned.error})
+        kind = F.col("__kind")
+        fresh = F.struct(canonical_code(kind).alias("code"), kind.alias("kind"), F.lit(phase.name).alias("phase"))
+        good = F.col("error").isNull() & kind.isNull()
+        error = F.coalesce("error", F.when(kind.isNotNull(), fresh.cast(ERROR)))
+        frame = frame.withColumns({name: F.when(good, F.col(name)), "error": error}).drop("__kind")
         slots.append(name)
         return frame, self._actions(phase, planned, 0)
 
@@ -116,7 +116,9 @@ def compile_route(document: Document, name: str) -> CompiledRoute:
 def dispatchable(rows: DataFrame) -> DataFrame:
     """One row for each action: what the delivery layer takes."""
     keep = [c for c in rows.columns if c not in ("actions", "fallback_actions")]
-    return rows.select(*keep, F.explode("actions").alias("action")).select(*keep, "action.*")
+    # An inner explode would let the optimiser filter on the whole list's expression once more.
+    every = rows.select(*keep, F.explode_outer("actions").alias("action"))
+    return every.where(F.col("action").isNotNull()).select(*keep, "action.*")
 
 
 def response_status(rows: DataFrame) -> DataFrame:

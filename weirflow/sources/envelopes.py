@@ -26,22 +26,21 @@ def _unwrap(values: Column) -> Column:
 
 def bytes_object(c: Column) -> Column:
     """Variant ``{base64, text?, json?}`` of bytes: text only if UTF-8, json only if it parses."""
-    view = scalars.bytes_view(c)
-    base, text, parsed = view["base64"].alias("base64"), view["text"].alias("text"), view["json"].alias("json")
-    return (
-        F.when(view["json"].isNotNull(), F.to_variant_object(F.struct(base, text, parsed)))
-        .when(view["text"].isNotNull(), F.to_variant_object(F.struct(base, text)))
-        .when(view["base64"].isNotNull(), F.to_variant_object(F.struct(base)))
-    )
+    base, text = F.base64(c).alias("base64"), c.cast("string").alias("text")
+    parsed = F.try_parse_json(c.cast("string"))
+    as_text = F.to_variant_object(F.struct(base, text))
+    as_json = F.to_variant_object(F.struct(base, text, parsed.alias("json")))
+    valid = F.is_valid_utf8(c.cast("string"))
+    return F.when(c.isNotNull(), F.when(valid & parsed.isNotNull(), as_json).when(valid, as_text).otherwise(F.to_variant_object(F.struct(base))))
 
 
-def present(**fields: Column) -> Column:
-    """Variant object of the fields that are not null; the others are left out."""
-    entries = [
-        F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), F.try_variant_get(F.to_variant_object(F.struct(v.alias("v"))), "$.v", "variant").alias("value")))
-        for k, v in fields.items()
-    ]
-    return F.to_variant_object(F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+def present(optional: tuple[str, ...] = (), **fields: Column) -> Column:
+    """Variant object of ``fields``; those named ``optional`` are left out where they are null."""
+    if not optional:
+        return F.to_variant_object(F.struct(*(v.alias(k) for k, v in fields.items())))
+    name, *others = optional
+    without = {k: v for k, v in fields.items() if k != name}
+    return F.when(fields[name].isNotNull(), present(tuple(others), **fields)).otherwise(present(tuple(others), **without))
 
 
 def is_json(content_type: Column) -> Column:
@@ -72,9 +71,9 @@ def http(
     return F.to_variant_object(
         F.struct(
             merged.alias("headers"), merged.alias("header"), params.alias("query"),
-            present(method=method, path=clean, query=asked).alias("request"),
+            present(("query",), method=method, path=clean, query=asked).alias("request"),
             F.struct(clean.alias("value")).alias("path"), content.alias("body"),
-            present(method=method, path=clean, query=asked, received_at=received).alias("metadata"),
+            present(("query",), method=method, path=clean, query=asked, received_at=received).alias("metadata"),
         )
     )
 
@@ -102,7 +101,7 @@ def kafka(topic: Column, partition: Column, offset: Column, timestamp: Column, k
     named = F.transform(headers, lambda h: F.struct(scalars.header_name(h["key"]).alias("key"), h["value"].cast("string").alias("value")))
     merged = F.transform_values(scalars.merged_values(named, distinct=True), lambda _, v: _unwrap(v))
     return present(
-        topic=topic, partition=partition, offset=offset, timestamp=timestamp, key=bytes_object(key), value=bytes_object(value),
+        ("timestamp", "key"), topic=topic, partition=partition, offset=offset, timestamp=timestamp, key=bytes_object(key), value=bytes_object(value),
         payload=bytes_object(value), body=body, headers=merged, header=merged,
     )
 
@@ -123,7 +122,7 @@ def rabbitmq(
     """Envelope of a delivery; ``headers`` and ``properties`` are variants or maps."""
     empty = F.parse_json(F.lit("{}"))
     return present(
-        body=bytes_object(body), exchange=exchange, routing_key=routing_key, delivery_tag=tag, redelivered=redelivered,
+        ("metadata",), body=bytes_object(body), exchange=exchange, routing_key=routing_key, delivery_tag=tag, redelivered=redelivered,
         headers=empty if headers is None else headers,
         properties=empty if properties is None else properties,
         metadata=F.when(timestamp.isNotNull(), F.to_variant_object(F.struct(timestamp.alias("timestamp")))),
@@ -134,7 +133,8 @@ def mqtt(topic: Column, payload: Column, qos: Column, retain: Column, packet: Co
     """Envelope of a message; there is metadata only with a packet id or a timestamp."""
     known = {"packet_id": packet} | ({} if timestamp is None else {"timestamp": timestamp})
     some = F.coalesce(*(c.cast("long") for c in known.values())).isNotNull()
-    return present(topic=topic, qos=qos, retain=retain, payload=bytes_object(payload), metadata=F.when(some, present(**known)))
+    metadata = F.when(some, present(tuple(known), **known))
+    return present(("metadata",), topic=topic, qos=qos, retain=retain, payload=bytes_object(payload), metadata=metadata)
 
 
 def mongodb(
@@ -142,14 +142,14 @@ def mongodb(
     before: Column | None = None, update: Column | None = None, cluster_time: Column | None = None, token: Column | None = None,
 ) -> Column:
     """Envelope of a change; documents are JSON text, ``cluster_time`` is ``struct(seconds, increment)``."""
-    none = F.lit(None).cast("string")
-    optional = lambda c: F.try_parse_json(none if c is None else c)
-    meta = {"clusterTime": cluster_time, "wallTime": scalars.rfc3339(wall_time), "resumeToken": None if token is None else optional(token)}
+    documents = {"fullDocumentBeforeChange": before, "updateDescription": update}
+    optional = {k: F.try_parse_json(v) for k, v in documents.items() if v is not None}
+    stamps = {"clusterTime": cluster_time, "resumeToken": None if token is None else F.try_parse_json(token)}
+    stamps = {k: v for k, v in stamps.items() if v is not None}
     return present(
-        operationType=operation, ns=F.struct(database.alias("db"), collection.alias("coll")),
-        documentKey=F.struct(key.alias("_id")), fullDocument=_json_or_null(document),
-        fullDocumentBeforeChange=optional(before), updateDescription=optional(update),
-        metadata=present(**{k: v for k, v in meta.items() if v is not None}),
+        tuple(optional), operationType=operation, ns=F.struct(database.alias("db"), collection.alias("coll")),
+        documentKey=F.struct(key.alias("_id")), fullDocument=_json_or_null(document), **optional,
+        metadata=present(tuple(stamps), wallTime=scalars.rfc3339(wall_time), **stamps),
     )
 
 
