@@ -17,7 +17,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import forget, materialise
@@ -33,7 +33,7 @@ FEATURES, MIN_DOCS = 1 << 13, 5.0
 #: The fit ends when no domain is off by more than this share of all target tokens.
 TOLERANCE = 1e-4
 #: Steps at most, and those within which the misfit must shrink by a hundredth, else the targets are out of reach.
-STEPS, PATIENCE = 150, 30
+STEPS, PATIENCE = 150, 20
 #: Steps after which rates are written down, so that expressions stay short.
 _WRITE_EVERY = 6
 
@@ -115,51 +115,56 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS) -> DataFr
         raise ValueError("a target weight must be positive")
     share = [targets.get(d, 0.0) / total for d in DOMAINS]
     members = materialise(
-        members.select(
-            "doc_id", "text_id", "tokens", *(F.col("p")[i].alias(f"p{i}") for i in range(len(DOMAINS))),
-            F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"),
-        ),
-        "members",
-    )
-    rate, ahead = F.col("rate"), F.col("ahead")
+        members.select("doc_id", "text_id", "tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead")), "members"
+    )
+    kept = ["doc_id", "text_id", "tokens", "p"]
 
-    def totals(at, *more) -> list[float]:
-        """Expected tokens of each domain at the rates ``at``, and sums of ``more``."""
-        expected = (at * F.col("tokens") * F.col(f"p{i}") for i in range(len(DOMAINS)))
+    def totals(at: str, *more) -> list[float]:
+        """Expected tokens of each domain at the rates in column ``at``, and sums of ``more``."""
+        expected = (F.col(at) * F.col("tokens") * F.col("p")[i] for i in range(len(DOMAINS)))
         return [x or 0.0 for x in members.agg(*(F.sum(x).alias(f"t{i}") for i, x in enumerate((*expected, *more)))).first()]
 
-    have = at_ahead = totals(rate)
+    have = at_ahead = totals("rate")
     wanted = min((h / s for h, s in zip(have, share, strict=True) if s > 0), default=0.0)
     target = [wanted * s for s in share]
     # Residuals are weighed by the domains' own tokens, which makes the problem well conditioned.
     weight = [1.0 / h if h > 0 else 0.0 for h in have]
     misfit = [max((abs(h - t) for h, t in zip(have, target, strict=True)), default=0.0) / wanted if wanted > 0 else 0.0]
-    momentum = 1.0
+    momentum, written = 1.0, members
     for step in range(1, STEPS + 1):
         if misfit[-1] <= TOLERANCE or (len(misfit) > PATIENCE and min(misfit[-PATIENCE:]) > 0.99 * min(misfit[:-PATIENCE])):
             break
-        gradient = sum(
-            (F.lit(w * (h - t)) * F.col(f"p{i}") for i, (w, h, t) in enumerate(zip(weight, at_ahead, target, strict=True))),
-            F.lit(0.0),
-        )
-        stepped = F.greatest(F.lit(0.0), ahead - gradient)
-        *now, uphill = totals(stepped, F.col("tokens") * (ahead - stepped) * (stepped - rate))
+        gradient = _weighed(F.col("p"), [w * (h - t) for w, h, t in zip(weight, at_ahead, target, strict=True)])
+        members = members.withColumn("next", F.greatest(F.lit(0.0), F.col("ahead") - gradient))
+        *now, uphill = totals("next", F.col("tokens") * (F.col("ahead") - F.col("next")) * (F.col("next") - F.col("rate")))
         momentum = 1.0 if uphill > 0 else momentum
         grown = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         push, momentum = (momentum - 1) / grown, grown
         # Totals are linear in the rates, so those at the next point need no aggregate.
         at_ahead = [n + push * (n - h) for n, h in zip(now, have, strict=True)]
-        ahead, rate, have = stepped + F.lit(push) * (stepped - rate), stepped, now
+        pushed = F.col("next") + _weighed(F.array(F.col("next") - F.col("rate")), [push])
+        members = members.select(*kept, F.col("next").alias("rate"), pushed.alias("ahead"))
+        have = now
         misfit.append(max(abs(h - t) for h, t in zip(have, target, strict=True)) / wanted)
         if step % _WRITE_EVERY == 0:
-            before, members = members, materialise(members.withColumns({"rate": rate, "ahead": ahead}), "members")
+            before, members = written, materialise(members, "members")
             forget(before)
-            rate, ahead = F.col("rate"), F.col("ahead")
-    fitted = F.when(F.col("tokens") > 0, rate).otherwise(F.lit(1.0))
-    shares = (f"p{i}" for i in range(len(DOMAINS)))
+            written = members
+    fitted = F.when(F.col("tokens") > 0, F.col("rate")).otherwise(F.lit(1.0))
+    shares = (F.col("p")[i].alias(f"p{i}") for i in range(len(DOMAINS)))
     return members.select("doc_id", "text_id", "tokens", *shares, fitted.alias("rate"), F.lit(misfit[-1]).alias("residual"))
 
 
+def _weighed(values: Column, weights: list[float]) -> Column:
+    """Sum of ``values`` times ``weights``, the numbers of a step.
+
+    A literal array is handed to the generated code instead of standing in it, so
+    all steps share their code and the driver does not compile and keep each.
+    """
+    products = F.zip_with(values, F.array(*map(F.lit, weights)), lambda x, w: x * w)
+    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``doc_id, text_id, tokens, p_<domain>..., rate, residual`` for each row of ``docs``.
 
