@@ -310,6 +310,14 @@ def payload_text(c) -> Column:
     ).otherwise(F.to_json(v))
 
 
+def payload_bytes(c) -> Column:
+    """Bytes of a payload variant: those of an encoded payload, none for null, a text's own, else JSON."""
+    v = _col(c)
+    packed = F.try_variant_get(v, "$.binary", "string")
+    envelope = F.coalesce(F.try_variant_get(v, "$.codec", "string").isNotNull() & packed.isNotNull(), F.lit(False))
+    return F.when(envelope, F.try_to_binary(packed, F.lit("base64"))).otherwise(payload_text(v).cast("binary"))
+
+
 def http_status(code) -> Column:
     """Response status of an outcome code."""
     table = {

@@ -386,6 +386,27 @@ _query(
 )(_encoded("cbor", {}))
 
 
+@_query(
+    "payload_bytes",
+    "select event_id, hex(case event_id % 4 when 0 then encode(event_type) when 1 then encode(event_type) when 3 then encode('{\"k\":1}') end) as body from events",
+)
+def payload_bytes(spark, sf_dir):
+    packed = F.to_json(F.struct(F.lit("json").alias("codec"), F.base64(F.col("event_type").cast("binary")).alias("binary")))
+    texts = F.array(packed, F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit("null"), F.lit('{"k":1}'))
+    v = F.parse_json(F.element_at(texts, (F.col("event_id") % 4 + 1).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", F.hex(scalars.payload_bytes(v)).alias("body"))
+
+
+@_query(
+    "envelope_decode",
+    "select event_id, case when event_id % 2 = 0 then props end as text from events",
+)
+def envelope_decode(spark, sf_dir):
+    e = envelope.encode(F.col("props"), "json")
+    v = F.to_variant_object(F.when(F.col("event_id") % 2 == 0, e).otherwise(e.withField("codec", F.lit("none"))))
+    return table(spark, sf_dir, "events").select("event_id", envelope.decode(v).cast("string").alias("text"))
+
+
 @_query(
     "qos_coerce",
     "select l_orderkey, l_linenumber, case when l_linenumber between 0 and 2 then l_linenumber end as qos from lineitem",
