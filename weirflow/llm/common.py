@@ -32,8 +32,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only where it is unset (tests, a
-    single machine) a local temporary folder stands in.
+    The setting is read from the session. Where it is unset, a local temporary
+    folder stands in on a single machine (tests); on a cluster that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
@@ -41,6 +41,8 @@ def scratch_root(spark: SparkSession) -> str:
             "spark.checkpoint.dir"
         )
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="weirflow-checkpoints-")
         root = f"{base.rstrip('/')}/weirflow-{uuid.uuid4().hex}"
         _roots[app] = root

@@ -5,7 +5,8 @@ seeds) are sorted by recursion on the string of their names; two sweeps then
 induce the order of all others: each extracted suffix ``i`` inserts ``i - 1``
 into the queue of its first symbol. Insertions into a queue arrive in order, so
 the priority queue is one first-in-first-out run for each symbol; runs beyond
-the memory limit go to a scratch file and are read back block by block.
+the memory limit go to a scratch file of the task (in its temporary folder, which
+no other task reads) and are read back block by block.
 
 Entries are tuples (place, common prefix with the entry before). An induced
 entry's common prefix is one more than the least value between the entry that
