@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weirflow.llm import rlz_dedup, suffix_dedup
-from weirflow.llm.induced import induce, suffix_order
+from weirflow.llm.induced import MEMORY, induce, suffix_order
 
 SCHEMA = "doc_id long, text string"
 
@@ -118,3 +120,53 @@ def test_induced_order(limits):
             while common < 7 and suffixes[a][common : common + 1] == suffixes[b][common : common + 1] != ():
                 common += 1
             assert value == common
+
+
+def shard(segments):
+    """A resolver's input: segments of one leader in documents 0, 1, ..., from the start of each."""
+    places = [(max(len(x) - 100, 0) << 8) for x in segments]
+    ids = pa.array(range(len(segments)), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([5] * len(segments), pa.int64()), ids, ids, pa.array(places, pa.int64()), pa.array(segments, pa.binary())],
+        ["lead", "content", "doc_id", "place", "bytes"],
+    )
+
+
+@pytest.mark.parametrize("symbols", [4, 253, 254, 256])
+def test_shard_of_any_bytes(symbols):
+    rng = np.random.default_rng(symbols)
+    passages = [rng.integers(0, symbols, 150).astype(np.uint8).tobytes() for _ in range(4)]
+    segments = [bytes(range(symbols))] if symbols > 4 else []
+    for i in range(40):
+        own = rng.integers(0, symbols, i).astype(np.uint8).tobytes()
+        segments.append((own + passages[i % 4])[: 60 + 5 * i])
+    got = [set() for _ in segments]
+    for batch in suffix_dedup._resolver(100, MEMORY)(iter([shard(segments)])):
+        for row in batch.to_pylist():
+            got[row["content"]].update(range(row["low"], row["high"]))
+    seen = set()
+    for segment, found in zip(segments, got, strict=True):
+        windows = [segment[i : i + 100] for i in range(len(segment) - 99)]
+        want = set()
+        for i, w in enumerate(windows):
+            if w in seen:
+                want.add(i)
+            seen.add(w)
+        assert found == want
+
+
+def test_shard_memory():
+    rng = np.random.default_rng(3)
+    passages = [rng.integers(97, 123, 180).astype(np.uint8) for _ in range(1500)]
+    segments = []
+    for i in range(6000):
+        one = passages[i % 1500].copy()
+        one[rng.integers(0, 180, 2)] = 45
+        segments.append(one.tobytes())
+    batch = shard(segments)
+    list(suffix_dedup._resolver(100, MEMORY)(iter([batch.slice(0, 100)])))
+    tracemalloc.start()
+    list(suffix_dedup._resolver(100, MEMORY)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 180 * len(segments)

@@ -24,23 +24,35 @@ import numpy as np
 
 #: Bytes that queues and a level sorted in memory may take.
 MEMORY = 192 << 20
-#: Entries of a chunk in a queue at most, and chunks that are read together.
-BLOCK, _CHUNKS = 1 << 14, 64
+#: Entries of a chunk in a queue at most, chunks that are read together, and entries with which no more are read.
+BLOCK, _CHUNKS, _ENTRIES = 1 << 14, 64, 1 << 17
 _FAR = np.uint8(255)
 
 
+def _stored(n: int) -> np.dtype:
+    """The smallest type that queues store places of ``n`` symbols in."""
+    return np.dtype(np.int32 if n < 1 << 31 else np.int64)
+
+
+def _packed(text: np.ndarray, beyond: int) -> tuple[np.ndarray, int]:
+    """As many symbols from each place as 64 bits hold, zeros after the end, and their number."""
+    size = text.dtype.itemsize
+    padded = np.concatenate([text, np.zeros(beyond + 8 // size, text.dtype)])
+    return np.ndarray((len(text) + beyond,), "<u8", padded, 0, (size,)), 8 // size
+
+
 class Queues:
     """Runs of (place, prefix) for each symbol, on disk beyond ``limit`` bytes."""
 
-    def __init__(self, limit: int):
-        self._limit, self._held, self._file = limit, 0, None
+    def __init__(self, limit: int, kind: np.dtype):
+        self._limit, self._held, self._file, self._kind = limit, 0, None, kind
         self._chunks: dict[int, list] = defaultdict(list)
 
     def push(self, symbol: int, place: np.ndarray, prefix: np.ndarray) -> None:
         chunks = self._chunks[symbol]
         for low in range(0, len(place), BLOCK):
-            chunks.append((place[low : low + BLOCK].copy(), prefix[low : low + BLOCK].copy()))
-            self._held += 9 * min(BLOCK, len(place) - low)
+            chunks.append((place[low : low + BLOCK].astype(self._kind), prefix[low : low + BLOCK].copy()))
+            self._held += (self._kind.itemsize + 1) * min(BLOCK, len(place) - low)
         if self._held > self._limit:
             self._spill()
 
@@ -62,7 +74,7 @@ class Queues:
             return chunk
         at, n, _ = chunk
         self._file.seek(at)
-        place = np.frombuffer(self._file.read(8 * n), np.int64)
+        place = np.frombuffer(self._file.read(self._kind.itemsize * n), self._kind)
         return place, np.frombuffer(self._file.read(n), np.uint8)
 
     def symbols(self) -> set[int]:
@@ -70,14 +82,15 @@ class Queues:
 
     def _joined(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
         read = [self._read(c) for c in chunks]
-        if len(read) == 1:
-            return read[0]
-        return np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read])
+        prefix = read[0][1] if len(read) == 1 else np.concatenate([r[1] for r in read])
+        return np.concatenate([r[0] for r in read], dtype=np.int64), prefix
 
     def blocks(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks in insertion order, also those pushed while reading."""
         at = 0
         while chunks := self._chunks.get(symbol, [])[at : at + _CHUNKS]:
+            sizes = np.cumsum([c[1] if len(c) == 3 else len(c[0]) for c in chunks])
+            chunks = chunks[: int(np.searchsorted(sizes, _ENTRIES)) + 1]
             yield self._joined(chunks)
             at += len(chunks)
 
@@ -145,35 +158,29 @@ class _Sweep:
 def _shapes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which suffixes fall (are greater than the next one), and the seeds in text order."""
     n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.where(text[:-1] > text[1:], 1, np.where(text[:-1] < text[1:], -1, 0))
-    step[-1] = -1
-    at = np.where(step != 0, np.arange(n), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    falls = step[at] > 0
+    change = np.append(np.flatnonzero(text[1:] != text[:-1]).astype(_stored(n)), n - 1)  # ends of equal symbols
+    falling = np.append((text[:-1] > text[1:])[change[:-1]], False)
+    falls = np.repeat(falling, np.diff(change, prepend=-1))
     return falls, np.flatnonzero(~falls[1:] & falls[:-1]) + 1
 
 
-def _symbol_runs(text: np.ndarray, cap: int) -> np.ndarray:
-    """How often each place's symbol repeats from there on, at most ``cap``."""
-    n = len(text)
-    change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
-    ends = np.repeat(change, np.diff(np.append(-1, change)))
-    return np.minimum(ends - np.arange(n) + 1, cap).astype(np.uint8)
+def _symbol_run(text: np.ndarray, place: int, cap: int) -> int:
+    """How often the symbol of ``place`` repeats from there on, at most ``cap``."""
+    other = np.flatnonzero(text[place : place + cap] != text[place])
+    return int(other[0]) if len(other) else len(text[place : place + cap])
 
 
 def _sweeps(text, falls, seeds: Queues, sigma, cap, memory, emit: Callable | None) -> None:
     """Both sweeps; ``emit(place, prefix, falling)`` gets all suffixes from the greatest down."""
     prefixes = cap > 0
-    lengths = _symbol_runs(text, cap) if prefixes else None
-    falling = Queues(memory)
+    falling = Queues(memory, _stored(len(text)))
     up = _Sweep(text, falls, True, falling, sigma, cap)
-    pending = np.unique(text)
+    pending = np.flatnonzero(np.bincount(text))
 
     def first_of(place, prefix, last):
         if prefixes and len(place):
             prefix = prefix.copy()
-            prefix[0] = 0 if last is None else min(lengths[last], lengths[place[0]])
+            prefix[0] = 0 if last is None else min(_symbol_run(text, x, cap) for x in (last, place[0]))
         return prefix
 
     for symbol in pending.tolist():
@@ -183,7 +190,7 @@ def _sweeps(text, falls, seeds: Queues, sigma, cap, memory, emit: Callable | Non
             last = place[-1]
         for k, (place, prefix) in enumerate(seeds.blocks(symbol)):
             up.extract(place, first_of(place, prefix, last) if k == 0 else prefix)
-    rising = Queues(memory)
+    rising = Queues(memory, _stored(len(text)))
     down = _Sweep(text, falls, False, rising, sigma, cap)
     for symbol in pending[::-1].tolist():
         last = None
@@ -207,12 +214,15 @@ def _sweeps(text, falls, seeds: Queues, sigma, cap, memory, emit: Callable | Non
     rising.close()
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string that fits in memory, by doubling what is ranked."""
+def _doubled(names: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Suffix order of a string that fits in memory, by doubling what is ranked.
+
+    ``order``: its places by their names.
+    """
     n = len(names)
-    order = np.argsort(names, kind="stable")
     ordered = names[order]
     heads = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    del ordered
     sizes = np.diff(np.append(heads, n))
     rank = np.empty(n + 1, np.int64)
     rank[order] = np.repeat(heads, sizes) + 1
@@ -221,17 +231,15 @@ def _doubled(names: np.ndarray) -> np.ndarray:
     step = 1
     while len(active):
         key = rank[active] * np.int64(n + 1) + rank[np.minimum(active + step, n)]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         active, key = active[by], key[by]
         group = rank[active]
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
         outer = np.concatenate([[True], group[1:] != group[:-1]])
-        at = np.arange(len(active))
-        inner_at = np.maximum.accumulate(np.where(fresh, at, 0))
-        outer_at = np.maximum.accumulate(np.where(outer, at, 0))
-        rank[active] = group + inner_at - outer_at
-        heads = np.flatnonzero(fresh)
+        heads, outer = np.flatnonzero(fresh), np.flatnonzero(outer)
         sizes = np.diff(np.append(heads, len(active)))
+        first = np.repeat(outer, np.diff(np.append(outer, len(active))))[heads]
+        rank[active] = np.repeat(group[heads] + heads - first, sizes)
         active = active[np.repeat(sizes > 1, sizes)]
         step *= 2
     out = np.empty(n, np.int64)
@@ -241,7 +249,7 @@ def _doubled(names: np.ndarray) -> np.ndarray:
 
 def _ordered_seeds(text, falls, seeds, sigma, memory, forced_depth: int) -> np.ndarray:
     """The seeds in the order of their suffixes: names by induction, then recursion."""
-    first = Queues(memory)
+    first = Queues(memory, _stored(len(text)))
     symbols = text[seeds]
     order = np.argsort(symbols, kind="stable")
     cuts = np.flatnonzero(np.diff(symbols[order])) + 1
@@ -259,26 +267,32 @@ def _ordered_seeds(text, falls, seeds, sigma, memory, forced_depth: int) -> np.n
     _sweeps(text, falls, first, sigma, 0, memory, keep)
     first.close()
     by_piece = np.concatenate(found)[::-1]
-    number = np.full(len(text), -1, np.int64)
+    del found, is_seed
+    number = np.empty(len(text), _stored(len(text)))
     number[seeds] = np.arange(len(seeds))
-    index = number[by_piece]
+    index = number[by_piece].astype(np.int64)
+    del number
     ends = np.append(seeds[1:] + 1, len(text))  # a piece ends with the next seed's symbol
     length = (ends - seeds)[index]
     same = np.concatenate([[False], length[1:] == length[:-1]])
+    packed, width = _packed(text, 0)
+    masks = np.array([(1 << 64 // width * k) - 1 for k in range(width + 1)], np.uint64)
     at = np.flatnonzero(same)
-    done = np.zeros(len(at), np.int64)
-    while len(at):  # symbol by symbol, those that are equal so far
-        equal = text[by_piece[at] + done] == text[by_piece[at - 1] + done]
+    done = 0
+    while len(at):  # the next symbols of those that are equal so far
+        differ = packed[by_piece[at] + done] ^ packed[by_piece[at - 1] + done]
+        equal = differ & masks[np.minimum(length[at] - done, width)] == 0
         same[at[~equal]] = False
-        done += 1
-        go = equal & (done < length[at])
-        at, done = at[go], done[go]
-    names = np.empty(len(seeds), np.int64)
-    names[index] = np.cumsum(~same) - 1
+        done += width
+        at = at[equal]
+        at = at[length[at] > done]
     if not same.any():
         return by_piece
+    names = np.empty(len(seeds), np.int64)
+    names[index] = np.cumsum(~same) - 1
+    del by_piece, length, ends, same, packed, at
     if len(names) * 48 <= memory and forced_depth <= 0:
-        return seeds[_doubled(names)]
+        return seeds[_doubled(names, index)]
     return seeds[suffix_order(names, memory, forced_depth - 1)]
 
 
@@ -298,25 +312,21 @@ def suffix_order(text: np.ndarray, memory: int = MEMORY, depth: int = 0) -> np.n
 def _prefixes(text: np.ndarray, seeds: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of each ordered seed with the one before, at most ``cap``."""
     value = np.zeros(len(seeds), np.uint8)
-    padded = np.concatenate([text.astype(np.uint16), np.zeros(cap + 8, np.uint16)])
-    n = len(padded) - 3
-    four = np.ndarray((n,), "<u8", padded, 0, (2,))  # four symbols at once
+    packed, width = _packed(text, cap)
     at = np.arange(1, len(seeds))
-    done = np.zeros(len(at), np.int64)
-    left, right = seeds[at - 1], seeds[at]
-    while len(at):
-        differ = four[left + done] ^ four[right + done]
-        whole = differ == 0
-        done[whole] += 4
-        stop = ~whole | (done >= cap)
-        # symbols that agree below the first difference
-        bits = differ[stop]
-        agree = np.where(bits == 0, 0, ((bits & np.uint64(0xFFFF)) == 0).astype(np.int64))
-        agree += (bits != 0) & ((bits & np.uint64(0xFFFFFFFF)) == 0)
-        agree += (bits != 0) & ((bits & np.uint64(0xFFFFFFFFFFFF)) == 0)
-        value[at[stop]] = np.minimum(done[stop] + agree, cap)
+    left, right = seeds[:-1], seeds[1:]
+    done = 0
+    while len(at) and done < cap:  # the next symbols of all that agree so far
+        differ = packed[left + done] ^ packed[right + done]
+        stop = differ != 0
+        lowest = differ[stop]
+        lowest &= ~lowest + np.uint64(1)
+        agree = (np.frexp(lowest.astype(np.float64))[1] - 1) // (64 // width)
+        value[at[stop]] = np.minimum(done + agree, cap)
         go = ~stop
-        at, done, left, right = at[go], done[go], left[go], right[go]
+        at, left, right = at[go], left[go], right[go]
+        done += width
+    value[at] = cap
     return value
 
 
@@ -330,7 +340,7 @@ def induce(text: np.ndarray, cap: int, emit: Callable, memory: int = MEMORY, dep
     sigma = int(text.max()) + 1
     ordered = _ordered_seeds(text, falls, seeds, sigma, memory, depth)
     prefix = _prefixes(text, ordered, cap) if cap else np.zeros(len(ordered), np.uint8)
-    queues = Queues(memory)
+    queues = Queues(memory, _stored(len(text)))
     cuts = np.flatnonzero(np.diff(text[ordered])) + 1
     for part, values in zip(np.split(ordered, cuts), np.split(prefix, cuts), strict=True):
         if len(part):

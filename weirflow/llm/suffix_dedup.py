@@ -30,14 +30,22 @@ CROWD = 1024
 
 
 def repeated_windows(
-    text: np.ndarray, whole: np.ndarray, docs: np.ndarray, at: np.ndarray, window: int, memory: int = MEMORY
+    text: np.ndarray,
+    whole: np.ndarray,
+    segment: np.ndarray,
+    docs: np.ndarray,
+    shift: np.ndarray,
+    window: int,
+    memory: int = MEMORY,
 ) -> np.ndarray:
     """Places of ``text`` whose window also stands at an earlier place.
 
     Args:
         text: symbols; the last one is the only 0.
         whole: places where a window begins (not over a segment's end).
-        docs, at: a place's document and its place there, which order the places.
+        segment: each place's segment.
+        docs, shift: each segment's document, and how far a place in it lies behind its place in ``text``;
+            document and place there order the places.
     """
     blocks: list[tuple[np.ndarray, np.ndarray]] = []
     last = np.zeros(0, np.int64)
@@ -59,12 +67,36 @@ def repeated_windows(
     induce(text, window, emit, memory)
     place = np.concatenate([b[0] for b in blocks])
     chain = np.concatenate([b[1] for b in blocks])
-    order = np.lexsort((at[place], docs[place], chain))
+    of = segment[place]
+    order = np.lexsort((place + shift[of], docs[of], chain))
     place, chain = place[order], chain[order]
     later = (chain[1:] == chain[:-1]) & (place[1:] != place[:-1])
     return place[1:][later]
 
 
+def _joined_text(
+    data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Segments as symbols from 2 on, each with a 1 behind and a 0 at the end, and where whole windows begin.
+
+    The symbols are the bytes that occur, numbered: 8 bits hold them unless nearly all 256 occur.
+    """
+    occurs = np.bincount(data, minlength=256) > 0
+    number = np.cumsum(occurs) + 1
+    number = number.astype(np.uint8 if number[-1] < 256 else np.uint16)
+    text = np.zeros(len(data) + len(starts) + 1, number.dtype)
+    ends = starts + sizes
+    inner = np.ones(len(text), bool)
+    inner[ends] = inner[-1] = False
+    text[inner] = number[data]
+    text[ends] = 1
+    steps = np.zeros(len(text), np.int8)
+    has = sizes >= window
+    steps[starts[has]] = 1
+    steps[ends[has] - window + 1] -= 1
+    return text, np.cumsum(steps, dtype=np.int8).astype(bool)
+
+
 def _resolver(window: int, memory: int):
     @lean
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,20 +113,16 @@ def _resolver(window: int, memory: int):
         data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         offsets -= offsets[0]
         n = len(offsets) - 1
-        text = np.ones(len(data) + n + 1, np.uint16)
-        text[-1] = 0
-        segment = np.repeat(np.arange(n), np.diff(offsets))
-        text[np.arange(len(data)) + segment] = data.astype(np.uint16) + 2
+        sizes = np.diff(offsets)
         starts = offsets[:-1] + np.arange(n)
-        first = unpack(places)[0]
-        of_place = np.append(np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets) + 1), np.int32(n - 1))
-        inner = np.arange(len(text)) - starts[of_place]
-        whole = inner + window <= np.diff(offsets)[of_place]
-        later = repeated_windows(text, whole, docs[of_place], inner + first[of_place], window, memory)
+        text, whole = _joined_text(data, starts, sizes, window)
+        segment = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
+        segment = np.append(segment, np.int32(n - 1))
+        later = repeated_windows(text, whole, segment, docs, unpack(places)[0] - starts, window, memory)
         later = np.sort(later)
         if not len(later):
             return
-        which = of_place[later]
+        which = segment[later]
         low = np.concatenate([[True], (later[1:] != later[:-1] + 1) | (which[1:] != which[:-1])])
         heads = np.flatnonzero(low)
         tails = np.append(heads[1:], len(later)) - 1
