@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from weirflow.llm import rlz_dedup, suffix_dedup
+from weirflow.llm import anchors, rlz_dedup, suffix_dedup
 from weirflow.llm.induced import MEMORY, induce, suffix_order
 
 SCHEMA = "doc_id long, text string"
@@ -170,3 +170,34 @@ def test_shard_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60 * 180 * len(segments)
+
+
+def test_leaders_are_hashed_in_blocks_that_stay_in_cache(monkeypatch):
+    sizes = []
+    whole = anchors._byte_grams
+    monkeypatch.setattr(anchors, "_byte_grams", lambda data, k: sizes.append(len(data)) or whole(data, k))
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 123, 400_000).astype(np.uint8)
+    offsets = np.arange(0, len(data) + 1, 2000)
+    found = list(anchors.runs(data, offsets, anchors.Unit("bytes", 100, 20)))
+    assert max(sizes) <= 1 << 16
+    row, first, last = (np.concatenate([getattr(r, c) for r in found]) for c in ("row", "first", "last"))
+    windows = np.zeros((len(offsets) - 1, 1901), int)
+    for i, low, high in zip(row, first, last, strict=True):
+        windows[i, low : high + 1] += 1
+    assert (windows == 1).all()
+
+
+def test_ranges_of_rows_are_merged():
+    rng = random.Random(6)
+    lists = [None, []]
+    for _ in range(50):
+        starts = [rng.randint(0, 60) for _ in range(rng.randint(0, 6))]
+        lists.append([{"start": s, "end": s + rng.randint(1, 9)} for s in starts])
+    column = pa.array(lists + [None], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    for part, chosen in ((column, lists + [None]), (column.slice(9, 20), lists[9:29])):
+        got = [x.tolist() for x in suffix_dedup._merged(part)]
+        want = [
+            (i, *r) for i, x in enumerate(chosen) for r in suffix_dedup.merge((r["start"], r["end"]) for r in x or ())
+        ]
+        assert list(zip(*got, strict=True)) == want

@@ -18,6 +18,8 @@ from weirflow.llm.common import BLOCK_BYTES, spans
 from weirflow.llm.tokens import SPACED, U, grams, mix, power, row_ends, words
 
 _BITS = U(24)
+#: Bytes of rows whose hashes are taken at once, so that they stay in a core's cache.
+_CACHED = 1 << 16
 _LOW = U((1 << 24) - 1)
 _MIXED_BYTES = mix(np.arange(256, dtype=np.uint64) + U(77))
 
@@ -85,11 +87,12 @@ def _runs(g: np.ndarray, ends: np.ndarray, n: int, unit: Unit):
         return (np.zeros(0, np.int64),) * 3
     at = np.arange(len(g), dtype=np.uint64)
     led = _sliding_min((g & ~_LOW) | at, unit.window - unit.gram + 1)[:count]
-    valid = ends[:count] >= np.arange(count) + unit.window
+    valid = ends[:count] >= np.arange(unit.window, count + unit.window)
+    change = led[1:] != led[:-1]
     begins = valid.copy()
-    begins[1:] &= ~(valid[:-1] & (led[1:] == led[:-1]))
+    begins[1:] &= change | ~valid[:-1]
     closes = valid.copy()
-    closes[:-1] &= ~(valid[1:] & (led[1:] == led[:-1]))
+    closes[:-1] &= change | ~valid[1:]
     first = np.flatnonzero(begins)
     return first, np.flatnonzero(closes), (led[first] & _LOW).astype(np.int64)
 
@@ -112,7 +115,7 @@ def _pieces(g, ends, base: np.ndarray, rows: np.ndarray, n: int, unit: Unit) ->
 def runs(data: np.ndarray, offsets: np.ndarray, unit: Unit) -> Iterator[Runs]:
     """All runs of the rows of a text buffer."""
     if unit.kind == "bytes":
-        for low, high in spans(offsets):
+        for low, high in spans(offsets, _CACHED):
             begin, end = int(offsets[low]), int(offsets[high])
             sizes = np.diff(offsets[low : high + 1])
             ends = np.repeat(offsets[low + 1 : high + 1] - begin, sizes)

@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import functools
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +21,9 @@ BATCH_ROWS = 400
 #: Bytes of text that the vectorised kernels take at once.
 BLOCK_BYTES = 1 << 18
 
+#: Seconds in which listeners let go of a plan that ran.
+_SETTLE = 0.5
+
 _roots: dict[str, str] = {}
 
 
@@ -75,6 +79,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that no plan refers to any more.
+
+    It does so when the driver collects garbage, which may come late. Listeners
+    hold a plan for a moment after it ran, hence the second turn.
+    """
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(_SETTLE)
+
+
 class Growing:
     """One scratch table that rounds add rows to, one round at least, read once at the end.
 

@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.anchors import Prefix, Unit, pack, runs, unpack
-from weirflow.llm.common import forget, lean, materialise, prepare, spans, spread_join, text_buffer
+from weirflow.llm.anchors import Prefix, Runs, Unit, pack, runs, unpack
+from weirflow.llm.common import forget, lean, materialise, prepare, release, spans, spread_join, text_buffer
 from weirflow.llm.tokens import SPACED, mix, words
 
 #: Bytes of segments that make a shard of the resolver.
 SHARD_BYTES = 3 << 20
 #: Segments that a task remembers to have written.
 _WRITTEN = 400_000
+#: Rows of an Arrow batch of places, with the last block's beyond.
+_PLACES = 8192
 
 Resolver = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -56,15 +58,30 @@ def _leaders(unit: Unit):
     return count
 
 
+def _gathered(blocks: Iterator[Runs]) -> Iterator[list[Runs]]:
+    """Blocks of runs in lists of ``_PLACES`` runs or more."""
+    found: list[Runs] = []
+    for r in blocks:
+        found.append(r)
+        if sum(len(x.hash) for x in found) >= _PLACES:
+            yield found
+            found = []
+    if found:
+        yield found
+
+
 def _places(unit: Unit):
     @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = text_buffer(batch.column("text"))
-            for r in runs(data, offsets, unit):
+            for found in _gathered(runs(data, offsets, unit)):
+                lead, doc_id, place = (
+                    np.concatenate(x) for x in zip(*((r.hash, ids[r.row], pack(r)) for r in found), strict=True)
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(r.hash)), pa.array(ids[r.row]), pa.array(pack(r))],
+                    [pa.array(_signed(lead)), pa.array(doc_id), pa.array(place)],
                     ["lead", "doc_id", "place"],
                 )
 
@@ -337,8 +354,9 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     )
     places = texts.mapInArrow(_places(unit), "lead long, doc_id long, place long")
     anchors = materialise(
-        places.join(repeated, "lead").select("lead", "doc_id", "place"), "anchors"
+        places.join(repeated.hint("shuffle_hash"), "lead").select("lead", "doc_id", "place"), "anchors"
     )
+    release(spark)
     lists = anchors.groupBy("doc_id").agg(F.collect_set(F.struct("lead", "place")).alias("anchors"))
     segments = materialise(
         texts.join(lists.hint("shuffle_hash"), "doc_id").mapInArrow(
@@ -348,6 +366,7 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     )
     forget(anchors)
     forget(repeated)
+    release(spark)
     kinds = segments.groupBy("lead", "content").agg(
         F.min(F.struct("doc_id", F.expr(_LEAD_AT).alias("at"), "place")).alias("m"),
         F.first("bytes", ignorenulls=True).alias("bytes"),
@@ -356,21 +375,27 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
     kinds = materialise(
         kinds.select("lead", "content", "m.doc_id", "m.place", "bytes", "n"), "kinds"
     )
-    crowds = kinds.groupBy("lead").agg(
-        F.count("*").alias("kinds"), F.sum(F.length("bytes")).alias("size")
+    release(spark)
+    several = materialise(
+        kinds.groupBy("lead")
+        .agg(F.count("*").alias("kinds"), F.sum(F.length("bytes")).alias("size"))
+        .where("kinds > 1"),
+        "several",
     )
-    several = crowds.where("kinds > 1")
     size = several.where(f"kinds <= {unit.crowd}").agg(F.sum("size")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
-    chosen = kinds.join(several.select("lead", "kinds"), "lead")
+    # Of all segments, fewer than one in ``crowd`` can be such a leader.
+    crowded = F.broadcast(several.where(f"kinds > {unit.crowd}").select("lead"))
     columns = ["lead", "content", "doc_id", "place", "bytes"]
     compared = (
-        chosen.where(f"kinds <= {unit.crowd}")
-        .select(*columns)
+        kinds.select(*columns)
+        .join(crowded, "lead", "left_anti")
         .repartition(shards, "lead")
+        .join(several.select("lead").repartition(shards, "lead").hint("shuffle_hash"), "lead")
+        .select(*columns)
         .mapInArrow(resolver, "lead long, content long, low int, high int")
     )
-    crowd = materialise(chosen.where(f"kinds > {unit.crowd}").select(*columns), "crowd")
+    crowd = materialise(kinds.select(*columns).join(crowded, "lead").select(*columns), "crowd")
     inner = (
         compared.groupBy("lead", "content")
         .agg(F.collect_set(F.struct("low", "high")).alias("inner"))
@@ -382,6 +407,7 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
         .where("n > 1 or inner is not null"),
         "known",
     )
+    release(spark)
     occurrences = spread_join(
         segments.select("lead", "content", "doc_id", "place"), known, ["lead", "content"], ["doc_id", "place"]
     )
@@ -403,6 +429,7 @@ def covered(docs: DataFrame, unit: Unit, resolver: Resolver) -> DataFrame:
         .agg(F.flatten(F.collect_set("r")).alias("ranges")),
         "ranges",
     )
-    for table in (segments, kinds, crowd, known):
+    for table in (segments, kinds, several, crowd, known):
         forget(table)
+    release(spark)
     return ranges

@@ -140,27 +140,46 @@ def _resolver(window: int, memory: int):
     return resolve
 
 
+def _merged(ranges: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the maximal ranges of each row; touching ranges become one."""
+    flat = ranges.flatten()
+    counts = ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(counts)), counts)
+    start, end = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+    order = np.lexsort((start, row))
+    row = row[order]
+    shift = row * (int(end.max()) + 1 if len(end) else 1)  # every row's ranges behind those of the row before
+    start, reach = start[order] + shift, np.maximum.accumulate(end[order] + shift)
+    head = np.ones(len(row), bool)
+    head[1:] = (start[1:] > reach[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(head)
+    tail = np.append(head[1:], len(row))[: len(head)] - 1
+    return row[head], start[head] - shift[head], reach[tail] - shift[tail]
+
+
 @lean
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
-        kept, spans = [], []
-        for i, ranges in enumerate(batch.column("ranges").to_pylist()):
-            row = data[offsets[i] : offsets[i + 1]]
-            merged = merge((r["start"], r["end"]) for r in ranges or ())
-            pieces, at = [], 0
-            for start, end in merged:
-                pieces.append(row[at:start].tobytes())
-                at = end
-            pieces.append(row[at:].tobytes())
-            kept.append(b"".join(pieces))
-            spans.append([{"start": s, "end": e} for s, e in merged])
+        row, start, end = _merged(batch.column("ranges"))
+        cuts = np.concatenate([[0], np.stack([start, end], 1).ravel() + offsets[np.repeat(row, 2)], [len(data)]])
+        view = memoryview(np.ascontiguousarray(data))
+        kept = b"".join(view[a:b] for a, b in cuts.reshape(-1, 2).tolist())
+        first = np.searchsorted(row, np.arange(len(offsets)))  # of each row's ranges
+        removed = np.concatenate([[0], np.cumsum(end - start)])[first]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array(np.diff(offsets)),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array(kept, pa.binary()),
+                pa.ListArray.from_arrays(
+                    pa.array(first.astype(np.int32)),
+                    pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]),
+                ),
+                pa.Array.from_buffers(
+                    pa.binary(),
+                    batch.num_rows,
+                    [None, pa.py_buffer((offsets - removed).astype(np.int32)), pa.py_buffer(kept)],
+                ),
             ],
             ["doc_id", "n_bytes", "removed", "kept"],
         )
