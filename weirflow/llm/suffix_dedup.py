@@ -162,11 +162,13 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
         row, start, end = _merged(batch.column("ranges"))
-        cuts = np.concatenate([[0], np.stack([start, end], 1).ravel() + offsets[np.repeat(row, 2)], [len(data)]])
+        size = np.diff(offsets)[row]  # a repeated row of a document may have a shorter text
+        low, high = np.minimum(start, size), np.minimum(end, size)
+        cuts = np.concatenate([[0], np.stack([low, high], 1).ravel() + offsets[np.repeat(row, 2)], [len(data)]])
         view = memoryview(np.ascontiguousarray(data))
         kept = b"".join(view[a:b] for a, b in cuts.reshape(-1, 2).tolist())
         first = np.searchsorted(row, np.arange(len(offsets)))  # of each row's ranges
-        removed = np.concatenate([[0], np.cumsum(end - start)])[first]
+        removed = np.concatenate([[0], np.cumsum(high - low)])[first]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
