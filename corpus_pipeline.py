@@ -7,11 +7,13 @@ each stage's result as Parquet and reads it again for the next.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import decontaminate, langid, line_dedup, minhash, mixing
-from weirflow.llm.common import fresh, materialise
+from weirflow.llm.common import fresh, materialise, trim
 
 #: Documents are near-duplicates from this similarity of their word shingles on, in percent.
 NEAR = 80
@@ -21,6 +23,20 @@ LEAST_SCORE = 0.5
 MOST_TOXIC = 0.5
 
 
+def trimmed(stage):
+    """A stage that leaves the driver no memory freed before it, or by its own jobs, for the next to add to."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        trim(spark)
+        out = stage(spark, docs, sf_dir)
+        trim(spark)
+        return out
+
+    return run
+
+
+@trimmed
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go; a missing ``lang`` is filled in.
 
@@ -35,6 +51,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sure.select(*(columns.get(c, row[c]).alias(c) for c in docs.columns))
 
 
+@trimmed
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and documents of which nothing is left.
 
@@ -52,6 +69,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return left.select(*(columns.get(c, row[c]).alias(c) for c in docs.columns))
 
 
+@trimmed
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id.
 
@@ -61,6 +79,7 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@trimmed
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from the others benchmark passages are cut out.
 
@@ -77,6 +96,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return left.select(*(columns.get(c, row[c]).alias(c) for c in docs.columns))
 
 
+@trimmed
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the rate at which the mixture takes them; toxic ones go.
 

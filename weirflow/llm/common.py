@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,26 @@ def release(spark: SparkSession) -> None:
         time.sleep(_SETTLE)
 
 
+def trim(spark: SparkSession) -> None:
+    """Have the driver's JVM give memory that it has freed back to the system.
+
+    The collection shrinks a heap that a burst of plans has grown. What compiling
+    and native code have freed stays with the C library until it is asked for it;
+    a JVM without that command (before 17.0.9, or not on glibc) keeps it.
+    """
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        # By the interface, as Java does not open the class that implements it.
+        connection = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection")
+        invoke = next(m for m in connection.getMethods() if m.getName() == "invoke")
+        asked = array(jvm.java.lang.Object, 4)
+        asked[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        asked[1] = "systemTrimNativeHeap"
+        asked[2], asked[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), asked)
+
+
 class Growing:
     """One scratch table that rounds add rows to, one round at least, read once at the end.
 
