@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,46 +137,65 @@ def enrich(rows: DataFrame, facts: DataFrame, keys: list[str], error: str = "err
     return found.withColumn(error, F.when(F.col("__found").isNull(), F.lit("MissingPath"))).drop("__found")
 
 
-def _is(shape: Column, kind: str) -> Column:
-    return F.coalesce(shape.startswith(kind), F.lit(False))
+#: Brackets, names with their colon and scalars of compact JSON; commas lie between them.
+_TOKEN = re.compile(r'[{}\[\]]|"[^"\\]*(?:\\.[^"\\]*)*":?|[^{}\[\],:"]+')
+#: Characters of nodes that leave a flattening task at once.
+_FLUSH = 1 << 22
 
 
-def json_depth(rows: DataFrame, value: str) -> int:
-    """How deep objects and arrays of a variant column lie in each other at most; a scalar has 0."""
-    bare = F.regexp_replace(F.to_json(value), r'"(?:[^"\\\\]|\\\\.)*"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
-    step = lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
-    depth = F.aggregate(
-        marks,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda s, c: F.struct((s["now"] + step(c)).alias("now"), F.greatest(s["most"], s["now"] + step(c)).alias("most")),
-    )
-    return rows.agg(F.max(depth["most"])).first()[0] or 0
+def _nodes(text: str, path: str) -> Iterator[tuple[str, str, int]]:
+    """``path, node, depth`` of each node of compact JSON below ``path``, inner ones first; a node is a slice of the text."""
+    above: list[list] = []  # path, begin and next index of the open containers; no index in an object
+    for found in _TOKEN.finditer(text):
+        token = found[0]
+        if token[0] == '"' and token[-1] == ":":
+            name = token[1:-2]
+            path = f"{above[-1][0]}.{json.loads(token[:-1]) if '\\' in name else name}"
+        elif token == "}" or token == "]":
+            own, begin, _ = above.pop()
+            yield own, text[begin : found.end()], len(above)
+        else:
+            if above and above[-1][2] is not None:
+                path = f"{above[-1][0]}[{above[-1][2]}]"
+                above[-1][2] += 1
+            if token == "{" or token == "[":
+                above.append([path, found.start(), 0 if token == "[" else None])
+            else:
+                yield path, token, len(above)
+
+
+def _batch(own: list[pa.Array], found: tuple[list, list, list], names: list[str]) -> pa.RecordBatch:
+    at, places, nodes = (pa.array(part, kind) for part, kind in zip(found, (pa.int32(), pa.string(), pa.string()), strict=True))
+    return pa.RecordBatch.from_arrays([*(c.take(at) for c in own), places, nodes], names=names)
 
 
 def flatten_json(rows: DataFrame, value: str, keys: list[str], root: Column | str = ".[0]", depth: int | None = None) -> DataFrame:
     """``(keys, path, node)``: every node of a variant, containers and scalars, with its JSON text.
 
-    Paths are ``root``, then ``.name`` and ``[index]``. Each level of nesting is one
-    step of the plan; ``depth`` says how many there are (a stream must), else
-    they are counted first, so that none is left out.
+    Paths are ``root``, then ``.name`` and ``[index]``. Rows are read once, however
+    deep they are; ``depth`` leaves out what lies deeper. A task holds one batch of
+    documents and a few MB of nodes, or one node if that is more.
     """
-    depth = json_depth(rows, value) if depth is None else depth
     start = F.lit(root) if isinstance(root, str) else root
-    level = rows.where(F.col(value).isNotNull()).select(*keys, start.alias("path"), F.col(value).alias("node"))
-    out = level.select(*keys, "path", F.to_json("node").alias("node"))
-    for _ in range(depth):
-        shape = F.schema_of_variant("node")
-        fields = F.map_entries(F.try_variant_get("node", "$", "map<string,variant>"))
-        members = F.transform(fields, lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("key"), e["value"].alias("value")))
-        items = F.try_variant_get("node", "$", "array<variant>")
-        places = F.transform(items, lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
-        inner = F.when(_is(shape, "OBJECT"), members).when(_is(shape, "ARRAY"), places)
-        level = level.select(*keys, "path", F.explode(inner).alias("e")).select(
-            *keys, F.concat("path", "e.key").alias("path"), F.col("e.value").alias("node")
-        )
-        out = out.union(level.select(*keys, "path", F.to_json("node").alias("node")))
-    return out
+    texts = rows.where(F.col(value).isNotNull()).select(*keys, start.alias("path"), F.to_json(value).alias("node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, paths, documents = batch.columns
+            found, held = ([], [], []), 0
+            for i, (path, document) in enumerate(zip(paths.to_pylist(), documents.to_pylist(), strict=True)):
+                for place, node, level in _nodes(document, path or ""):
+                    if depth is None or level <= depth:
+                        found[0].append(i)
+                        found[1].append(None if path is None else place)
+                        found[2].append(node)
+                        held += len(place) + len(node)
+                        if held > _FLUSH:
+                            yield _batch(own, found, batch.schema.names)
+                            found, held = ([], [], []), 0
+            yield _batch(own, found, batch.schema.names)
+
+    return texts.mapInArrow(run, texts.schema)
 
 
 def unflatten(nodes: DataFrame, keys: list[str], depth: int | None = None) -> DataFrame:
