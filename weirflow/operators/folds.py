@@ -33,21 +33,32 @@ def running_total(rows: DataFrame, key: str, at: str, value: Column, width: int,
     )
 
 
-def sliding_mean(rows: DataFrame, key: str, at: Column, value: Column, span: int, width: int, out: str) -> DataFrame:
-    """``rows`` with ``out``: the mean of ``value`` over the key's rows of the last ``span`` units, both ends included.
+def sliding_share(rows: DataFrame, key: str, at: Column, flag: Column, span: int, width: int, out: str) -> DataFrame:
+    """``rows`` with ``out``: the share of true flags in the key's rows of the last ``span`` units, both ends included.
 
-    A row is dealt to its range of ``width`` units, or of ``span`` if that is
-    more, and once more to the next one if that one's windows reach back to it.
+    Null flags do not count; rows without a time see each other only. A row is
+    dealt to its range of ``width`` units, or of ``span`` if that is more, and once
+    more to the next one if that one's windows reach back to it. A window is what
+    the range has up to its end less what it has before its begin: two counts that
+    only grow, so the work does not depend on how many rows a window holds.
     """
     width = max(width, span)
     own = F.floor(F.col("__at") / width)
     both = F.when(F.col("__at") + span >= (own + 1) * width, F.array(own, own + 1)).otherwise(F.array(own))
-    dealt = rows.withColumns({"__at": at, "__value": value}).withColumn("__range", F.explode(both))
-    window = Window.partitionBy(key, "__range").orderBy("__at").rangeBetween(-span, 0)
+    dealt = rows.withColumns({"__at": at, "__flag": flag}).withColumn("__range", F.explode(both))
+    order = Window.partitionBy(key, "__range").orderBy("__at")
+
+    def counted(value: Column) -> Column:
+        upto = F.count(value).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        before = F.count(value).over(order.rangeBetween(Window.unboundedPreceding, -span - 1))
+        return upto - F.when(F.col("__at").isNull(), 0).otherwise(before)
+
+    counts = {"__hits": counted(F.when(F.col("__flag"), 1)), "__known": counted(F.col("__flag"))}
     return (
-        dealt.withColumn(out, F.avg("__value").over(window))
-        .where(F.col("__range") == own)
-        .drop("__at", "__value", "__range")
+        dealt.withColumns(counts)
+        .where(F.col("__range").eqNullSafe(own))
+        .withColumn(out, F.when(F.col("__known") > 0, F.col("__hits") / F.col("__known")))
+        .drop("__at", "__flag", "__range", "__hits", "__known")
     )
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.operators.folds import ordered_fold, running_total, sliding_mean
+from weirflow.operators.folds import ordered_fold, running_total, sliding_share
 
 # Histogram bounds of request durations in seconds, state names and ranks, legal moves.
 BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -29,7 +29,7 @@ def failure_ratio(outcomes: DataFrame, endpoint: str, at: str, failed: Column, w
     """``failure_ratio`` of each endpoint over the window that ends with each outcome."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     span = int(window_s * 1_000_000)
-    return sliding_mean(outcomes, endpoint, micros, failed.cast("double"), span, RANGE_S * 1_000_000, "failure_ratio")
+    return sliding_share(outcomes, endpoint, micros, failed, span, RANGE_S * 1_000_000, "failure_ratio")
 
 
 @dataclass

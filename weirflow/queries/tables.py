@@ -214,8 +214,11 @@ def retry_budget_windows(spark, sf_dir):
     "select event_id, round(avg(case when value > 50 then 1.0::double else 0.0::double end) over (partition by event_type order by epoch_us(ts) range between 3600000000 preceding and current row), 6) as failure_ratio from events",
 )
 def breaker_failure_ratio(spark, sf_dir):
-    out = health.failure_ratio(table(spark, sf_dir, "events"), "event_type", "ts", F.col("value") > 50, 3600)
-    return out.select("event_id", F.round("failure_ratio", 6).alias("failure_ratio"))
+    failed = F.coalesce(F.col("value") > 50, F.lit(False))
+    out = health.failure_ratio(table(spark, sf_dir, "events"), "event_type", "ts", failed, 3600)
+    # SQL rounds the multiplied double; F.round takes its decimal text, which differs where the seventh place is a lone 5
+    rounded = F.floor(F.col("failure_ratio") * 1e6 + 0.5) / 1e6
+    return out.select("event_id", rounded.alias("failure_ratio"))
 
 
 _BREAKER = """
